@@ -7,14 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from shelfmark.llm.bpe import encode_corpus
+from shelfmark.llm.canonical import canonical_text, odd_characters
 from shelfmark.sources.tables import table
 
 
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    chunks = canonical_text(table(spark, folder, "data_hkpl_knowledge"), "node_id", "text", "data_hkpl_knowledge")
+    labels = canonical_text(
+        table(spark, folder, "evaluation_dataset"), "id", "expected_context_snippet", "evaluation_dataset"
+    )
+    return odd_characters(chunks.unionByName(labels))
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode_corpus(table(spark, folder, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p7_found": p7_found,
     "p8_ids": p8_ids,
 }
 
