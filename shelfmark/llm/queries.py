@@ -8,9 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from shelfmark.llm.bpe import encode_corpus
 from shelfmark.llm.canonical import canonical_text, odd_characters
+from shelfmark.llm.lines import repeated_lines
 from shelfmark.sources.tables import table
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return repeated_lines(table(spark, folder, "data_hkpl_knowledge"), table(spark, folder, "knowledge_documents"))
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     chunks = canonical_text(table(spark, folder, "data_hkpl_knowledge"), "node_id", "text", "data_hkpl_knowledge")
     labels = canonical_text(
@@ -24,8 +29,27 @@ def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p6_found": p6_found,
     "p7_found": p7_found,
     "p8_ids": p8_ids,
 }
 
-ORACLES: dict[str, str] = {}
+#: The same in SQL, where SQL can say it.
+ORACLES: dict[str, str] = {
+    "p6_found": r"""
+        WITH cur AS (
+            SELECT document_id, regexp_replace(regexp_replace(regexp_extract(lower(trim(source_url)),
+                       '^[a-z][a-z0-9+.-]*://([^/?#]*)', 1), ':[0-9]*$', ''), '^www\.', '') AS site
+            FROM (SELECT lower(trim(document_id)) AS document_id, source_url, row_number() OVER (
+                      PARTITION BY lower(trim(document_id)) ORDER BY updated_at DESC NULLS LAST, version DESC, status DESC) AS r
+                  FROM knowledge_documents) WHERE r = 1),
+        lines AS (
+            SELECT node_id, lower(split_part(node_id, ':', 1)) AS doc, generate_subscripts(ls, 1) AS line_no, unnest(ls) AS line
+            FROM (SELECT node_id, string_split(text, chr(10)) AS ls FROM data_hkpl_knowledge)),
+        forms AS (
+            SELECT node_id, doc, line_no, regexp_replace(regexp_replace(lower(line),
+                       '[\s\x0B\p{Z}\x{1C}-\x{1F}\x{85}\p{Nd}]+', '', 'g'), '[.!?:;,。…]+$', '') AS form FROM lines),
+        placed AS (SELECT f.*, site FROM forms f JOIN cur ON doc = document_id WHERE site <> '' AND form <> ''),
+        often AS (SELECT site, form FROM placed GROUP BY site, form HAVING count(DISTINCT doc) >= 8)
+        SELECT DISTINCT node_id, CAST(line_no AS INTEGER) AS line_no FROM placed JOIN often USING (site, form)""",
+}
