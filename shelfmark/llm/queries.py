@@ -6,12 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from shelfmark.llm.boilerplate import frame_found
 from shelfmark.llm.bpe import encode_corpus
 from shelfmark.llm.canonical import canonical_text, odd_characters
 from shelfmark.llm.lines import repeated_lines
 from shelfmark.sources.tables import table
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return frame_found(table(spark, folder, "data_hkpl_knowledge"), table(spark, folder, "knowledge_documents"))
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return repeated_lines(table(spark, folder, "data_hkpl_knowledge"), table(spark, folder, "knowledge_documents"))
 
@@ -29,6 +34,7 @@ def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p5_found": p5_found,
     "p6_found": p6_found,
     "p7_found": p7_found,
     "p8_ids": p8_ids,
