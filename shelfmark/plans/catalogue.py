@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from shelfmark.plans import references
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**references.QUERIES}
+ORACLES: dict[str, str] = {**references.ORACLES}
