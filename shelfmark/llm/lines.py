@@ -120,13 +120,15 @@ def repeated_lines(pages: DataFrame, registry: DataFrame, min_documents: int = M
     """
     sites = document_sites(registry).where("site is not null")
     sites = sites.select("document_id", F.xxhash64("site").alias("site"))
-    lines = written(chunked_lines(pages), "lines")
+    lines = chunked_lines(pages)
     placed = lines.join(sites, lines.doc == sites.document_id).select(
-        "node_id", "line_no", "line_key", "chunks", "site", F.xxhash64("doc").alias("doc")
+        "node_id", "line_no", "chunks", "site", F.xxhash64("doc").alias("doc"), F.xxhash64("site", "line_key").alias("line")
     )
-    chunk_docs = placed.select("doc", F.explode("chunks").alias("chunk"), "site").distinct()
+    placed = written(placed, "lines")
+    chunk_docs = placed.select("doc", F.explode("chunks").alias("chunk"), "site")
     often = (
-        chunk_docs.select(F.xxhash64("site", "chunk").alias("chunk_key"))
+        chunk_docs.select(F.xxhash64("site", "chunk").alias("chunk_key"), "doc")
+        .distinct()
         .groupBy("chunk_key")
         .count()
         .where(F.col("count") >= min_documents)
@@ -134,8 +136,7 @@ def repeated_lines(pages: DataFrame, registry: DataFrame, min_documents: int = M
     )
     # Every chunk of a line that is repeated is repeated; the first one finds all such lines.
     candidates = placed.select(
-        "node_id", "line_no", "doc", F.xxhash64("site", "line_key").alias("line"),
-        F.xxhash64("site", F.col("chunks")[0]).alias("chunk_key"),
+        "node_id", "line_no", "doc", "line", F.xxhash64("site", F.col("chunks")[0]).alias("chunk_key"),
     ).join(often, "chunk_key", "left_semi")
     counted = (
         candidates.select("line", "doc").distinct().groupBy("line").count().where(F.col("count") >= min_documents)
