@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int = 8, shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -52,3 +53,20 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Rows up to which a written table may be broadcast; beyond that the join shuffles.
+BROADCAST_ROWS = 200_000
+
+
+def small_or_not(df: DataFrame, name: str, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """The rows, written and counted: with a broadcast hint only if the count is within `limit`."""
+    table = written(df, name)
+    return F.broadcast(table) if table.limit(limit + 1).count() <= limit else table
+
+
+def is_file(spark: SparkSession, path: str) -> bool:
+    """Whether a path is one file, on whatever file system."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return bool(fs.exists(p)) and fs.getFileStatus(p).isFile()
