@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.llm.canonical import LOOK_ALIKES
 from shelfmark.operators.registry import document_of, document_sites
-from shelfmark.session import written
+from shelfmark.session import small_or_not, written
 
 #: A line form is the site's own from so many different pages on.
 MIN_PAGES = 4
@@ -157,7 +157,7 @@ def frame_lines(pages: DataFrame, registry: DataFrame) -> DataFrame:
     told = lines.where("not blank")
 
     forms = told.select("key", "context").distinct().groupBy("key").count()
-    own = forms.where(F.col("count") >= MIN_PAGES).select(F.col("key").alias("own_key"))
+    own = small_or_not(forms.where(F.col("count") >= MIN_PAGES).select(F.col("key").alias("own_key")), "own")
     marked = told.join(own, told.key == own.own_key, "left").withColumn("own", F.col("own_key").isNotNull())
     measures = [
         F.count("*").alias("n"), F.sum(F.col("own").cast("int")).alias("repeated"),
@@ -179,14 +179,11 @@ def frame_lines(pages: DataFrame, registry: DataFrame) -> DataFrame:
     # Long, well-punctuated paths must repeat more before they count as frame.
     ratio = F.col("share") / (F.col("share") + 0.3 * (1 - F.col("share")) * (1 + F.least("content", F.lit(3.0))))
     frame_paths = scored.where((F.col("n") >= 5) & (ratio >= THRESHOLD)).select("path")
+    frame_paths = small_or_not(frame_paths, "paths")
 
-    by_whole = frame_paths.select(F.col("path").alias("w_path"))
-    by_lead = frame_paths.select(F.col("path").alias("l_path"))
-    judged = (
-        lines.join(own, lines.key == own.own_key, "left")
-        .join(by_whole, F.col("whole") == F.col("w_path"), "left")
-        .join(by_lead, F.col("lead") == F.col("l_path"), "left")
-    )
+    judged = lines.join(own, lines.key == own.own_key, "left")
+    for column, found in (("whole", "w_path"), ("lead", "l_path")):
+        judged = judged.join(frame_paths.withColumnRenamed("path", found), F.col(column) == F.col(found), "left")
     base = ~F.col("blank") & (
         F.col("own_key").isNotNull() | F.col("w_path").isNotNull() | F.col("l_path").isNotNull() | F.col("sure")
     )
@@ -198,13 +195,13 @@ def frame_lines(pages: DataFrame, registry: DataFrame) -> DataFrame:
     judged = judged.withColumns(
         {"link": link, "next": F.lead(link, 1, False).over(order), "next2": F.lead(link, 2, False).over(order)}
     )
-    judged = written(judged, "judged")
-    heads = (
+    heads = small_or_not(
         judged.where("base")
         .groupBy(F.col("whole").alias("head"))
         .agg(F.count("*").alias("n"), F.avg((F.col("next") & F.col("next2")).cast("double")).alias("share"))
         .where((F.col("n") >= 3) & (F.col("share") >= HEAD_SHARE))
-        .select("head")
+        .select("head"),
+        "heads",
     )
     judged = judged.join(heads, judged.base & (judged.whole == heads["head"]), "left")
     judged = judged.withColumn("is_head", F.col("head").isNotNull())
