@@ -9,10 +9,20 @@ from pyspark.sql import DataFrame, SparkSession
 from shelfmark.llm.boilerplate import frame_found
 from shelfmark.llm.bpe import encode_corpus
 from shelfmark.llm.canonical import canonical_text, odd_characters
+from shelfmark.llm.conversations import closed_segments, conversations, session_defects
 from shelfmark.llm.lines import repeated_lines
 from shelfmark.sources.tables import table
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    segments = closed_segments(spark, f"{folder}/conversation_history.parquet")
+    return session_defects(segments).where("defect is not null")
+
+
+def p3_conversations(spark: SparkSession, folder: str) -> DataFrame:
+    return conversations(closed_segments(spark, f"{folder}/conversation_history.parquet"))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return frame_found(table(spark, folder, "data_hkpl_knowledge"), table(spark, folder, "knowledge_documents"))
 
@@ -34,6 +44,8 @@ def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p3_found": p3_found,
+    "p3_conversations": p3_conversations,
     "p5_found": p5_found,
     "p6_found": p6_found,
     "p7_found": p7_found,
@@ -42,6 +54,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 #: The same in SQL, where SQL can say it.
 ORACLES: dict[str, str] = {
+    "p3_found": r"""
+        WITH m AS (
+            SELECT session_id, id, created_at,
+                   CASE lower(regexp_replace(role, '^[\s\x{A0}]+|[\s\x{A0}]+$', '', 'g')) WHEN 'user' THEN 'user' WHEN 'human' THEN 'user'
+                        WHEN 'assistant' THEN 'assistant' WHEN 'bot' THEN 'assistant' WHEN 'ai' THEN 'assistant'
+                        WHEN 'system' THEN 'system' END AS who,
+                   regexp_replace(content, '^[\s\x{A0}\x{3000}]+|[\s\x{A0}\x{3000}]+$', '', 'g') AS say,
+                   coalesce(regexp_replace(content, '[\s\p{Z}\x{200B}-\x{200F}\x{2060}-\x{2064}\x{FEFF}\x{AD}]+', '', 'g') <> '', false) AS shown
+            FROM conversation_history WHERE trim(coalesce(session_id, '')) <> ''),
+        rough AS (
+            SELECT *, lag(who) OVER w AS pw, lag(say) OVER w AS ps FROM m
+            WHERE shown AND who IN ('user', 'assistant') WINDOW w AS (PARTITION BY session_id ORDER BY created_at, id, who, say)),
+        turns AS (
+            SELECT session_id, who, lag(who) OVER v AS pw, lead(who) OVER v AS nw FROM rough
+            WHERE NOT coalesce(who = pw AND say = ps, false) WINDOW v AS (PARTITION BY session_id ORDER BY created_at, id, who, say)),
+        a AS (SELECT session_id, bool_or(shown) AS visible, bool_or(created_at IS NULL OR who IS NULL) AS bad FROM m GROUP BY 1),
+        b AS (SELECT session_id, bool_or(who = 'assistant' AND coalesce(pw, 'assistant') = 'assistant') AS broken,
+                     bool_or(who = 'user' AND coalesce(nw, 'user') = 'user') AS lacks FROM turns GROUP BY 1)
+        SELECT * FROM (SELECT a.session_id, CASE WHEN NOT visible THEN 'empty' WHEN bad OR broken THEN 'broken'
+                              WHEN lacks THEN 'missing_reply' END AS defect FROM a LEFT JOIN b USING (session_id))
+        WHERE defect IS NOT NULL""",
     "p6_found": r"""
         WITH cur AS (
             SELECT document_id, regexp_replace(regexp_replace(regexp_extract(lower(trim(source_url)),
