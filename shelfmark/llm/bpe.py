@@ -43,6 +43,8 @@ class BytePairEncoder:
             self.ids = {base64.b64decode(t).decode("latin-1"): int(i) for t, i in map(bytes.split, f)}
         self.token = dict(zip(self.ids.values(), self.ids))
         self.length = {i: len(t) for t, i in self.ids.items()}
+        self.lengths = np.zeros(max(self.length) + 1, dtype=np.int64)
+        self.lengths[list(self.length)] = list(self.length.values())
         self.automaton = ahocorasick.Automaton()
         for t, i in self.ids.items():
             self.automaton.add_word(t, i)

@@ -11,6 +11,8 @@ from shelfmark.llm.bpe import encode_corpus
 from shelfmark.llm.canonical import canonical_text, odd_characters
 from shelfmark.llm.conversations import closed_segments, conversations, session_defects
 from shelfmark.llm.lines import repeated_lines
+from shelfmark.llm.packing import packed_texts
+from shelfmark.llm.pieces import split_texts
 from shelfmark.sources.tables import table
 
 
@@ -43,6 +45,14 @@ def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode_corpus(table(spark, folder, "documents"))
 
 
+def p9_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return packed_texts(table(spark, folder, "documents"))
+
+
+def p10_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return split_texts(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_found": p3_found,
     "p3_conversations": p3_conversations,
@@ -50,6 +60,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_found": p6_found,
     "p7_found": p7_found,
     "p8_ids": p8_ids,
+    "p9_groups": p9_groups,
+    "p10_pieces": p10_pieces,
 }
 
 #: The same in SQL, where SQL can say it.
