@@ -10,12 +10,21 @@ from shelfmark.llm.boilerplate import frame_found
 from shelfmark.llm.bpe import encode_corpus
 from shelfmark.llm.canonical import canonical_text, odd_characters
 from shelfmark.llm.conversations import closed_segments, conversations, session_defects
+from shelfmark.llm.dedup import repeated_deliveries
 from shelfmark.llm.lines import repeated_lines
 from shelfmark.llm.packing import packed_texts
 from shelfmark.llm.pieces import split_texts
 from shelfmark.sources.tables import table
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return repeated_deliveries(
+        table(spark, folder, "ingest_batches"),
+        table(spark, folder, "knowledge_documents"),
+        table(spark, folder, "data_hkpl_knowledge"),
+    )
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     segments = closed_segments(spark, f"{folder}/conversation_history.parquet")
     return session_defects(segments).where("defect is not null")
@@ -54,6 +63,7 @@ def p10_pieces(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p2_found": p2_found,
     "p3_found": p3_found,
     "p3_conversations": p3_conversations,
     "p5_found": p5_found,
