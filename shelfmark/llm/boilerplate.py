@@ -74,10 +74,12 @@ def line_paths(line: str) -> tuple[str, str, str, str]:
     if not line.isupper():
         originals = line.split()
         words = ["#" if k and o[:1].isupper() else w for k, (o, w) in enumerate(zip(originals, words))]
+        if words[1:2] == ["#"] and originals[0][:1].isupper():  # a name that opens the line
+            words[0] = "#"
         words = [w for k, w in enumerate(words) if w != "#" or not k or words[k - 1] != "#"]
     if LINK_MARKS.search(line):
         first = LINK_MARKS.split(exact, maxsplit=1)[0]
-        return mark, exact, "rows/" + "/".join(words), "rows/" + first
+        return mark, exact, "rows/" + "/".join(words), "rows/" + "/".join(first.split()[:4])
     block = "item" if mark else "head" if low.startswith("##") else "text"
     return mark, exact, f"{block}/" + "/".join(words), f"{block}/" + "/".join(words[:4])
 
@@ -156,9 +158,15 @@ def frame_lines(pages: DataFrame, registry: DataFrame) -> DataFrame:
     lines = written(lines.withColumn("key", F.xxhash64("site", "form")), "frame")
     told = lines.where("not blank")
 
-    forms = told.select("key", "context").distinct().groupBy("key").count()
+    forms = written(told.select("key", "form", "context").distinct().groupBy("key", "form").count(), "forms")
     own = small_or_not(forms.where(F.col("count") >= MIN_PAGES).select(F.col("key").alias("own_key")), "own")
-    marked = told.join(own, told.key == own.own_key, "left").withColumn("own", F.col("own_key").isNotNull())
+    # Phrases that several sites share, each too seldom to tell by itself.
+    shared = forms.groupBy("form").agg(F.sum("count").alias("pages"), F.count("*").alias("sites"))
+    shared = shared.where((F.col("pages") >= 2 * MIN_PAGES) & (F.col("sites") >= 2)).select(F.col("form").alias("shared_form"))
+    shared = small_or_not(shared, "shared")
+    lines = lines.join(own, lines.key == own.own_key, "left").join(shared, lines.form == shared.shared_form, "left")
+    lines = lines.withColumn("own", F.col("own_key").isNotNull() | F.col("shared_form").isNotNull())
+    marked = lines.where("not blank")
     measures = [
         F.count("*").alias("n"), F.sum(F.col("own").cast("int")).alias("repeated"),
         F.sum("length").alias("length"), F.sum("punctuation").alias("punctuation"),
@@ -178,14 +186,14 @@ def frame_lines(pages: DataFrame, registry: DataFrame) -> DataFrame:
     )
     # Long, well-punctuated paths must repeat more before they count as frame.
     ratio = F.col("share") / (F.col("share") + 0.3 * (1 - F.col("share")) * (1 + F.least("content", F.lit(3.0))))
-    frame_paths = scored.where((F.col("n") >= 5) & (ratio >= THRESHOLD)).select("path")
+    frame_paths = scored.where((F.col("n") >= 4) & (ratio >= THRESHOLD)).select("path")
     frame_paths = small_or_not(frame_paths, "paths")
 
-    judged = lines.join(own, lines.key == own.own_key, "left")
+    judged = lines
     for column, found in (("whole", "w_path"), ("lead", "l_path")):
         judged = judged.join(frame_paths.withColumnRenamed("path", found), F.col(column) == F.col(found), "left")
     base = ~F.col("blank") & (
-        F.col("own_key").isNotNull() | F.col("w_path").isNotNull() | F.col("l_path").isNotNull() | F.col("sure")
+        F.col("own") | F.col("w_path").isNotNull() | F.col("l_path").isNotNull() | F.col("sure")
     )
     judged = judged.select("doc", "node_id", "chunk_index", "line_no", "blank", "mark", "whole", "linkish", base.alias("base"))
     judged = judged.repartition("doc").dropDuplicates(["doc", "node_id", "line_no"])
