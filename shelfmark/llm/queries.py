@@ -13,10 +13,15 @@ from shelfmark.llm.conversations import closed_segments, conversations, session_
 from shelfmark.llm.dedup import repeated_deliveries
 from shelfmark.llm.lines import repeated_lines
 from shelfmark.llm.packing import packed_texts
+from shelfmark.llm.pairs import defective_pairs
 from shelfmark.llm.pieces import split_texts
 from shelfmark.sources.tables import table
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return defective_pairs(table(spark, folder, "evaluation_dataset"))
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return repeated_deliveries(
         table(spark, folder, "ingest_batches"),
@@ -63,6 +68,7 @@ def p10_pieces(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
     "p2_found": p2_found,
     "p3_found": p3_found,
     "p3_conversations": p3_conversations,
