@@ -26,7 +26,7 @@ from shelfmark.session import written
 
 DEFECTS = ("empty", "truncated", "refusal", "copies_question", "other_language")
 #: Sound pairs the classifier is fitted on at most, taken by hash of their id; part held out.
-TRAIN_PAIRS, HELD_OUT = 3000, 0.25
+TRAIN_PAIRS, HELD_OUT = 5000, 0.25
 N_FEATURES, MAX_ITER, REGULARISATION = 1 << 15, 40, 2e-4
 
 # Texts that stand for no answer, without case, spaces and punctuation.
@@ -37,7 +37,8 @@ PLACEHOLDERS = {
 }
 # The commonest function words of languages in Latin letters.
 FUNCTION_WORDS = {
-    "en": "the of and to in is are for be by on at with from a an or not this that will can may you we it as they have has must",
+    "en": "the of and to in is are for be by on at with from a an or not this that will can may you we it as they have has must "
+    "i what who when where why how which should do does there any about before know need my me",
     "fr": "le la les des du de et est pour dans une un sur au aux qui que par ce cette sont être doit avec pas moins il en ne leur",
     "de": "der die das und ist für von den dem ein eine einer zu mit auf im wird werden sind nicht bei vor wegen pro sich aus zum",
     "es": "el la los las de y es para en un una por con del que se al su pueden debe hasta días cada antes sus como son no hay",
@@ -106,7 +107,9 @@ def language(text: str) -> str:
     words = re.findall(r"[^\W\d_]+", text.lower())
     hits = {k: sum(w in v for w in words) for k, v in _WORDS.items()}
     best = max(hits, key=lambda k: (hits[k], k == "en"))
-    return best if hits[best] >= 2 and hits[best] > (hits["en"] if best != "en" else 0) else "en" if hits["en"] or len(words) < 4 else ""
+    if hits[best] < 2:
+        return "en" if hits["en"] and len(words) > 3 else ""
+    return best if best == "en" or hits[best] > hits["en"] else "en"
 
 
 _WORDS = {k: frozenset(v.split()) for k, v in FUNCTION_WORDS.items()}
@@ -152,6 +155,7 @@ def pair_features(query: str | None, answer: str | None, snippet: str | None) ->
             place = "end" if not rest.strip() else "closed" if rest.lstrip()[:1] in tuple(CLOSE) else "goes_on" if aligned else "inside"
     ev = "blank" if not s else "some"
     out = [
+        f"p:lang&place={lq and la and lq != la}&{place}", f"p:lang&held={lq and la and lq != la}&{int(held * 2)}",
         f"p:placeholder={placeholder}", f"p:letters={min(len(bare), 6)}", f"p:len={min(n // 6, 6)}",
         f"p:new={int(new * 5)}", f"p:back={int(back * 5)}", f"p:new&back={int(new * 5)}&{int(back * 5)}",
         f"p:held={int(held * 5) if s else 'x'}", f"p:lang={'same' if not lq or not la or lq == la else 'differs'}",
@@ -194,7 +198,8 @@ def made_pairs(rows: list[tuple]) -> list[tuple[str, str, str, str]]:
         if rnd.random() < 0.6:
             out.append((q, bare, without(), ""))
         if rnd.random() < 0.25:
-            out.append((q, rnd.choice(SHORT_SOUND).format(n=name), s, ""))
+            short = [x for x in SHORT_SOUND if bool(HAN.search(x)) == chinese]
+            out.append((q, rnd.choice(short).format(n=name), s, ""))
         if rnd.random() < 0.3 and not chinese:
             out.append((q, rnd.choice(SOUND_OPENERS) + a, s, ""))
         for _ in range(2):
@@ -224,7 +229,8 @@ def made_pairs(rows: list[tuple]) -> list[tuple[str, str, str, str]]:
             foreign = rnd.choice(en) if en and rnd.random() < 0.7 else rnd.choice(FOREIGN).format(n="Ashby", d=number)
         else:
             foreign = rnd.choice(zh or list(ZH_SENTENCES)) if rnd.random() < 0.4 else rnd.choice(FOREIGN).format(n=name, d=number)
-        out.append((q, foreign.replace("{d}", number), s, "other_language"))
+        foreign = foreign.replace("{d}", number)
+        out.append((q, foreign, foreign if rnd.random() < 0.4 else s, "other_language"))
         blank = rnd.choice(("", " ", "​", "-", "--", "...", ".", "?", "N/A", "n/a", "None", "null", "nil", "TBC", "Answer:", "[no answer]", "(blank)", "待定", "無"))
         out.append((q, blank, s, "empty"))
     return out
