@@ -45,3 +45,53 @@ def document_sites(registry: DataFrame) -> DataFrame:
     """`document_id` and `site` of every document; site is null without a URL."""
     current = current_documents(registry, "source_url")
     return current.select("document_id", site_of(F.col("source_url")).alias("site"))
+
+
+def content_key(content_hash: Column) -> Column:
+    """A content hash without case, spaces and the name of its algorithm; null where blank."""
+    bare = F.regexp_replace(F.lower(content_hash), r"\s+|^\s*[a-z0-9-]+:", "")
+    return F.when(bare != "", bare)
+
+
+def completed_duplicates(registry: DataFrame) -> DataFrame:
+    """Current completed documents that share a content hash with one uploaded earlier, and the first of them."""
+    current = current_documents(registry, "status", "content_hash").where("status = 'completed'")
+    keyed = current.select("document_id", content_key(F.col("content_hash")).alias("hash_key"), F.col("first_uploaded_at").alias("at"))
+    keyed = keyed.where("hash_key is not null")
+    first = keyed.groupBy("hash_key").agg(F.min_by("document_id", F.struct("at", "document_id")).alias("original"), F.count("*").alias("n"))
+    return keyed.join(first.where("n > 1"), "hash_key").where("document_id != original").select("document_id", "original")
+
+
+def active_web_documents(registry: DataFrame) -> DataFrame:
+    """The latest row that isn't deleted of each crawled URL; blank URLs have none."""
+    rows = registry.where((F.col("status") != "deleted") & F.col("source_type").isin("crawler", "webpage") & (F.trim("source_url") != ""))
+    latest = rows.groupBy(F.trim("source_url").alias("url")).agg(
+        F.max_by("document_id", F.struct("updated_at", "version", "document_id")).alias("document_id"), F.count("*").alias("n_rows")
+    )
+    return latest
+
+
+def soft_deleted(registry: DataFrame, deleted: DataFrame, at: str) -> DataFrame:
+    """The registry after deleting `deleted(document_id)` at a given time; what is deleted already stays as it is."""
+    gone = deleted.select(key_of(F.col("document_id")).alias("gone")).distinct()
+    hit = F.col("gone").isNotNull() & ~F.col("status").eqNullSafe(F.lit("deleted"))
+    joined = registry.join(gone, key_of(registry["document_id"]) == F.col("gone"), "left")
+    return joined.withColumn("updated_at", F.when(hit, F.lit(at).cast("timestamp_ntz")).otherwise(F.col("updated_at"))).withColumn(
+        "status", F.when(hit, "deleted").otherwise(F.col("status"))
+    ).drop("gone")
+
+
+def upload_decisions(incoming: DataFrame, registry: DataFrame) -> DataFrame:
+    """`url, content_hash` of incoming pages with an `action`: unchanged, replace, duplicate or create."""
+    web = active_web_documents(registry).select("url", F.col("document_id").alias("active_id"))
+    current = current_documents(registry, "status", "content_hash")
+    hashes = current.select(F.col("document_id").alias("known_id"), content_key(F.col("content_hash")).alias("known_hash"), "status")
+    by_id = hashes.select(F.col("known_id").alias("active_id"), F.col("known_hash").alias("active_hash"))
+    by_hash = hashes.where("status = 'completed' and known_hash is not null").groupBy("known_hash").agg(F.min("known_id").alias("duplicate_of"))
+    keyed = incoming.select(F.trim("url").alias("url"), content_key(F.col("content_hash")).alias("hash_key"))
+    found = keyed.join(web, "url", "left").join(by_id, "active_id", "left").join(by_hash, F.col("hash_key") == F.col("known_hash"), "left")
+    action = (
+        F.when(F.col("active_id").isNotNull() & F.col("active_hash").eqNullSafe(F.col("hash_key")), "unchanged")
+        .when(F.col("active_id").isNotNull(), "replace").when(F.col("duplicate_of").isNotNull(), "duplicate").otherwise("create")
+    )
+    return found.select("url", "hash_key", action.alias("action"))
