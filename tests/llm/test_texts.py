@@ -69,7 +69,7 @@ def test_repeated_lines_like_brute_force(spark):
                 places.append((node, k, site[doc], line_form(line)))
     assert found == {(n, k) for n, k, s, f in places if len(where[s, f]) >= 8} and found
     kept = {r.node_id: r.text for r in without_repeated_lines(frame, repeated_lines(frame, registry(spark, docs))).collect()}
-    assert all("own line" in t.lower() for t in kept.values() if t) and len(kept) == len({p[0] for p in pages})
+    assert all("own line" in t.lower() for n, t in kept.items() if t and n[0] == "d") and len(kept) == len({p[0] for p in pages})
     assert repeated_lines(frame.where("false"), registry(spark, [])).count() == 0
 
 
