@@ -51,7 +51,7 @@ def test_repeated_lines_like_brute_force(spark):
         url = rnd.choice(["https://www.a.example/x", "HTTP://A.example:80/y", "http://b.example", None])
         docs.append((f"D{d}", url))
         for c in range(rnd.randint(1, 3)):
-            lines = [rnd.choice(pool).format(n=rnd.randint(1, 999)) for _ in range(6)] + [f"Own line {rnd.random()} of {d}"]
+            lines = [rnd.choice(pool).format(n=rnd.randint(1, 999)) for _ in range(6)] + ["Own line " + "".join(rnd.choice("abcdefghij") for _ in range(12))]
             lines = [x.upper() if rnd.random() < 0.2 else x + rnd.choice(["", "", "  ", ".", "…"]) for x in lines]
             rnd.shuffle(lines)
             pages.append((f"d{d}:v1:s0:c{c}:h", "\n".join(lines), d))
