@@ -155,3 +155,42 @@ def cleaned_lines(documents: DataFrame, id_col: str = "doc_id", title_col: str =
     lines = lines.withColumn("first", first).where("pos >= first")
     joined = F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"])
     return lines.groupBy(id_col).agg(F.array_join(joined, "\n").alias("text"))
+
+
+# Words of addresses and services that an area heading never has.
+NOT_AREA = r"(?i)\b(road|street|lane|tel|hours|floor|fax|email|address|service|services|library)\b"
+
+
+def directory_entries(documents: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """`id, entry, area, library, text` of each library entry of a directory.
+
+    An entry starts at a line of at most 8 words that names a library, and holds the lines up to
+    the next one; a `## ` heading of at most 6 words without numbers or address words names the
+    area of the entries below it and closes the one above.
+    """
+    lines = lines_of(documents.select(id_col, "text")).withColumn("line", strip(F.col("line"))).where("line != ''")
+    n_words = F.size(F.split("line", r"\s+"))
+    area = F.col("line").startswith("## ") & (n_words <= 7) & ~F.col("line").rlike(r"\d") & ~F.col("line").rlike(NOT_AREA)
+    library = ~area & (n_words <= 8) & F.lower("line").contains("library") & ~F.col("line").startswith("##")
+    lines = lines.withColumns({"is_area": F.coalesce(area, F.lit(False)), "is_library": F.coalesce(library, F.lit(False))})
+    order = W.partitionBy(id_col).orderBy("pos")
+    lines = lines.withColumns(
+        {
+            "area": F.last(F.when(F.col("is_area"), F.substring("line", 4, 1000)), ignorenulls=True).over(order),
+            "entry": F.sum((F.col("is_library") | F.col("is_area")).cast("int")).over(order),
+        }
+    )
+    joined = F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"])
+    out = lines.groupBy(id_col, "entry").agg(
+        F.min("area").alias("area"), F.min(F.when(F.col("is_library"), F.col("line"))).alias("library"), F.array_join(joined, "\n").alias("text")
+    )
+    return out.where("library is not null")
+
+
+def shared_paragraphs(documents: DataFrame, id_col: str = "doc_id", title_col: str = "title") -> DataFrame:
+    """`paragraph_id, title, n_documents, first_id` of each distinct paragraph under its title."""
+    titles = documents.select(id_col, title_col)
+    rows = paragraphs(documents, id_col).join(titles, id_col)
+    name = F.coalesce(F.col(title_col), F.lit(""))
+    key = F.left(F.sha2(F.concat(name, F.lit("\n"), "text"), 256), F.lit(24))
+    return rows.groupBy(key.alias("paragraph_id")).agg(F.min(name).alias("title"), F.count_distinct(id_col).alias("n_documents"), F.min(id_col).alias("first_id"))

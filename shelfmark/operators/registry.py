@@ -95,3 +95,14 @@ def upload_decisions(incoming: DataFrame, registry: DataFrame) -> DataFrame:
         .when(F.col("active_id").isNotNull(), "replace").when(F.col("duplicate_of").isNotNull(), "duplicate").otherwise("create")
     )
     return found.select("url", "hash_key", action.alias("action"))
+
+
+def folded_status(registry: DataFrame) -> DataFrame:
+    """`document_id, status, error_message, chunk_count, n_states`: the states of a document folded in order of
+    `updated_at`; status and message are the last ones, even if null, the chunk count the last one given."""
+    order = F.struct("updated_at", "version", "status")
+    rows = registry.distinct().withColumn("key", key_of(F.col("document_id"))).where("key is not null")
+    last = F.max_by(F.struct("status", "error_message"), order)
+    count = F.max_by("chunk_count", F.when(F.col("chunk_count").isNotNull(), order))
+    out = rows.groupBy(F.col("key").alias("document_id")).agg(last.alias("last"), count.alias("chunk_count"), F.count("*").alias("n_states"))
+    return out.select("document_id", "last.status", "last.error_message", "chunk_count", "n_states")

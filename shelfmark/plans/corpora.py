@@ -101,6 +101,10 @@ def upload_decisions(spark: SparkSession, folder: str) -> DataFrame:
     return R.upload_decisions(incoming, registry).groupBy("action").agg(F.count("*").alias("n_uploads"))
 
 
+def status_lifecycle(spark: SparkSession, folder: str) -> DataFrame:
+    return R.folded_status(_registry(spark, folder))
+
+
 def label_semi_join(spark: SparkSession, folder: str) -> DataFrame:
     found = L.labels_with_chunks(_labels(spark, folder), table(spark, folder, "data_hkpl_knowledge"))
     return found.select("id", "source_chunk_id").distinct()
@@ -140,7 +144,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         corpus_counts, corpus_roles, audit_summary, chunk_type_distribution, chunks_per_document, registry_mismatches, stale_or_orphaned, split_sections,
-        duplicate_groups, audit_checks, registry_latest, registry_counts, completed_duplicates, active_web_documents, registry_delete, upload_decisions,
+        duplicate_groups, audit_checks, registry_latest, registry_counts, completed_duplicates, active_web_documents, registry_delete, upload_decisions, status_lifecycle,
         label_semi_join, label_coverage, label_repair, label_merge, label_upsert, label_sampling, evidence_hits,
     )
 }
@@ -201,6 +205,9 @@ ORACLES = {
         SELECT CASE WHEN w.document_id IS NOT NULL AND c.h IS NOT DISTINCT FROM i.h THEN 'unchanged' WHEN w.document_id IS NOT NULL THEN 'replace'
                     WHEN d.h IS NOT NULL THEN 'duplicate' ELSE 'create' END AS action, count(*) AS n_uploads
         FROM i LEFT JOIN w USING (url) LEFT JOIN c ON c.document_id = w.document_id LEFT JOIN d ON d.h = i.h GROUP BY 1""",
+    "status_lifecycle": f"""WITH r AS (SELECT DISTINCT * FROM knowledge_documents)
+        SELECT {_KEY('document_id')} AS document_id, arg_max_null(status, (updated_at, version, status)) AS status, arg_max_null(error_message, (updated_at, version, status)) AS error_message,
+               arg_max(chunk_count, (updated_at, version, status)) FILTER (chunk_count IS NOT NULL) AS chunk_count, count(*) AS n_states FROM r GROUP BY 1""",
     "label_semi_join": f"SELECT DISTINCT id, source_chunk_id FROM evaluation_dataset WHERE {_KEY('source_chunk_id')} IN (SELECT {_KEY('node_id')} FROM data_hkpl_knowledge)",
     "label_coverage": f"""WITH l AS (SELECT DISTINCT * FROM evaluation_dataset), c AS (SELECT {_KEY('node_id')} AS k, min(text) AS text FROM data_hkpl_knowledge GROUP BY 1)
         SELECT count(*) AS n_labels, count(text) AS chunk_found,

@@ -90,11 +90,20 @@ def record_texts(spark: SparkSession, folder: str) -> DataFrame:
     return docs.groupBy(F.md5(C.record_lines(docs, columns)).alias("record")).agg(F.count("*").alias("n_rows"))
 
 
+def directory_entries(spark: SparkSession, folder: str) -> DataFrame:
+    return _digest(C.directory_entries(table(spark, folder, "documents")))
+
+
+def shared_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
+    return C.shared_paragraphs(table(spark, folder, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         text_functions, token_usage, document_type_detect, type_rules, heading_sections, marked_sections, announcement_entries,
         faq_entries, paragraphs, chunk_ids, sentence_pieces, news_clean, record_texts,
+        directory_entries, shared_paragraphs,
     )
 }
 
@@ -134,6 +143,18 @@ ORACLES = {
         f AS (SELECT k.*, min(CASE WHEN line IS DISTINCT FROM regexp_replace(regexp_replace(title, '\s+', ' ', 'g'), {_STRIP}) THEN pos END) OVER (PARTITION BY doc_id) AS first
               FROM k JOIN (SELECT doc_id, title FROM documents) USING (doc_id))
         SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS text FROM f WHERE pos >= first GROUP BY doc_id""",
+    "shared_paragraphs": f"""
+        SELECT left(sha256(coalesce(title, '') || chr(10) || text), 24) AS paragraph_id, min(coalesce(title, '')) AS title, count(DISTINCT doc_id) AS n_documents, min(doc_id) AS first_id
+        FROM ({_PARA}) JOIN (SELECT doc_id, title FROM documents) USING (doc_id) GROUP BY 1""",
+    "directory_entries": rf"""
+        WITH l AS (SELECT * FROM (SELECT doc_id, pos, regexp_replace(line, {_STRIP}) AS line FROM ({LINES_SQL})) WHERE line <> ''),
+        a AS (SELECT *, starts_with(line, '## ') AND len(regexp_split_to_array(line, '\s+')) <= 7 AND NOT regexp_matches(line, '\d')
+                     AND NOT regexp_matches(line, '(?i)\b(road|street|lane|tel|hours|floor|fax|email|address|service|services|library)\b') AS is_area FROM l),
+        b AS (SELECT *, NOT is_area AND len(regexp_split_to_array(line, '\s+')) <= 8 AND contains(lower(line), 'library') AND NOT starts_with(line, '##') AS is_library FROM a),
+        c AS (SELECT *, last_value(CASE WHEN is_area THEN substring(line, 4) END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos) AS area,
+                     CAST(sum(CASE WHEN is_library OR is_area THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS BIGINT) AS entry FROM b)
+        SELECT doc_id, entry, min(area) AS area, min(CASE WHEN is_library THEN line END) AS library, sha256(string_agg(line, chr(10) ORDER BY pos)) AS text
+        FROM c GROUP BY doc_id, entry HAVING min(CASE WHEN is_library THEN line END) IS NOT NULL""",
     "record_texts": r"""
         WITH r AS (SELECT DISTINCT * FROM knowledge_documents)
         SELECT md5(concat_ws(chr(10), """ + ", ".join(
