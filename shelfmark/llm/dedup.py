@@ -9,6 +9,7 @@ are extended by the accepted texts. History is never processed again.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,20 +28,26 @@ from shelfmark.session import new_path, small_or_not, written
 SHINGLE, WINNOW = 5, 5
 #: Texts differ in at most one word in so many.
 ONE_IN = 10
-#: A fingerprint in more texts than this is common; it links each text to the earliest one only.
+#: A fingerprint in more texts than this is common; its texts are compared within a band of sizes only.
 COMMON = 64
 #: Fingerprints of a text that are kept and looked up: the least by value (all those of a short text).
 SKETCH = 48
+#: A text of fewer words keeps every shingle.
+SHORT = 60
 #: Share of the smaller sketch that two texts must have in common before they are compared, in rare
-#: fingerprints or in common ones that both link to the same earliest text.
+#: fingerprints alone or in all of them.
 RARE_SHARE, COMMON_SHARE = 0.07, 0.15
+#: So many of the most frequent common fingerprints of a full sketch link nothing: texts that share enough share others too.
+UNLINKED = math.ceil(COMMON_SHARE * SKETCH) // 2
+#: Width of a band of sizes, as a logarithm: texts near each other are in the same band or in two next to each other.
+BAND = 1.05 * math.log(1 / (1 - 1 / ONE_IN))
 BLOOM_PARTS, BLOOM_BITS, BLOOM_HASHES = 64, 12, 6
 
-ARTICLE_SCHEMA = "doc string, digest bigint, words array<int>, fps array<bigint>"
+ARTICLE_SCHEMA = "doc string, digest bigint, words array<int>, size int, fps array<bigint>, firsts array<int>, lasts array<int>"
 
 
-def winnowed(words: np.ndarray) -> np.ndarray:
-    """Distinct fingerprints of a sequence of word hashes, in ascending order."""
+def shingles(words: np.ndarray) -> np.ndarray:
+    """The hash of each shingle of a sequence of word hashes, in order."""
     n = len(words)
     if not n:
         return np.zeros(0, dtype=np.int64)
@@ -54,10 +61,19 @@ def winnowed(words: np.ndarray) -> np.ndarray:
         h ^= h >> np.uint64(29)
         h *= np.uint64(0xBF58476D1CE4E5B9)
         h ^= h >> np.uint64(32)
-    h = h.view(np.int64)
-    if len(h) > WINNOW:
-        h = np.lib.stride_tricks.sliding_window_view(h, WINNOW).min(axis=1)
-    return np.unique(h)
+    return h.view(np.int64)
+
+
+def sketched(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The fingerprints kept of a text in ascending order, and the first and last place of each."""
+    h = shingles(words)
+    if len(words) < SHORT:
+        fps = np.unique(h)
+    else:
+        fps = np.unique(np.lib.stride_tricks.sliding_window_view(h, WINNOW).min(axis=1))[:SKETCH]
+    order = np.argsort(h, kind="stable")
+    ascending = h[order]
+    return fps, order[np.searchsorted(ascending, fps, "left")], order[np.searchsorted(ascending, fps, "right") - 1]
 
 
 def articles(pages: DataFrame, registry: DataFrame) -> DataFrame:
@@ -77,11 +93,12 @@ def articles(pages: DataFrame, registry: DataFrame) -> DataFrame:
             flat, offsets = batch.column(1).flatten().to_numpy(zero_copy_only=False), batch.column(1).offsets.to_numpy() - batch.column(1).offsets[0].as_py()
             words = [flat[a:b].astype(np.int32) for a, b in zip(offsets, offsets[1:])]
             digests = [xxhash.xxh64_intdigest(w.tobytes()) - (1 << 63) if len(w) else None for w in words]
-            fps = [winnowed(w)[:SKETCH] for w in words]
+            fps, firsts, lasts = zip(*map(sketched, words)) if words else ((), (), ())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(digests, pa.int64()), pa.array(words, pa.list_(pa.int32())), pa.array(fps, pa.list_(pa.int64()))],
-                names=["doc", "digest", "words", "fps"],
-            )
+                [batch.column(0), pa.array(digests, pa.int64()), pa.array(words, pa.list_(pa.int32())), pa.array(map(len, words), pa.int32()),
+                 pa.array(fps, pa.list_(pa.int64())), *(pa.array([p.astype(np.int32) for p in ps], pa.list_(pa.int32())) for ps in (firsts, lasts))],
+                names=["doc", "digest", "words", "size", "fps", "firsts", "lasts"],
+            )
 
     return whole.mapInArrow(run, ARTICLE_SCHEMA)
 
@@ -102,7 +119,7 @@ def first_deliveries(batches: DataFrame) -> DataFrame:
 class Store:
     """What has been accepted, as tables of one folder that only grow.
 
-    documents: doc, ord, hash_key, digest. sketch: digest, fp, common, n, at. words: digest, words. blooms: part, bits; each delivery adds filters for its
+    documents: doc, ord, hash_key, digest. sketch: digest, fp, first, last, holders, n, size. words: digest, words. blooms: part, bits; each delivery adds filters for its
     own fingerprints, so nothing accepted before is read to extend them.
     """
 
@@ -110,7 +127,7 @@ class Store:
         self.spark, self.path = spark, path or new_path(spark, "store")
         self.schemas = {
             "documents": f"doc string, ord {ord_type}, hash_key string, digest bigint",
-            "sketch": "digest bigint, fp bigint, common boolean, n int, at bigint",
+            "sketch": "digest bigint, fp bigint, first int, last int, holders bigint, n int, size int",
             "words": "digest bigint, words array<int>",
             "blooms": "part int, bits binary",
         }
@@ -126,18 +143,18 @@ class Store:
 
 
 def common_fingerprints(texts: DataFrame) -> DataFrame:
-    """`common_fp` of every fingerprint in more than COMMON different texts."""
+    """`common_fp, holders` of every fingerprint in more than COMMON different texts."""
     counted = texts.select(F.explode("fps").alias("fp")).groupBy("fp").count()
-    return counted.where(F.col("count") > COMMON).select(F.col("fp").alias("common_fp"))
+    return counted.where(F.col("count") > COMMON).select(F.col("fp").alias("common_fp"), F.col("count").alias("holders"))
 
 
 def sketches(texts: DataFrame, common: DataFrame) -> DataFrame:
-    """`digest, fp, common, n, at`: the fingerprints of each text; n is how many it has, at is batch and
-    time of its delivery in one number."""
-    at = F.shiftleft(F.col("ord.batch").cast("bigint"), 52) + F.col("ord.time").bitwiseAND((1 << 52) - 1)
-    rows = texts.select("digest", at.alias("at"), F.explode("fps").alias("fp"), F.size("fps").alias("n"))
+    """`digest, fp, first, last, holders, n, size`: the fingerprints of each text and their places; holders
+    is null for a rare one, n is how many fingerprints the text has, size its words."""
+    rows = texts.select("digest", F.explode(F.arrays_zip("fps", "firsts", "lasts")).alias("f"), F.size("fps").alias("n"), "size")
+    rows = rows.select("digest", F.col("f.fps").alias("fp"), F.col("f.firsts").alias("first"), F.col("f.lasts").alias("last"), "n", "size")
     rows = rows.join(common, rows.fp == common.common_fp, "left")
-    return rows.select("digest", "fp", F.col("common_fp").isNotNull().alias("common"), "n", "at")
+    return rows.select("digest", "fp", "first", "last", "holders", "n", "size")
 
 
 def _positions(fps: np.ndarray, n_bits: int) -> np.ndarray:
@@ -184,20 +201,36 @@ def screened(sketch: DataFrame, blooms: DataFrame) -> DataFrame:
 def candidate_pairs(new: DataFrame, known: DataFrame) -> DataFrame:
     """`x, y`: new texts and the known or new texts they share enough of their sketch with.
 
-    A rare fingerprint links all its texts, at most COMMON of them; a common one links each text
-    to its earliest only, so a phrase, or a third of all rows copied from one text, gives links
-    in proportion to its texts. Each unordered pair comes out once.
+    Texts near each other differ in size by one word in ONE_IN at most, and no place they share moves
+    further; so only fingerprints at such places of texts of such sizes count, and no text that is
+    near is lost. A rare fingerprint links all its texts, at most COMMON of them. A common one links
+    all its texts too, joined by bands of sizes; of a full sketch the UNLINKED most frequent ones are left out
+    and taken as shared. Each unordered pair comes out once.
     """
     every = new.withColumn("new", F.lit(True)).unionByName(known.withColumn("new", F.lit(False)))
-    left = new.select("fp", "common", F.col("digest").alias("x"), F.col("n").alias("nx"))
-    right = every.where("not common").select("fp", F.col("digest").alias("y"), F.col("n").alias("ny"), "new")
-    rare = left.where("not common").join(right, "fp").where("x > y or (not new and x != y)").drop("new")
-    heads = every.where("common").groupBy("fp").agg(F.min(F.struct("at", "digest", "n")).alias("h"))
-    heads = heads.select("fp", F.col("h.digest").alias("y"), F.col("h.n").alias("ny"))
-    often = left.where("common").join(heads, "fp").where("x != y")
-    both = rare.unionByName(often).groupBy("x", "y", "common").agg(F.count("*").alias("shared"), F.min(F.least("nx", "ny")).alias("least"))
-    need = F.greatest(F.ceil(F.col("least") * F.when(F.col("common"), COMMON_SHARE).otherwise(RARE_SHARE)), F.lit(1))
-    return both.where(F.col("shared") >= need).select("x", "y").distinct()
+    full = (F.col("n") >= SKETCH) & (F.col("size") >= SHORT)
+    every = every.withColumn("unlinked", F.when(full, UNLINKED).otherwise(0)).withColumn("band", F.floor(F.log("size") / BAND))
+    order = W.partitionBy("new", "digest").orderBy(F.col("holders").desc(), "fp")
+    often = every.where("holders is not null").withColumn("place", F.row_number().over(order)).where("place > unlinked").drop("place")
+    columns = ["digest", "first", "last", "n", "size", "unlinked"]
+    side = lambda rows, k, *more: rows.select("fp", *more, *[F.col(c).alias(f"{c}_{k}") for c in columns])
+    most = F.floor(F.greatest("size_x", "size_y") / ONE_IN)
+    close = (F.abs(F.col("size_x") - F.col("size_y")) <= most) & (F.col("first_x") - most <= F.col("last_y")) & (F.col("first_y") - most <= F.col("last_x"))
+    once = F.expr("digest_x > digest_y or (not new and digest_x != digest_y)")
+    rare = every.where("holders is null")
+    rare = side(rare.where("new"), "x").join(side(rare, "y", "new"), "fp").where(close & once)
+    bands = often.withColumn("band", F.explode(F.array(*[F.col("band") + i for i in (-1, 0, 1)])))
+    often = side(often.where("new"), "x", "band").join(side(bands, "y", "band", "new"), ["fp", "band"]).where(close & once)
+    hit = lambda rows, is_rare: rows.select(
+        F.col("digest_x").alias("x"), F.col("digest_y").alias("y"), F.lit(is_rare).alias("rare"),
+        F.least("n_x", "n_y").alias("least"), F.greatest("unlinked_x", "unlinked_y").alias("unlinked"),
+    )
+    both = hit(rare, 1).unionByName(hit(often, 0)).groupBy("x", "y").agg(
+        F.sum("rare").alias("rare"), F.count("*").alias("shared"), F.min("least").alias("least"), F.max("unlinked").alias("unlinked")
+    )
+    need = lambda share: F.ceil(F.col("least") * share)
+    enough = (F.col("rare") >= F.greatest(need(RARE_SHARE), F.lit(1))) | (F.col("shared") >= F.greatest(need(COMMON_SHARE) - F.col("unlinked"), F.lit(1)))
+    return both.where(enough).select("x", "y")
 
 
 def within_distance(a: np.ndarray, b: np.ndarray, most: int) -> bool:
@@ -301,7 +334,7 @@ def settled(new: DataFrame, accepted: DataFrame, near: DataFrame, max_rounds: in
 def admit(delivery: DataFrame, texts: DataFrame, words: DataFrame, common: DataFrame, store: Store) -> DataFrame:
     """Pairs of a delivery of new documents, in one or more batches; the store is extended.
 
-    `delivery(doc, ord, hash_key, digest)` are the new documents, `texts(digest, ord, fps)` their
+    `delivery(doc, ord, hash_key, digest)` are the new documents, `texts(digest, ord, size, fps, firsts, lasts)` their
     distinct texts and `words(doc, digest, words)` the words of every new document. Pairs are `document_id_a, document_id_b`, smaller first: a document and
     the accepted document before it that it repeats, by hash or by text.
     """
@@ -360,7 +393,7 @@ def repeated_deliveries(batches: DataFrame, registry: DataFrame, pages: DataFram
     firsts = firsts.agg(F.min_by("doc", "ord").alias("doc"), F.min("ord").alias("ord"))
     firsts = firsts.groupBy("digest").agg(F.min("doc").alias("doc"), F.collect_list("ord").alias("ords"))
     firsts = small_or_not(firsts.select("doc", "ords"), "firsts")
-    distinct = written(texts.join(firsts, "doc").select("digest", "ords", "fps"), "texts")
+    distinct = written(texts.join(firsts, "doc").select("digest", "ords", "size", "fps", "firsts", "lasts"), "texts")
     words = texts.where("digest is not null").select("doc", "digest", "words")
     common = small_or_not(common_fingerprints(distinct), "common")
     store = Store(spark, deliveries.schema["ord"].dataType.simpleString())

@@ -133,6 +133,31 @@ def test_deliveries_like_brute_force(spark):
     assert stepwise == pairs
 
 
+def test_common_fingerprints_lose_no_repeat(spark):
+    # Two families of texts over the limit of common fingerprints: B has another block of words than A.
+    rnd = random.Random(5)
+    words = [a + b + c for a in "bcdfghjkl" for b in "aeiou" for c in "mnprstvwx"]
+    a = [rnd.choice(words) for _ in range(400)]
+    b = a[:200] + [rnd.choice(words) for _ in range(50)] + a[250:]
+    texts = [a, b] + [[rnd.choice(words) if rnd.random() < 0.02 else w for w in base] for base in (a, b) for _ in range(80)]
+    place = {w: i for i, w in enumerate(words)}
+    ids = [np.array([place[w] for w in t]) for t in texts]
+    accepted, pairs = [], set()
+    for i in range(len(texts)):
+        hit = [x for x in accepted if within_distance(ids[x], ids[i], 40)]
+        pairs |= {tuple(sorted((f"d{x}", f"d{i}"))) for x in hit}
+        if not hit:
+            accepted.append(i)
+    rows = [(1, f"d{i}", T0 + timedelta(minutes=i)) for i in range(len(texts))]
+    registry = [(f"d{i}", f"h{i}", f"http://s{i}.example/", "completed", 1, T0, T0) for i in range(len(texts))]
+    found = repeated_deliveries(
+        spark.createDataFrame(rows, "batch_no int, document_id string, received_at timestamp_ntz"),
+        spark.createDataFrame(registry, "document_id string, content_hash string, source_url string, status string, version int, uploaded_at timestamp_ntz, updated_at timestamp_ntz"),
+        spark.createDataFrame([(f"d{i}:v1:s0:c0:h", " ".join(t)) for i, t in enumerate(texts)], "node_id string, text string"),
+    )
+    assert {(r.document_id_a, r.document_id_b) for r in found.collect()} == pairs and accepted == [0, 1]
+
+
 def test_no_deliveries(spark):
     frames, _ = deliveries(spark, 9)
     assert repeated_deliveries(frames[0].where("false"), frames[1].where("false"), frames[2].where("false")).count() == 0
