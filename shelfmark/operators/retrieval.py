@@ -67,6 +67,21 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, k: int = TOP_K, id_col: s
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def nearest_alike(queries: DataFrame, corpus: DataFrame, k: int, label_col: str = "label", id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """`query_id, rank, vec_id, score`: the `k` nearest other vectors of each query's own label, among all of
+    that label; a query without any has no rows. Each label is searched in blocks by itself."""
+    found = None
+    for (label,) in queries.select(label_col).distinct().where(F.col(label_col).isNotNull()).collect():
+        own = F.col(label_col) == F.lit(label)
+        part = vector_topk(queries.where(own), corpus.where(own), k + 1, id_col, vec_col)
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        return vector_topk(queries.where("false"), corpus.where("false"), k, id_col, vec_col)
+    order = W.partitionBy("query_id").orderBy("rank")
+    others = found.where(F.col("vec_id") != F.col("query_id")).withColumn("rank", F.row_number().over(order))
+    return others.where(F.col("rank") <= k)
+
+
 def reranked(candidates: DataFrame, score: Column, n: int = TOP_N) -> DataFrame:
     """The best `n` of each query by `score`; null scores come last, in the order they had."""
     order = W.partitionBy("query_id").orderBy(score.desc_nulls_last(), "rank")
@@ -85,7 +100,7 @@ def metrics_at_k(expected: DataFrame, ranked: DataFrame, cutoffs: tuple[int, ...
     for k in cutoffs:
         hits = F.count_if(F.col("rank") <= k)
         measures += [
-            (hits > 0).cast("int").alias(f"hit_{k}"), F.coalesce(hits / n, F.lit(0.0)).alias(f"recall_{k}"),
+            (hits > 0).cast("int").alias(f"hit_{k}"), F.coalesce(F.try_divide(hits, n), F.lit(0.0)).alias(f"recall_{k}"),
             ((hits == n) & (n > 0)).cast("int").alias(f"complete_{k}"),
         ]
     return found.groupBy("query_id").agg(*measures, F.coalesce(F.lit(1.0) / F.min("rank"), F.lit(0.0)).alias("reciprocal_rank"))

@@ -11,6 +11,7 @@ from shelfmark.operators import chunking as C
 from shelfmark.operators import crawl, history
 from shelfmark.operators import labels as L
 from shelfmark.operators.retrieval import metrics_at_k, vector_topk
+from shelfmark.plans.retrieval import retrieval_metrics_at_k
 
 
 def values(spark, column, *texts):
@@ -75,6 +76,16 @@ def test_metrics(spark):
     assert (m[2].hit_5, m[2].recall_5, m[2].complete_5, m[2].reciprocal_rank) == (0, 0.0, 0, 0.0)
 
 
+def test_expected_items_stand_anywhere(spark, tmp_path):
+    # One item of the query's label is next to it, two stand behind 60 of another label; query 100 is alone with its label.
+    rows = [(0, 1, [1.0, 0.0]), (1, 1, [1.0, 0.001]), (2, 1, [0.0, 1.0]), (3, 1, [-1.0, 0.0]), (100, 3, [1.0, 0.5])]
+    rows += [(1001 + 20 * i, 2, [1.0, 0.01 + i / 1000]) for i in range(60)]
+    spark.createDataFrame(rows, "vec_id bigint, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = {r.query_id: r for r in retrieval_metrics_at_k(spark, str(tmp_path)).collect()}
+    assert (found[0].recall_3, found[0].complete_3) == (0.333333, 0)
+    assert (found[100].recall_5, found[100].complete_5, found[100].reciprocal_rank) == (0, 0, 0) and len(found) == 2
+
+
 def test_crawl_ends_on_cycles(spark):
     links = spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "c"), ("c", "d"), ("d", None)], "url string, link string")
     found = {r.url: r.depth for r in crawl.crawl_levels(spark.createDataFrame([("a",)], "url string"), links, 2).collect()}
