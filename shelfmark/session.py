@@ -5,8 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import weakref
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -27,10 +28,14 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, memory: str = "8g
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir where the cluster sets it.
 
-    Only where it is unset (tests, one machine) a temporary folder takes its place.
+    Only a local master, whose executors share one machine, may do without: a temporary folder
+    takes its place. Any other master without the setting is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError(f"spark.checkpoint.dir is unset; executors of {master} share no folder")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -41,32 +46,78 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_written: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def save(writer: DataFrameWriter, spark: SparkSession, path: str) -> None:
+    """Write Parquet and let go of the shuffle files behind it: what is written is read from there."""
+    before = spark.conf.get(CLEANUP, None)
+    try:
+        if before is not None:
+            spark.conf.set(CLEANUP, "true")
+        writer.parquet(path)
+    finally:
+        if before is not None:
+            spark.conf.set(CLEANUP, before)
+
+
 def written(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """The same rows, from a table written in the shared folder.
 
     Cuts the lineage and survives lost executors. The schema is given to the reader,
     so that an empty table can be read as well.
     """
-    path = new_path(df.sparkSession, name)
+    spark = df.sparkSession
+    path = new_path(spark, name)
     writer = df.write.mode("errorifexists")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    save(writer, spark, path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _written[out] = path
+    return out
 
 
-#: Rows up to which a written table may be broadcast; beyond that the join shuffles.
-BROADCAST_ROWS = 200_000
+def let_go(*tables: DataFrame) -> None:
+    """Delete tables of `written` that no query reads any more; other tables are left alone."""
+    for table in tables:
+        if path := _written.pop(table, None):
+            p, fs = _file_system(table.sparkSession, path)
+            fs.delete(p, True)
+
+
+#: Rows and bytes (as Parquet) up to which a written table may be broadcast; beyond that the join shuffles.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 16 << 20
 
 
 def small_or_not(df: DataFrame, name: str, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """The rows, written and counted: with a broadcast hint only if the count is within `limit`."""
+    """The rows, written and measured: with a broadcast hint only if rows and bytes are within their limits."""
     table = written(df, name)
-    return F.broadcast(table) if table.limit(limit + 1).count() <= limit else table
+    if not is_small(table, limit):
+        return table
+    hinted = F.broadcast(table)
+    _written[hinted] = _written[table]
+    return hinted
+
+
+def is_small(table: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
+    """Whether a table of `written` may be broadcast."""
+    p, fs = _file_system(table.sparkSession, _written[table])
+    return fs.getContentSummary(p).getLength() <= BROADCAST_BYTES and table.limit(limit + 1).count() <= limit
+
+
+def _file_system(spark: SparkSession, path: str) -> tuple:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p, fs = _file_system(spark, path)
+    return bool(fs.exists(p))
 
 
 def is_file(spark: SparkSession, path: str) -> bool:
     """Whether a path is one file, on whatever file system."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    p, fs = _file_system(spark, path)
     return bool(fs.exists(p)) and fs.getFileStatus(p).isFile()
