@@ -45,6 +45,7 @@ _HAN = re.compile(r"[㐀-鿿]")
 _DIGITS = re.compile(r"\d+")
 _SPACE = re.compile(r"\s+")
 _PLAIN = {**{ord(k): v for k, v in LOOK_ALIKES.items()}, **dict.fromkeys(map(ord, "​‌‍⁠﻿­"))}
+_ODD = re.compile("[" + "".join(map(chr, _PLAIN)) + "]")
 _LATIN = re.compile(r"[a-zA-Z]")
 
 
@@ -53,8 +54,9 @@ def plain_line(line: str) -> str:
     if line.isascii():
         return _SPACE.sub(" ", line).strip()
     line = unicodedata.normalize("NFKC", line)
-    words = [w.translate(_PLAIN) if _LATIN.search(w) else w for w in line.split(" ")]
-    return _SPACE.sub(" ", " ".join(words)).strip()
+    if _ODD.search(line):
+        line = " ".join([w.translate(_PLAIN) if _LATIN.search(w) else w for w in line.split(" ")])
+    return _SPACE.sub(" ", line).strip()
 
 
 def line_paths(line: str) -> tuple[str, str, str, str]:
@@ -86,58 +88,41 @@ def line_paths(line: str) -> tuple[str, str, str, str]:
 
 LINE_SCHEMA = (
     "node_id string, doc string, chunk_index int, line_no int, blank boolean, mark string, form bigint, whole bigint, "
-    "lead bigint, linkish boolean, sure boolean, length int, punctuation int, words array<int>, context bigint"
+    "lead bigint, linkish boolean, sure boolean, length int, punctuation int, line string, context bigint"
 )
 LINE_TYPES = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
-LINE_TYPES += [pa.bool_(), pa.bool_(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.int64()]
+LINE_TYPES += [pa.bool_(), pa.bool_(), pa.int32(), pa.int32(), pa.string(), pa.int64()]
 #: Beyond so many characters a line is a paragraph: its path is its opening and the whole of it.
 PARAGRAPH = 200
-WORD = re.compile(r"[㐀-鿿豈-﫿𠀀-𯿿]|[^\W_㐀-鿿豈-﫿𠀀-𯿿]+")
 _INDEX = re.compile(r":s(\d+):c(\d+):")
-_BLANK = (True, "", 0, 0, 0, False, False, 0, 0, ())
-_word_ids: dict[str, int] = {}
+_BLANK = (True, "", 0, 0, 0, False, False, 0, 0)
 
 
 def _hash(s: str) -> int:
     return xxhash.xxh64_intdigest(s.encode("utf-8", "replace")) - (1 << 63)
 
 
-def word_ids(line: str) -> list[int]:
-    """A 32-bit hash of each word of a plain line; a Chinese character is a word, case and punctuation don't count."""
-    out, ids = [], _word_ids
-    for word in WORD.findall(line.lower()):
-        known = ids.get(word)
-        if known is None:
-            if len(ids) > 300_000:
-                ids.clear()
-            known = xxhash.xxh32_intdigest(word.encode("utf-8", "replace"))
-            known = ids[word] = known - (1 << 32) if known >= 1 << 31 else known
-        out.append(known)
-    return out
-
-
-def _told(raw: str, with_words: bool) -> tuple:
-    """What LINE_SCHEMA holds of one line, apart from its place."""
+def _told(raw: str) -> tuple:
+    """What LINE_SCHEMA holds of one line, apart from its place and text."""
     line = plain_line(raw)
     if not line:
         return _BLANK
-    words = word_ids(line) if with_words else ()
     if len(line) > PARAGRAPH:
         mark, _, _, lead = line_paths(line[:80])
         form = _hash(line.lower())
-        return (False, mark, form, form, _hash(lead), False, False, len(line), len(PUNCTUATION.findall(line)), words)
+        return (False, mark, form, form, _hash(lead), False, False, len(line), len(PUNCTUATION.findall(line)))
     mark, exact, whole, lead = line_paths(line)
     row = lead.startswith("rows/")
     sure = row and lead[5:].strip() in HOME_LEADS or exact.startswith(LINK_LEADS) or line.startswith(LINK_LEADS)
     linkish = not row and len(line) < 140 and not exact.startswith("#") and not SENTENCE_END.search(line)
-    return (False, mark, _hash(exact), _hash(whole), _hash(lead), linkish, sure, len(line), len(PUNCTUATION.findall(line)), words)
+    return (False, mark, _hash(exact), _hash(whole), _hash(lead), linkish, sure, len(line), len(PUNCTUATION.findall(line)))
 
 
-def page_lines(pages: DataFrame, with_words: bool = False) -> DataFrame:
+def page_lines(pages: DataFrame, with_text: bool = False) -> DataFrame:
     """Every line of `pages(node_id, text)` with its paths as hashes; null texts have none.
 
-    The context is the chunk's longest line: copies of a page share it and count once. Words are
-    left empty unless asked for.
+    The context is the chunk's longest line: copies of a page share it and count once. The line
+    itself is null unless asked for.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,12 +140,12 @@ def page_lines(pages: DataFrame, with_words: bool = False) -> DataFrame:
                 for k, raw in enumerate(lines, 1):
                     known = seen.get(raw)
                     if known is None:
-                        known = _told(raw, with_words)
+                        known = _told(raw)
                         if len(raw) < 80:
                             if len(seen) > 50_000:
                                 seen.clear()
                             seen[raw] = known
-                    rows.append((node, doc, index, k, *known, context))
+                    rows.append((node, doc, index, k, *known, raw if with_text else None, context))
             columns = zip(*rows) if rows else [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, LINE_TYPES)], names=names)
 
@@ -170,9 +155,9 @@ def page_lines(pages: DataFrame, with_words: bool = False) -> DataFrame:
     return picked.mapInArrow(run, LINE_SCHEMA)
 
 
-def frame_lines(pages: DataFrame, registry: DataFrame, with_words: bool = False) -> DataFrame:
+def frame_lines(pages: DataFrame, registry: DataFrame, with_text: bool = False) -> DataFrame:
     """`doc, node_id, chunk_index, line_no, frame` of every line that isn't blank, doubled rows once;
-    on request with the `words` of each.
+    on request with the `line` itself.
 
     Pages without a URL share no site but take part in the paths; unknown documents count as
     pages without a URL. Null texts have no lines. Statistics are hashes and counts, aggregated
@@ -180,8 +165,8 @@ def frame_lines(pages: DataFrame, registry: DataFrame, with_words: bool = False)
     lines of one document, never those of a site.
     """
     sites = document_sites(registry).select("document_id", F.xxhash64("site").alias("site"))
-    lines = page_lines(pages, with_words)
-    lines = lines if with_words else lines.drop("words")
+    lines = page_lines(pages, with_text)
+    lines = lines if with_text else lines.drop("line")
     lines = lines.join(sites, lines.doc == sites.document_id, "left").drop("document_id")
     lines = lines.withColumn("site", F.coalesce("site", F.lit(0).cast("bigint")))
     lines = written(lines.withColumn("key", F.xxhash64("site", "form")), "frame")
@@ -224,7 +209,7 @@ def frame_lines(pages: DataFrame, registry: DataFrame, with_words: bool = False)
     base = ~F.col("blank") & (
         F.col("own") | F.col("w_path").isNotNull() | F.col("l_path").isNotNull() | F.col("sure")
     )
-    judged = judged.select("doc", "node_id", "chunk_index", "line_no", "blank", "mark", "whole", "linkish", base.alias("base"), *["words"] * with_words)
+    judged = judged.select("doc", "node_id", "chunk_index", "line_no", "blank", "mark", "whole", "linkish", base.alias("base"), *["line"] * with_text)
     judged = judged.repartition("doc").dropDuplicates(["doc", "node_id", "line_no"])
 
     order = W.partitionBy("doc").orderBy("chunk_index", "node_id", "line_no")
@@ -251,7 +236,7 @@ def frame_lines(pages: DataFrame, registry: DataFrame, with_words: bool = False)
     headed = F.max(F.when(F.col("is_head"), F.col("block"))).over(order)
     item = F.col("link") & (F.col("broken") == 0) & headed.eqNullSafe(F.col("block"))
     return judged.withColumn("frame", F.col("base") | F.coalesce(item, F.lit(False))).where("not blank").select(
-        "doc", "node_id", "chunk_index", "line_no", "frame", *["words"] * with_words
+        "doc", "node_id", "chunk_index", "line_no", "frame", *["line"] * with_text
     )
 
 

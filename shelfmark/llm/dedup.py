@@ -1,106 +1,68 @@
 """Deduplicating deliveries against everything accepted before.
 
-The accepted texts live in a store in the shared folder: winnowed content fingerprints, the words
-behind them, and Bloom filters partitioned by fingerprint. A delivery is fingerprinted, screened
-against the filters, and only what passes is looked up in the store; pairs that share enough are
-verified on their words, the order of delivery decides what is accepted, and store and filters
-are extended by the accepted texts. History is never processed again.
+What is accepted lives in a store at a path: winnowed content fingerprints, the texts behind
+them, and partitioned Bloom filters. Each delivery is one admission: its fingerprints are screened
+against the filters, only what passes is looked up in the store, pairs that share enough are
+verified word by word, the order of delivery decides what is accepted, and store and filters are
+extended by that. An admission reads the texts of its own delivery and of its candidates; history
+is never framed, fingerprinted or compared again.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
-import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shelfmark.llm.boilerplate import frame_lines
+from shelfmark.llm.fingerprints import ONE_IN, fingerprinted, within_distance, word_hashes
 from shelfmark.operators.registry import content_key, current_documents, key_of
-from shelfmark.session import new_path, small_or_not, written
-
-#: Words of a shingle, shingles of a winnowing window: any unchanged run of 9 words leaves a fingerprint.
-SHINGLE, WINNOW = 5, 5
-#: Texts differ in at most one word in so many.
-ONE_IN = 10
-#: A fingerprint in more texts than this is common; its texts are compared within a band of sizes only.
-COMMON = 64
-#: Fingerprints of a text that are kept and looked up: the least by value (all those of a short text).
-SKETCH = 48
-#: A text of fewer words keeps every shingle.
-SHORT = 60
-#: Share of the smaller sketch that two texts must have in common before they are compared, in rare
-#: fingerprints alone or in all of them.
-RARE_SHARE, COMMON_SHARE = 0.07, 0.15
-#: So many of the most frequent common fingerprints of a full sketch link nothing: texts that share enough share others too.
-UNLINKED = math.ceil(COMMON_SHARE * SKETCH) // 2
+from shelfmark.session import exists, is_small, let_go, new_path, save, small_or_not, written
+
 #: Width of a band of sizes, as a logarithm: texts near each other are in the same band or in two next to each other.
 BAND = 1.05 * math.log(1 / (1 - 1 / ONE_IN))
-BLOOM_PARTS, BLOOM_BITS, BLOOM_HASHES = 64, 12, 6
-
-ARTICLE_SCHEMA = "doc string, digest bigint, words array<int>, size int, fps array<bigint>, firsts array<int>, lasts array<int>"
-
-
-def shingles(words: np.ndarray) -> np.ndarray:
-    """The hash of each shingle of a sequence of word hashes, in order."""
-    n = len(words)
-    if not n:
-        return np.zeros(0, dtype=np.int64)
-    with np.errstate(over="ignore"):
-        w = words.astype(np.int64).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        w ^= w >> np.uint64(32)
-        k = min(SHINGLE, n)
-        h = np.zeros(n - k + 1, dtype=np.uint64)
-        for i in range(k):
-            h = h * np.uint64(0x100000001B3) + w[i : i + len(h)]
-        h ^= h >> np.uint64(29)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-        h ^= h >> np.uint64(32)
-    return h.view(np.int64)
-
-
-def sketched(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The fingerprints kept of a text in ascending order, and the first and last place of each."""
-    h = shingles(words)
-    if len(words) < SHORT:
-        fps = np.unique(h)
-    else:
-        fps = np.unique(np.lib.stride_tricks.sliding_window_view(h, WINNOW).min(axis=1))[:SKETCH]
-    order = np.argsort(h, kind="stable")
-    ascending = h[order]
-    return fps, order[np.searchsorted(ascending, fps, "left")], order[np.searchsorted(ascending, fps, "right") - 1]
+#: Bloom filters: bits a fingerprint, words of 64 bits in a block; a fingerprint sets one bit in each word of its block.
+BLOOM_BITS, BLOOM_WORDS = 12, 8
+#: Pairs that the fingerprints of one delivery may give among themselves before leaders are settled first.
+PAIR_LIMIT = 20_000_000
+#: Documents and links that are settled in one task; beyond that they are settled in rounds.
+TASK_ROWS = 200_000
+
+TEXT_SCHEMA = "doc string, text string, digest bigint, size int, need int, fps array<bigint>"
+ORD = "struct<batch:int,time:bigint,doc:string>"
 
 
 def articles(pages: DataFrame, registry: DataFrame) -> DataFrame:
-    """ARTICLE_SCHEMA of every document with chunks: its article in order, without the page frame.
+    """TEXT_SCHEMA of every document with chunks: its article in order, without the page frame.
 
     Words ignore case, punctuation, line breaks and look-alike characters; each Chinese character
-    is a word. The digest is null for an article without words. Only the words of one document
-    are ever in one row; they stay where the order of its lines was told.
+    is a word. The digest is null for an article without words. Only the lines of one document
+    are ever in one row; they stay where their order was told.
     """
-    lines = frame_lines(pages, registry, with_words=True)
-    kept = F.when(~F.col("frame"), F.struct("chunk_index", "node_id", "line_no", "words"))
+    lines = frame_lines(pages, registry, with_text=True)
+    kept = F.when(~F.col("frame"), F.struct("chunk_index", "node_id", "line_no", "line"))
     whole = lines.groupBy("doc").agg(F.array_sort(F.collect_list(kept)).alias("lines"))
-    whole = whole.select("doc", F.flatten(F.col("lines.words")).alias("words"))
+    return with_fingerprints(whole.select("doc", F.array_join("lines.line", "\n").alias("text")))
+
+
+def with_fingerprints(texts: DataFrame) -> DataFrame:
+    """TEXT_SCHEMA of `texts(doc, text)`; null texts are empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            flat, offsets = batch.column(1).flatten().to_numpy(zero_copy_only=False), batch.column(1).offsets.to_numpy() - batch.column(1).offsets[0].as_py()
-            words = [flat[a:b].astype(np.int32) for a, b in zip(offsets, offsets[1:])]
-            digests = [xxhash.xxh64_intdigest(w.tobytes()) - (1 << 63) if len(w) else None for w in words]
-            fps, firsts, lasts = zip(*map(sketched, words)) if words else ((), (), ())
+            found = fingerprinted([t or "" for t in batch.column(1).to_pylist()])
+            digests, sizes, needs, fps = zip(*found) if found else ((), (), (), ())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(digests, pa.int64()), pa.array(words, pa.list_(pa.int32())), pa.array(map(len, words), pa.int32()),
-                 pa.array(fps, pa.list_(pa.int64())), *(pa.array([p.astype(np.int32) for p in ps], pa.list_(pa.int32())) for ps in (firsts, lasts))],
-                names=["doc", "digest", "words", "size", "fps", "firsts", "lasts"],
-            )
+                [*batch.columns[:2], pa.array(digests, pa.int64()), pa.array(sizes, pa.int32()), pa.array(needs, pa.int32()), pa.array(fps, pa.list_(pa.int64()))],
+                names=["doc", "text", "digest", "size", "need", "fps"],
+            )
 
-    return whole.mapInArrow(run, ARTICLE_SCHEMA)
+    return texts.select("doc", "text").mapInArrow(run, TEXT_SCHEMA)
 
 
 def first_deliveries(batches: DataFrame) -> DataFrame:
@@ -111,301 +73,344 @@ def first_deliveries(batches: DataFrame) -> DataFrame:
     order = F.struct(F.col("batch_no").isNull().alias("b0"), "batch_no", F.col("received_at").isNull().alias("r0"), "received_at")
     first = batches.select(key_of(F.col("document_id")).alias("doc"), order.alias("at")).where("doc is not null")
     first = first.groupBy("doc").agg(F.min("at").alias("at"))
-    stamp = F.coalesce(F.unix_micros(F.col("at.received_at").cast("timestamp")), F.lit(1 << 60))
+    stamp = F.coalesce(F.unix_micros(F.col("at.received_at").cast("timestamp")), F.lit((1 << 63) - 1))
     ord_ = F.struct(F.coalesce("at.batch_no", F.lit(2147483647)).alias("batch"), stamp.alias("time"), F.col("doc").alias("doc"))
     return first.select("doc", F.col("at.batch_no").alias("batch_no"), ord_.alias("ord"))
 
 
 class Store:
-    """What has been accepted, as tables of one folder that only grow.
+    """What has been accepted, as tables below one path that only grow; opening the path again continues it.
 
-    documents: doc, ord, hash_key, digest. sketch: digest, fp, first, last, holders, n, size. words: digest, words. blooms: part, bits; each delivery adds filters for its
-    own fingerprints, so nothing accepted before is read to extend them.
+    documents: doc, ord, hash_key, digest of all delivered documents, and whether accepted. sketch: fp, digest, size, need, sorted by fp. texts: digest,
+    text. blooms: bits, block, w0 ... w7, a filter of 2 ** bits blocks for each delivery. Each delivery
+    adds a folder to every table and, when all are there, its row to `deliveries`; what a lost driver
+    left half written has no row, isn't read, and is written anew.
     """
 
-    def __init__(self, spark: SparkSession, ord_type: str, path: str | None = None):
-        self.spark, self.path = spark, path or new_path(spark, "store")
-        self.schemas = {
-            "documents": f"doc string, ord {ord_type}, hash_key string, digest bigint",
-            "sketch": "digest bigint, fp bigint, first int, last int, holders bigint, n int, size int",
-            "words": "digest bigint, words array<int>",
-            "blooms": "part int, bits binary",
-        }
-        for name, schema in self.schemas.items():
-            if path is None:
-                spark.createDataFrame([], schema).write.mode("append").parquet(f"{self.path}/{name}")
-
-    def table(self, name: str) -> DataFrame:
-        return self.spark.read.schema(self.schemas[name]).parquet(f"{self.path}/{name}")
-
-    def add(self, name: str, rows: DataFrame) -> None:
-        rows.write.mode("append").parquet(f"{self.path}/{name}")
-
-
-def common_fingerprints(texts: DataFrame) -> DataFrame:
-    """`common_fp, holders` of every fingerprint in more than COMMON different texts."""
-    counted = texts.select(F.explode("fps").alias("fp")).groupBy("fp").count()
-    return counted.where(F.col("count") > COMMON).select(F.col("fp").alias("common_fp"), F.col("count").alias("holders"))
-
+    SCHEMAS = {
+        "documents": f"doc string, ord {ORD}, hash_key string, digest bigint, accepted boolean",
+        "sketch": "fp bigint, digest bigint, size int, need int",
+        "texts": "digest bigint, text string",
+        "blooms": "block bigint, " + ", ".join(f"w{i} bigint" for i in range(BLOOM_WORDS)),
+        "deliveries": "delivery int, bits int, n_fps bigint",
+    }
 
-def sketches(texts: DataFrame, common: DataFrame) -> DataFrame:
-    """`digest, fp, first, last, holders, n, size`: the fingerprints of each text and their places; holders
-    is null for a rare one, n is how many fingerprints the text has, size its words."""
-    rows = texts.select("digest", F.explode(F.arrays_zip("fps", "firsts", "lasts")).alias("f"), F.size("fps").alias("n"), "size")
-    rows = rows.select("digest", F.col("f.fps").alias("fp"), F.col("f.firsts").alias("first"), F.col("f.lasts").alias("last"), "n", "size")
-    rows = rows.join(common, rows.fp == common.common_fp, "left")
-    return rows.select("digest", "fp", "first", "last", "holders", "n", "size")
-
-
-def _positions(fps: np.ndarray, n_bits: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        a = fps.astype(np.int64).view(np.uint64)
-        b = (a ^ (a >> np.uint64(31))) * np.uint64(0x94D049BB133111EB) | np.uint64(1)
-        return ((a[:, None] + np.arange(BLOOM_HASHES, dtype=np.uint64) * b[:, None]) % np.uint64(n_bits)).astype(np.int64)
-
-
-def _part(fp: str = "fp") -> F.Column:
-    return F.pmod(F.xxhash64(fp), F.lit(BLOOM_PARTS)).cast("int")
-
-
-def bloom_filters(sketch: DataFrame) -> DataFrame:
-    """`part, bits`: one filter for each part of the fingerprints, BLOOM_BITS bits a fingerprint."""
+    def __init__(self, spark: SparkSession, path: str | None = None):
+        self.spark, self.path = spark, path or new_path(spark, "store")
+        self.deliveries: list[tuple[int, int, int]] = []
+        if exists(spark, f"{self.path}/deliveries"):  # one row a delivery
+            rows = spark.read.schema(self.SCHEMAS["deliveries"]).parquet(f"{self.path}/deliveries").collect()
+            self.deliveries = sorted(map(tuple, rows))
+
+    def table(self, name: str, deliveries: list[int] | None = None) -> DataFrame:
+        """The rows of a table, of all deliveries or of those given."""
+        names = [d for d, *_ in self.deliveries] if deliveries is None else deliveries
+        if not names:
+            return self.spark.createDataFrame([], self.SCHEMAS[name])
+        return self.spark.read.schema(self.SCHEMAS[name]).parquet(*[f"{self.path}/{name}/delivery={d}" for d in names])
+
+    def add(self, name: str, delivery: int, rows: DataFrame) -> None:
+        save(rows.write.mode("overwrite"), self.spark, f"{self.path}/{name}/delivery={delivery}")
+
+    def extend(self, delivery: DataFrame, taken: DataFrame, texts: DataFrame) -> None:
+        """Add a delivery: its documents, and the texts of `texts` of those that are accepted, `taken(doc, digest)`."""
+        number = max((d for d, *_ in self.deliveries), default=0) + 1
+        # Of each text one document at most is accepted.
+        fresh = texts.join(small_or_not(taken.where("digest is not null").select("digest"), "fresh"), "digest", "left_semi")
+        self.add("texts", number, fresh.select("digest", "text"))
+        rows = fresh.select(F.explode("fps").alias("fp"), "digest", "size", "need")
+        self.add("sketch", number, rows.sortWithinPartitions("fp"))
+        added = self.table("sketch", [number])
+        n_fps = added.count()
+        bits = max(0, math.ceil(math.log2(max(1, n_fps * BLOOM_BITS / (64 * BLOOM_WORDS)))))
+        self.add("blooms", number, bloom_filter(added, bits))
+        accepted = taken.select("doc", F.lit(True).alias("accepted"))
+        self.add("documents", number, delivery.join(accepted, "doc", "left").withColumn("accepted", F.col("accepted").isNotNull()))
+        row = self.spark.createDataFrame([(number, bits, n_fps)], self.SCHEMAS["deliveries"])
+        save(row.coalesce(1).write.mode("append"), self.spark, f"{self.path}/deliveries")
+        self.deliveries.append((number, bits, n_fps))
+
+
+def _block(bits: int) -> F.Column:
+    return F.shiftrightunsigned(F.xxhash64("fp"), 64 - bits) if bits else F.lit(0).cast("bigint")
+
+
+def _masks() -> list[F.Column]:
+    """The bit that a fingerprint sets in each word of its block."""
+    return [F.expr(f"shiftleft(1L, cast(shiftrightunsigned(xxhash64(fp, {i // 4}), {6 * (i % 4)}) & 63 as int))") for i in range(BLOOM_WORDS)]
+
+
+def bloom_filter(sketch: DataFrame, bits: int) -> DataFrame:
+    """`block, w0 ... w7`: a filter of 2 ** bits blocks over the fingerprints of a sketch, partitioned by block."""
+    masks = [m.alias(f"w{i}") for i, m in enumerate(_masks())]
+    rows = sketch.select(_block(bits).alias("block"), *masks)
+    return rows.groupBy("block").agg(*[F.bit_or(f"w{i}").alias(f"w{i}") for i in range(BLOOM_WORDS)])
+
+
+def screened(fps: DataFrame, store: Store) -> DataFrame:
+    """`fp` of `fps(fp)` that some filter of the store may hold (no false negatives).
+
+    Filters of one size are read together, so the fingerprints are tried once for each size, of which
+    there are as many as the deliveries differ in powers of two.
+    """
+    parts = []
+    for bits in sorted({b for _, b, n in store.deliveries if n}):
+        of_size = [(d, n) for d, b, n in store.deliveries if b == bits and n]
+        blooms = store.table("blooms", [d for d, _ in of_size])
+        # At most 2 ** bits blocks a delivery, known from the store's own count.
+        blooms = F.broadcast(blooms) if len(of_size) << bits <= TASK_ROWS else blooms
+        probe = fps.select("fp", _block(bits).alias("block"), *[m.alias(f"m{i}") for i, m in enumerate(_masks())])
+        held = reduce(lambda a, b: a & b, [F.col(f"w{i}").bitwiseAND(F.col(f"m{i}")) == F.col(f"m{i}") for i in range(BLOOM_WORDS)])
+        parts.append(probe.join(blooms, "block").where(held).select("fp"))
+    if not parts:
+        return fps.where("false").select("fp")
+    return reduce(DataFrame.unionByName, parts).distinct()
+
+
+def sharing_pairs(x: DataFrame, y: DataFrame, once: bool = False) -> DataFrame:
+    """`x, y`: texts of `x` and other texts of `y` (fp, digest, size, need) that share enough fingerprints.
+
+    Near texts differ in size by one word in ONE_IN at most and share what the need of either
+    demands, so no near pair is lost. The join is by fingerprint and band of sizes. With `once`,
+    pairs of two texts that `x` holds both (`old` is false) come in one order only.
+    """
+    band = F.floor(F.log("size") / BAND)
+    a = x.select("fp", band.alias("band"), F.col("digest").alias("x"), F.col("size").alias("xs"), F.col("need").alias("xn"))
+    bands = F.explode(F.array(*[band + i for i in (-1, 0, 1)]))
+    b = y.select("fp", bands.alias("band"), F.col("digest").alias("y"), F.col("size").alias("ys"), F.col("need").alias("yn"), *["old"] * once)
+    close = F.abs(F.col("xs") - F.col("ys")) <= F.floor(F.greatest("xs", "ys") / ONE_IN)
+    other = F.expr("x > y or (old and x != y)") if once else F.col("x") != F.col("y")
+    hits = a.join(b, ["fp", "band"]).where(close & other).groupBy("x", "y").agg(F.count("*").alias("n"), F.max(F.greatest("xn", "yn")).alias("need"))
+    return hits.where("n >= need").select("x", "y")
 
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        fps = pdf["fp"].to_numpy()
-        bits = np.zeros(max(64, len(fps) * BLOOM_BITS), dtype=bool)
-        bits[_positions(fps, len(bits)).ravel()] = True
-        # packed bits, with the exact number of bits in front
-        return pd.DataFrame({"part": [int(pdf["part"].iloc[0])], "bits": [len(bits).to_bytes(8, "little") + np.packbits(bits).tobytes()]})
 
-    return sketch.select("fp").distinct().withColumn("part", _part()).groupBy("part").applyInPandas(build, "part int, bits binary")
+def near_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs of texts (`digest, text`) that differ in at most one word in ONE_IN, of the longer of the two."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                words, at = word_hashes([a, b])
+                a, b = words[: at[1]], words[at[1] :]
+                keep.append(within_distance(a, b, max(len(a), len(b)) // ONE_IN))
+            found = batch.filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([found.column(0), found.column(1)], names=["x", "y"])
 
-def screened(sketch: DataFrame, blooms: DataFrame) -> DataFrame:
-    """The rows of a sketch whose fingerprint some filter of its part may hold (no false negatives)."""
+    a, b = (texts.select(F.col("digest").alias(k), F.col("text").alias(f"t{k}")) for k in "xy")
+    return pairs.join(a, "x").join(b, "y").select("x", "y", "tx", "ty").mapInArrow(run, "x bigint, y bigint")
 
-    def test(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        fps = left["fp"].to_numpy()
-        hit = np.zeros(len(fps), dtype=bool)
-        for raw in right["bits"]:
-            n_bits = int.from_bytes(raw[:8], "little")
-            bits = np.unpackbits(np.frombuffer(raw[8:], dtype=np.uint8), count=n_bits).astype(bool)
-            hit |= bits[_positions(fps, n_bits)].all(axis=1)
-        return left.loc[hit, ["fp"]]
 
-    fps = sketch.select("fp").distinct().withColumn("part", _part())
-    hits = fps.groupBy("part").cogroup(blooms.groupBy("part")).applyInPandas(test, "fp bigint")
-    return sketch.join(hits, "fp", "left_semi")
+def both_ways(pairs: DataFrame) -> DataFrame:
+    return pairs.unionByName(pairs.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct()
 
 
-def candidate_pairs(new: DataFrame, known: DataFrame) -> DataFrame:
-    """`x, y`: new texts and the known or new texts they share enough of their sketch with.
+def near_in_delivery(live: DataFrame, texts: DataFrame, pair_limit: int) -> list[DataFrame]:
+    """Near pairs among the texts of one delivery, given its fingerprints that several of them hold
+    (`fp, digest, size, need, ord`), where these would give more pairs than `pair_limit`.
 
-    Texts near each other differ in size by one word in ONE_IN at most, and no place they share moves
-    further; so only fingerprints at such places of texts of such sizes count, and no text that is
-    near is lost. A rare fingerprint links all its texts, at most COMMON of them. A common one links
-    all its texts too, joined by bands of sizes; of a full sketch the UNLINKED most frequent ones are left out
-    and taken as shared. Each unordered pair comes out once.
+    A text none of whose predecessors can be near it leads; texts near a leader drop out, since
+    they cannot be accepted, and are compared with the others' leaders only. Families of
+    near-copies thus cost their size, not its square. Once what is left gives few pairs, or a
+    round settles less than a tenth, the rest is compared pair by pair, so no pair that matters
+    is lost: missing are pairs of two texts that both dropped out.
     """
-    every = new.withColumn("new", F.lit(True)).unionByName(known.withColumn("new", F.lit(False)))
-    full = (F.col("n") >= SKETCH) & (F.col("size") >= SHORT)
-    every = every.withColumn("unlinked", F.when(full, UNLINKED).otherwise(0)).withColumn("band", F.floor(F.log("size") / BAND))
-    order = W.partitionBy("new", "digest").orderBy(F.col("holders").desc(), "fp")
-    often = every.where("holders is not null").withColumn("place", F.row_number().over(order)).where("place > unlinked").drop("place")
-    columns = ["digest", "first", "last", "n", "size", "unlinked"]
-    side = lambda rows, k, *more: rows.select("fp", *more, *[F.col(c).alias(f"{c}_{k}") for c in columns])
-    most = F.floor(F.greatest("size_x", "size_y") / ONE_IN)
-    close = (F.abs(F.col("size_x") - F.col("size_y")) <= most) & (F.col("first_x") - most <= F.col("last_y")) & (F.col("first_y") - most <= F.col("last_x"))
-    once = F.expr("digest_x > digest_y or (not new and digest_x != digest_y)")
-    rare = every.where("holders is null")
-    rare = side(rare.where("new"), "x").join(side(rare, "y", "new"), "fp").where(close & once)
-    bands = often.withColumn("band", F.explode(F.array(*[F.col("band") + i for i in (-1, 0, 1)])))
-    often = side(often.where("new"), "x", "band").join(side(bands, "y", "band", "new"), ["fp", "band"]).where(close & once)
-    hit = lambda rows, is_rare: rows.select(
-        F.col("digest_x").alias("x"), F.col("digest_y").alias("y"), F.lit(is_rare).alias("rare"),
-        F.least("n_x", "n_y").alias("least"), F.greatest("unlinked_x", "unlinked_y").alias("unlinked"),
-    )
-    both = hit(rare, 1).unionByName(hit(often, 0)).groupBy("x", "y").agg(
-        F.sum("rare").alias("rare"), F.count("*").alias("shared"), F.min("least").alias("least"), F.max("unlinked").alias("unlinked")
-    )
-    need = lambda share: F.ceil(F.col("least") * share)
-    enough = (F.col("rare") >= F.greatest(need(RARE_SHARE), F.lit(1))) | (F.col("shared") >= F.greatest(need(COMMON_SHARE) - F.col("unlinked"), F.lit(1)))
-    return both.where(enough).select("x", "y")
-
-
-def within_distance(a: np.ndarray, b: np.ndarray, most: int) -> bool:
-    """Whether at most `most` words must be replaced, put in or left out to turn one into the other."""
-    n, m = len(a), len(b)
-    if abs(n - m) > most:
-        return False
-    a_values, a_counts = np.unique(a, return_counts=True)
-    b_values, b_counts = np.unique(b, return_counts=True)
-    _, ia, ib = np.intersect1d(a_values, b_values, assume_unique=True, return_indices=True)
-    shared = int(np.minimum(a_counts[ia], b_counts[ib]).sum())
-    if max(n, m) - shared > most:
-        return False
-    x, y = a.tolist(), b.tolist()
-    far = {0: 0}  # furthest place in x on each diagonal (place in x - place in y)
-    for edits in range(most + 1):
-        grown: dict[int, int] = {}
-        for d in range(-edits, edits + 1):
-            if not edits:
-                i = 0
-            else:
-                i = max(far.get(d, -1) + 1, far.get(d - 1, -1) + 1, far.get(d + 1, -1))
-            i = min(i, n, m + d)
-            if i < 0 or i - d < 0:
-                continue
-            j = i - d
-            while i < n and j < m and x[i] == y[j]:
-                i += 1
-                j += 1
-            if i >= n and j >= m:
-                return True
-            grown[d] = i
-        far = grown
-    return False
-
-
-def near_texts(pairs: DataFrame, words: DataFrame) -> DataFrame:
-    """The pairs of texts that differ in at most one word in ONE_IN, of the longer of the two."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            a, b = batch.column(2), batch.column(3)
-            for i in range(batch.num_rows):
-                x, y = a[i].values.to_numpy(zero_copy_only=False), b[i].values.to_numpy(zero_copy_only=False)
-                keep.append(within_distance(x, y, max(len(x), len(y)) // ONE_IN))
-            found = batch.filter(pa.array(keep, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([found.column(0), found.column(1)], names=["x", "y"])
-
-    needed = pairs.select(F.explode(F.array("x", "y")).alias("digest")).distinct()
-    words = words.join(small_or_not(needed, "needed"), "digest", "left_semi").dropDuplicates(["digest"])
-    a, b = (words.select(F.col("digest").alias(k), F.col("words").alias(f"w{k}")) for k in "xy")
-    return pairs.join(a, "x").join(b, "y").select("x", "y", "wx", "wy").mapInArrow(run, "x bigint, y bigint")
+    near, open_, kept, dropped = [], live, None, None
+    while True:
+        counts = open_.groupBy("fp").count()
+        if (counts.agg(F.sum(F.expr("count * (count - 1) / 2"))).first()[0] or 0) <= pair_limit:
+            break
+        heads = open_.groupBy("fp").agg(F.min(F.struct("ord", "digest")).alias("head")).select("fp", F.col("head.digest").alias("head"))
+        later = F.count_if(F.col("head") != F.col("digest"))
+        lead = open_.join(heads, "fp").groupBy("digest").agg(later.alias("n"), F.max("need").alias("need")).where("n < need")
+        lead = written(lead.select("digest"), "leaders")
+        leaders = open_.join(lead, "digest", "left_semi")
+        found = written(near_texts(sharing_pairs(open_.join(lead, "digest", "left_anti"), leaders), texts), "near")
+        order = open_.groupBy("digest").agg(F.min("ord").alias("ord"))
+        found_late = found.join(order.withColumnsRenamed({"digest": "x", "ord": "ox"}), "x").join(order.withColumnsRenamed({"digest": "y", "ord": "oy"}), "y")
+        out = written(found_late.where("ox > oy").select(F.col("x").alias("digest")).distinct(), "dropped")
+        n_out = out.count()
+        near.append(found)
+        dropped = out if dropped is None else dropped.unionByName(out)
+        kept = leaders if kept is None else kept.unionByName(leaders)
+        before = order.count()
+        open_ = written(open_.join(out, "digest", "left_anti").join(lead, "digest", "left_anti"), "open")
+        if (n_out + lead.count()) * 10 < before:
+            break
+    near.append(near_texts(sharing_pairs(open_, open_.withColumn("old", F.lit(False)), once=True), texts))
+    if dropped is not None:
+        rest = live.join(dropped, "digest", "left_semi")
+        near.append(near_texts(sharing_pairs(rest, kept.unionByName(open_)), texts))
+    return near
+
+
+def first_settled(documents: pd.DataFrame, near: list[tuple[int, int]]) -> list[bool]:
+    """Whether each document, in order of delivery, repeats none that is accepted before it."""
+    around: dict[int, list[int]] = {}
+    for x, y in near:
+        around.setdefault(x, []).append(y)
+    hashes, texts, out = set(), set(), []
+    for h, d in zip(documents["hash_key"], documents["digest"]):
+        h, d = None if pd.isna(h) else h, None if pd.isna(d) else int(d)
+        free = not (h in hashes or d in texts or any(y in texts for y in around.get(d, ()))) if d is not None else h not in hashes
+        if free:
+            hashes |= {h} - {None}
+            texts |= {d} - {None}
+        out.append(free)
+    return out
 
 
-def settled(new: DataFrame, accepted: DataFrame, near: DataFrame, max_rounds: int = 200) -> DataFrame:
-    """Accepted documents among `new(doc, ord, hash_key, digest)`, given `near(x, y)` texts.
+def settled(new: DataFrame, near: DataFrame, task_rows: int = TASK_ROWS) -> DataFrame:
+    """Accepted documents among `new(doc, ord, hash_key, digest)`, given `near(x, y)` texts both ways.
 
-    A document is accepted once nothing before it that it repeats is accepted or open, and drops
-    out once something before it is accepted. Each round settles at least the earliest open
-    document of every group; classes are aggregated to their first member, never listed.
+    Of documents with the same hash and text only the first counts. Those that share no hash and no
+    text with another and are near none are accepted. The rest is settled in order in one task if
+    it is small; else in rounds: a document is accepted once nothing before it that it repeats is
+    accepted or open, drops out once something before it is accepted, and each round settles at
+    least the earliest open one of every group.
     """
-    both = near.unionByName(near.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct()
-    open_, done = new, accepted.select("doc", "ord", "hash_key", "digest")
-    fresh = []
-    for _ in range(max_rounds):
-        members = open_.withColumn("taken", F.lit(False)).unionByName(done.withColumn("taken", F.lit(True)))
+    some = F.coalesce("hash_key", F.col("digest").cast("string")).isNotNull()
+    plain = new.where(~some).select("doc", "ord", "hash_key", "digest")
+    new = new.where(some).groupBy("hash_key", "digest").agg(F.min("ord").alias("ord")).select(F.col("ord.doc").alias("doc"), "ord", "hash_key", "digest")
+    several = lambda key: new.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").select(key, F.lit(True).alias(f"{key}_twice"))
+    linked = near.select(F.col("x").alias("digest"), F.lit(True).alias("linked")).distinct()
+    state = new.join(several("hash_key"), "hash_key", "left").join(several("digest"), "digest", "left").join(linked, "digest", "left")
+    tied = F.coalesce("hash_key_twice", "digest_twice", "linked", F.lit(False))
+    state = written(state.select("doc", "ord", "hash_key", "digest", tied.alias("tied")).unionByName(plain.withColumn("tied", F.lit(False))), "tied")
+    out = [state.where("not tied").drop("tied")]
+    open_, done = state.where("tied").drop("tied"), None
+    while True:
+        if open_.limit(task_rows + 1).count() + near.limit(task_rows + 1).count() <= task_rows:
+            columns = {k: F.lit(None).cast("bigint").alias(k) for k in ("x", "y")}
+            blank = [F.lit(None).cast(t).alias(k) for k, t in (("doc", "string"), ("ord", ORD), ("hash_key", "string"), ("digest", "bigint"))]
+            # Rounds before this one hold accepted documents, which come first.
+            mine = open_ if done is None else open_.unionByName(done.join(open_.select("hash_key").distinct(), "hash_key", "left_semi")).unionByName(
+                done.join(open_.select("digest").unionByName(near.select(F.col("y").alias("digest"))).distinct(), "digest", "left_semi")
+            ).distinct()
+            rows = mine.select("*", *columns.values()).unionByName(near.select(*blank, "x", "y"))
+
+            def run(pdf: pd.DataFrame) -> pd.DataFrame:
+                links = pdf[pdf["x"].notna()]
+                docs = pdf[pdf["doc"].notna()]
+                docs = docs.assign(at=[tuple(o.values()) if isinstance(o, dict) else tuple(o) for o in docs["ord"]]).sort_values("at")
+                free = first_settled(docs, list(zip(links["x"].astype("int64"), links["y"].astype("int64"))))
+                return docs.loc[free, ["doc"]]
+
+            took = rows.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(run, "doc string")
+            out.append(open_.join(took, "doc", "left_semi"))
+            break
+        members = open_.withColumn("taken", F.lit(False))
+        if done is not None:
+            members = members.unionByName(done.withColumn("taken", F.lit(True)))
         first = lambda key: (
-            members.where(F.col(key).isNotNull()).groupBy(key)
+            members.where(F.col(key).isNotNull()).groupBy(key)  # noqa: B023
             .agg(F.min(F.when(F.col("taken"), F.col("ord"))).alias("t"), F.min(F.when(~F.col("taken"), F.col("ord"))).alias("o"))
         )
-        by_hash, by_text = first("hash_key"), first("digest")
-        around = both.join(by_text.withColumnRenamed("digest", "y"), "y").groupBy("x").agg(F.min("t").alias("t"), F.min("o").alias("o"))
+        by_text = first("digest")
+        around = near.join(by_text.withColumnRenamed("digest", "y"), "y").groupBy("x").agg(F.min("t").alias("nt"), F.min("o").alias("no"))
         state = (
-            open_.join(by_hash.select("hash_key", F.col("t").alias("ht"), F.col("o").alias("ho")), "hash_key", "left")
-            .join(by_text.select("digest", F.col("t").alias("tt"), F.col("o").alias("to")), "digest", "left")
-            .join(around.select(F.col("x").alias("digest"), F.col("t").alias("nt"), F.col("o").alias("no")), "digest", "left")
+            open_.join(first("hash_key").withColumnsRenamed({"t": "ht", "o": "ho"}), "hash_key", "left")
+            .join(by_text.withColumnsRenamed({"t": "tt", "o": "to"}), "digest", "left")
+            .join(around.withColumnRenamed("x", "digest"), "digest", "left")
         )
         before = lambda *names: F.coalesce(F.least(*[F.col(n) for n in names]) < F.col("ord"), F.lit(False))
-        state = written(
-            state.select(
-                "doc", "ord", "hash_key", "digest",
-                F.when(before("ht", "tt", "nt"), "repeat").when(before("ho", "to", "no"), "open").otherwise("accepted").alias("state"),
-            ),
-            "settled",
-        )
+        verdict = F.when(before("ht", "tt", "nt"), "repeat").when(before("ho", "to", "no"), "open").otherwise("accepted")
+        state = written(state.select("doc", "ord", "hash_key", "digest", verdict.alias("state")), "settled")
         took = state.where("state = 'accepted'").drop("state")
-        fresh.append(took)
-        done = done.unionByName(took)
+        out.append(took)
+        done = took if done is None else done.unionByName(took)
         open_ = state.where("state = 'open'").drop("state")
         if open_.isEmpty():
             break
-    else:
-        raise RuntimeError(f"documents still open after {max_rounds} rounds")
-    out = fresh[0]
-    for part in fresh[1:]:
-        out = out.unionByName(part)
-    return out
+    return reduce(DataFrame.unionByName, out)
 
 
-def admit(delivery: DataFrame, texts: DataFrame, words: DataFrame, common: DataFrame, store: Store) -> DataFrame:
-    """Pairs of a delivery of new documents, in one or more batches; the store is extended.
+def admit(delivery: DataFrame, texts: DataFrame, store: Store, pair_limit: int = PAIR_LIMIT, task_rows: int = TASK_ROWS) -> DataFrame:
+    """Pairs of a delivery of new documents; the store is extended by those that are accepted.
 
-    `delivery(doc, ord, hash_key, digest)` are the new documents, `texts(digest, ord, size, fps, firsts, lasts)` their
-    distinct texts and `words(doc, digest, words)` the words of every new document. Pairs are `document_id_a, document_id_b`, smaller first: a document and
-    the accepted document before it that it repeats, by hash or by text.
+    `delivery(doc, ord, hash_key, digest)` are the new documents and `texts` (TEXT_SCHEMA and `ord`)
+    their distinct texts. Pairs are `document_id_a, document_id_b`, smaller first: a document and the
+    accepted document before it that it repeats, by hash or by text.
     """
-    sketch = sketches(texts, common)
-    hits = screened(sketch, store.table("blooms"))
-    known = store.table("sketch").join(hits.select("fp").distinct(), "fp", "left_semi")
-    pairs = written(candidate_pairs(sketch, known), "candidates")
-    near = written(near_texts(pairs, words.select("digest", "words").unionByName(store.table("words"))), "near")
-    before = store.table("documents")
-    taken = written(settled(delivery, before, near), "accepted")
-
-    a = before.unionByName(taken).select(F.col("doc").alias("a"), F.col("ord").alias("oa"), F.col("hash_key").alias("ha"), F.col("digest").alias("da"))
-    rest = delivery.join(taken.select("doc"), "doc", "left_anti").select("doc", "ord", "hash_key", "digest")
-    both = near.unionByName(near.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct()
-    out = None
-    for part in (
-        rest.join(a, rest.hash_key == a.ha),
-        rest.join(a, rest.digest == a.da),
-        rest.join(both, rest.digest == both.x).join(a, F.col("y") == F.col("da")),
-    ):
-        part = part.where("oa < ord").select(F.least("doc", "a").alias("document_id_a"), F.greatest("doc", "a").alias("document_id_b"))
-        out = part if out is None else out.unionByName(part)
-    out = written(out.distinct(), "repeats")
-    # Of each text one document at most is accepted.
-    fresh = small_or_not(taken.where("digest is not null").select("doc", "digest"), "fresh")
-    store.add("words", words.join(fresh.select("doc"), "doc", "left_semi").select("digest", "words"))
-    added = sketches(texts.join(fresh.select("digest"), "digest", "left_semi"), common)
-    store.add("blooms", bloom_filters(added))
-    store.add("sketch", added)
-    store.add("documents", taken)
-    return out
-
-
-def repeated_deliveries(batches: DataFrame, registry: DataFrame, pages: DataFrame, steps: list[int] | None = None) -> DataFrame:
-    """`document_id_a, document_id_b` over all deliveries: the first batch loads the store, the rest is
-    checked against it.
-
-    `steps` are the last batches of each call of `admit` (default: the first batch, then all
-    others); the result is the same for any steps, since order is kept within a call. Documents
-    without delivery take no part; documents without registry row have no hash; documents without
-    article text are compared by hash only. Empty tables give no rows.
+    empty = not store.deliveries
+    old = store.table("documents").where("accepted")
+    new = texts if empty else texts.join(old.select("digest"), "digest", "left_anti")
+    rows = new.select(F.explode("fps").alias("fp"), "digest", "size", "need", "ord")
+    counted = rows.groupBy("fp").count()
+    live = counted.where("count > 1").select("fp", F.lit(False).alias("known"), "count")
+    if not empty:
+        known = screened(counted.select("fp"), store).withColumn("held", F.lit(True))
+        live = counted.join(known, "fp", "left").select("fp", F.col("held").isNotNull().alias("known"), "count").where("count > 1 or known")
+    live = written(live, "live")
+    several = written(rows.join(live.select("fp", "known", "count"), "fp"), "several")
+    volume = live.agg(F.sum(F.expr("count * (count - 1) / 2"))).first()[0] or 0
+    every = new.select("digest", "text").unionByName(store.table("texts"))
+    looked_up = None if empty else store.table("sketch").join(live.where("known").select("fp"), "fp", "left_semi").withColumn("old", F.lit(True))
+    alone = several.where("count > 1").drop("known", "count")
+    if volume <= pair_limit:
+        other = several.select("fp", "digest", "size", "need", F.lit(False).alias("old"))
+        other = other if empty else other.unionByName(looked_up)
+        near = near_texts(sharing_pairs(several, other, once=True), every)
+    else:
+        parts = near_in_delivery(alone, every, pair_limit)
+        if not empty:
+            parts.append(near_texts(sharing_pairs(several.where("known"), looked_up), every))
+        near = reduce(DataFrame.unionByName, parts)
+    near = written(both_ways(near), "near")
+
+    # Whatever repeats a document accepted in an earlier delivery is turned down at once.
+    links = lambda docs, known: [
+        docs.join(known.select("hash_key", F.col("doc").alias("a"), F.col("ord").alias("oa")), "hash_key"),
+        docs.join(known.select("digest", F.col("doc").alias("a"), F.col("ord").alias("oa")), "digest"),
+        docs.join(near, docs.digest == near.x).join(known.select(F.col("digest").alias("y"), F.col("doc").alias("a"), F.col("ord").alias("oa")), "y"),
+    ]
+    pairs = lambda parts: reduce(DataFrame.unionByName, [p.select("doc", "a", "oa", "ord") for p in parts])
+    repeats = None
+    left = delivery
+    if not empty:
+        repeats = written(pairs(links(delivery, old)).select("doc", "a"), "old-repeats")
+        left = delivery.join(repeats.select("doc"), "doc", "left_anti")
+    taken = written(settled(left, near, task_rows), "accepted")
+    rest = delivery.join(taken.select("doc"), "doc", "left_anti")
+    found = pairs(links(rest, taken)).where("oa < ord").select("doc", "a")
+    found = found if repeats is None else found.unionByName(repeats)
+    found = found.select(F.least("doc", "a").alias("document_id_a"), F.greatest("doc", "a").alias("document_id_b")).distinct()
+    found = written(found, "repeats")
+    store.extend(delivery, taken, texts)
+    let_go(live, several, near, taken, *([repeats] if repeats is not None else []))
+    return found
+
+
+def repeated_deliveries(
+    batches: DataFrame, registry: DataFrame, pages: DataFrame, store: Store | None = None, pair_limit: int = PAIR_LIMIT, task_rows: int = TASK_ROWS
+) -> DataFrame:
+    """`document_id_a, document_id_b` over all deliveries, one admission a batch.
+
+    `store` continues an earlier one, whose documents take no part again. Documents without
+    delivery take no part; documents without registry row have no hash; documents without
+    article text are compared by hash only. Empty tables give no rows. The pages are framed once,
+    as they come in (operator 5); an admission reads the articles of its own batch.
     """
     spark = batches.sparkSession
+    store = store or Store(spark)
     deliveries = first_deliveries(batches)
+    if store.deliveries:  # what was delivered to the store before
+        deliveries = deliveries.join(store.table("documents").select("doc"), "doc", "left_anti")
     hashes = current_documents(registry, "content_hash").select("document_id", content_key(F.col("content_hash")).alias("hash_key"))
-    texts = written(articles(pages, registry), "articles")
-    documents = (
-        deliveries.join(hashes, deliveries.doc == hashes.document_id, "left")
-        .join(texts.select(F.col("doc").alias("d"), "digest"), F.col("doc") == F.col("d"), "left")
-        .select("doc", "batch_no", "ord", "hash_key", "digest")
-    )
-    documents = written(documents, "deliveries")
-    # One row a distinct text, with its first delivery in each batch: a text that was turned down
-    # once may come again.
-    firsts = documents.where("digest is not null").groupBy("digest", F.col("ord.batch").alias("batch"))
-    firsts = firsts.agg(F.min_by("doc", "ord").alias("doc"), F.min("ord").alias("ord"))
-    firsts = firsts.groupBy("digest").agg(F.min("doc").alias("doc"), F.collect_list("ord").alias("ords"))
-    firsts = small_or_not(firsts.select("doc", "ords"), "firsts")
-    distinct = written(texts.join(firsts, "doc").select("digest", "ords", "size", "fps", "firsts", "lasts"), "texts")
-    words = texts.where("digest is not null").select("doc", "digest", "words")
-    common = small_or_not(common_fingerprints(distinct), "common")
-    store = Store(spark, deliveries.schema["ord"].dataType.simpleString())
-    if steps is None:
-        first = documents.agg(F.min("batch_no")).first()[0]
-        steps = [] if first is None else [first]
-    pairs, lower = None, None
-    for upper in [*steps, None]:
-        within = lambda b: (F.lit(True) if upper is None else b <= upper) & (F.lit(True) if lower is None else b > lower)  # noqa: E731, B023
-        new = documents.where(within(F.col("ord.batch"))).drop("batch_no")
-        mine = distinct.withColumn("ord", F.array_min(F.filter("ords", lambda o: within(o["batch"])))).drop("ords")
-        found = admit(new, mine.where("ord is not null"), words, common, store)
-        pairs = found if pairs is None else pairs.unionByName(found)
-        lower = upper
-    return pairs.distinct()
+    framed = articles(pages, registry)
+    documents = deliveries.join(hashes, deliveries.doc == hashes.document_id, "left").drop("document_id")
+    documents = documents.join(framed, "doc", "left").withColumn("batch", F.col("ord.batch"))
+    documents = written(documents.hint("rebalance", "batch"), "deliveries", ["batch"])
+    numbers = sorted(r[0] for r in documents.select("batch").distinct().collect())  # one row a batch
+    out = []
+    for batch in numbers:
+        mine = documents.where(F.col("batch") == batch)
+        # One row a distinct text, with its first delivery in the batch.
+        firsts = mine.where("digest is not null").groupBy("digest").agg(F.min("ord").alias("ord"))
+        firsts = small_or_not(firsts.select(F.col("ord.doc").alias("doc")), "firsts")
+        texts = mine.join(firsts, "doc", "left_semi").select("digest", "ord", "text", "size", "need", "fps")
+        out.append(admit(mine.select("doc", "ord", "hash_key", "digest"), texts, store, pair_limit, task_rows))
+        let_go(firsts)
+    if not out:
+        return spark.createDataFrame([], "document_id_a string, document_id_b string")
+    return reduce(DataFrame.unionByName, out)

@@ -8,7 +8,8 @@ from datetime import datetime, timedelta
 import numpy as np
 
 from shelfmark.llm.conversations import MESSAGE_SCHEMA, closed_segments, conversations, session_defects
-from shelfmark.llm.dedup import repeated_deliveries, screened, bloom_filters, within_distance
+from shelfmark.llm.dedup import Store, repeated_deliveries, screened
+from shelfmark.llm.fingerprints import within_distance
 from shelfmark.llm.pairs import defective_pairs, fit_defects, language, made_pairs, pair_features
 
 T0 = datetime(2024, 1, 1, 23, 0)
@@ -85,11 +86,16 @@ def test_distance():
 
 
 def test_filters_lose_nothing(spark):
-    rows = spark.createDataFrame([(i, i * 7919 - 10**12) for i in range(3000)], "digest bigint, fp bigint")
-    blooms = bloom_filters(rows.where("digest < 1000"))
-    passed = {r.digest for r in screened(rows, blooms).collect()}
-    assert passed >= set(range(1000)) and len(passed) < 1100
-    assert screened(rows, blooms.where("false")).count() == 0
+    store = Store(spark)
+    assert screened(spark.range(5).withColumnRenamed("id", "fp"), store).count() == 0
+    text = "digest bigint, ord struct<batch:int,time:bigint,doc:string>, text string, size int, need int, fps array<bigint>"
+    for part in (range(700), range(700, 1000)):
+        rows = [(k, (1, k, f"d{k}"), "t", 9, 1, [k * 7919 - 10**12, k * 7919 + 5]) for k in part]
+        docs = spark.createDataFrame([(f"d{k}", (1, k, f"d{k}"), None, k) for k in part], f"doc string, {text.split(', ')[1]}, hash_key string, digest bigint")
+        store.extend(docs, docs, spark.createDataFrame(rows, text))
+    probe = spark.createDataFrame([(k * 7919 - 10**12,) for k in range(20000)], "fp bigint")
+    passed = {r.fp for r in screened(probe, Store(spark, store.path)).collect()}
+    assert passed >= {k * 7919 - 10**12 for k in range(1000)} and len(passed) < 1300
 
 
 def deliveries(spark, seed):
@@ -129,8 +135,18 @@ def test_deliveries_like_brute_force(spark):
     frames, pairs = deliveries(spark, 8)
     found = {(r.document_id_a, r.document_id_b) for r in repeated_deliveries(*frames).collect()}
     assert found == pairs and len(pairs) > 20
-    stepwise = {(r.document_id_a, r.document_id_b) for r in repeated_deliveries(*frames, steps=[1, 3]).collect()}
-    assert stepwise == pairs
+    # leaders first, and rounds instead of one task
+    found = {(r.document_id_a, r.document_id_b) for r in repeated_deliveries(*frames, pair_limit=0, task_rows=0).collect()}
+    assert found == pairs
+
+
+def test_store_is_continued(spark):
+    frames, pairs = deliveries(spark, 12)
+    store, found = Store(spark), set()
+    for upper in (2, 4, 9):  # the whole table each time; what was delivered before takes no part
+        known = Store(spark, store.path)
+        found |= {(r.document_id_a, r.document_id_b) for r in repeated_deliveries(frames[0].where(f"batch_no <= {upper}"), *frames[1:], store=known).collect()}
+    assert found == pairs and len(known.deliveries) > 3
 
 
 def test_common_fingerprints_lose_no_repeat(spark):
