@@ -7,7 +7,7 @@ import tempfile
 import uuid
 import weakref
 
-from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameWriter, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -79,6 +79,16 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     return out
 
 
+def measured(df: DataFrame, name: str, **measures: Column) -> tuple[DataFrame, dict[str, int]]:
+    """What `written` gives, with the number of rows `n` and further aggregates, taken while it is written."""
+    seen = Observation()
+    path = new_path(df.sparkSession, name)
+    save(df.observe(seen, F.count(F.lit(1)).alias("n"), *[m.alias(k) for k, m in measures.items()]).write, df.sparkSession, path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _written[out] = path
+    return out, seen.get
+
+
 def let_go(*tables: DataFrame) -> None:
     """Delete tables of `written` that no query reads any more; other tables are left alone."""
     for table in tables:
@@ -93,18 +103,17 @@ BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 16 << 20
 
 def small_or_not(df: DataFrame, name: str, limit: int = BROADCAST_ROWS) -> DataFrame:
     """The rows, written and measured: with a broadcast hint only if rows and bytes are within their limits."""
-    table = written(df, name)
-    if not is_small(table, limit):
+    table, seen = measured(df, name)
+    if seen["n"] > limit or _size(table) > BROADCAST_BYTES:
         return table
     hinted = F.broadcast(table)
     _written[hinted] = _written[table]
     return hinted
 
 
-def is_small(table: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
-    """Whether a table of `written` may be broadcast."""
+def _size(table: DataFrame) -> int:
     p, fs = _file_system(table.sparkSession, _written[table])
-    return fs.getContentSummary(p).getLength() <= BROADCAST_BYTES and table.limit(limit + 1).count() <= limit
+    return fs.getContentSummary(p).getLength()
 
 
 def _file_system(spark: SparkSession, path: str) -> tuple:
