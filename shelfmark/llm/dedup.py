@@ -16,13 +16,13 @@ from functools import reduce
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.llm.boilerplate import frame_lines
 from shelfmark.llm.fingerprints import ONE_IN, fingerprinted, within_distance, word_hashes
 from shelfmark.operators.registry import content_key, current_documents, key_of
-from shelfmark.session import exists, is_small, let_go, new_path, save, small_or_not, written
+from shelfmark.session import exists, let_go, measured, new_path, save, written
 
 #: Width of a band of sizes, as a logarithm: texts near each other are in the same band or in two next to each other.
 BAND = 1.05 * math.log(1 / (1 - 1 / ONE_IN))
@@ -35,6 +35,7 @@ TASK_ROWS = 200_000
 
 TEXT_SCHEMA = "doc string, text string, digest bigint, size int, need int, fps array<bigint>"
 ORD = "struct<batch:int,time:bigint,doc:string>"
+DOCUMENT_SCHEMA = "doc string, hash_key string, digest bigint, accepted boolean, repeats array<string>"
 
 
 def articles(pages: DataFrame, registry: DataFrame) -> DataFrame:
@@ -81,14 +82,14 @@ def first_deliveries(batches: DataFrame) -> DataFrame:
 class Store:
     """What has been accepted, as tables below one path that only grow; opening the path again continues it.
 
-    documents: doc, ord, hash_key, digest of all delivered documents, and whether accepted. sketch: fp, digest, size, need, sorted by fp. texts: digest,
-    text. blooms: bits, block, w0 ... w7, a filter of 2 ** bits blocks for each delivery. Each delivery
+    documents: doc, hash_key, digest of all delivered documents, whether accepted, and the accepted ones of
+    the same delivery it repeats. sketch: fp, digest, size, need, sorted by fp. texts: digest, text. blooms: bits, block, w0 ... w7, a filter of 2 ** bits blocks for each delivery. Each delivery
     adds a folder to every table and, when all are there, its row to `deliveries`; what a lost driver
     left half written has no row, isn't read, and is written anew.
     """
 
     SCHEMAS = {
-        "documents": f"doc string, ord {ORD}, hash_key string, digest bigint, accepted boolean",
+        "documents": DOCUMENT_SCHEMA,
         "sketch": "fp bigint, digest bigint, size int, need int",
         "texts": "digest bigint, text string",
         "blooms": "block bigint, " + ", ".join(f"w{i} bigint" for i in range(BLOOM_WORDS)),
@@ -112,21 +113,21 @@ class Store:
     def add(self, name: str, delivery: int, rows: DataFrame) -> None:
         save(rows.write.mode("overwrite"), self.spark, f"{self.path}/{name}/delivery={delivery}")
 
-    def extend(self, delivery: DataFrame, taken: DataFrame, texts: DataFrame) -> None:
-        """Add a delivery: its documents, and the texts of `texts` of those that are accepted, `taken(doc, digest)`."""
-        number = max((d for d, *_ in self.deliveries), default=0) + 1
+    def next(self) -> int:
+        return max((d for d, *_ in self.deliveries), default=0) + 1
+
+    def extend(self, number: int, taken: DataFrame, texts: DataFrame) -> None:
+        """Close a delivery whose documents are added already: its accepted texts, `taken(digest)` of `texts`."""
         # Of each text one document at most is accepted.
-        fresh = texts.join(small_or_not(taken.where("digest is not null").select("digest"), "fresh"), "digest", "left_semi")
+        fresh = texts.join(taken.where("digest is not null").select("digest"), "digest", "left_semi")
         self.add("texts", number, fresh.select("digest", "text"))
-        rows = fresh.select(F.explode("fps").alias("fp"), "digest", "size", "need")
-        self.add("sketch", number, rows.sortWithinPartitions("fp"))
-        added = self.table("sketch", [number])
-        n_fps = added.count()
+        seen = Observation()
+        rows = fresh.select(F.explode("fps").alias("fp"), "digest", "size", "need").sortWithinPartitions("fp")
+        self.add("sketch", number, rows.observe(seen, F.count(F.lit(1)).alias("n")))
+        n_fps = seen.get["n"]
         bits = max(0, math.ceil(math.log2(max(1, n_fps * BLOOM_BITS / (64 * BLOOM_WORDS)))))
-        self.add("blooms", number, bloom_filter(added, bits))
-        accepted = taken.select("doc", F.lit(True).alias("accepted"))
-        self.add("documents", number, delivery.join(accepted, "doc", "left").withColumn("accepted", F.col("accepted").isNotNull()))
-        row = self.spark.createDataFrame([(number, bits, n_fps)], self.SCHEMAS["deliveries"])
+        self.add("blooms", number, bloom_filter(self.table("sketch", [number]), bits))
+        row = self.spark.range(1).select(F.lit(number).alias("delivery"), F.lit(bits).alias("bits"), F.lit(n_fps).cast("bigint").alias("n_fps"))
         save(row.coalesce(1).write.mode("append"), self.spark, f"{self.path}/deliveries")
         self.deliveries.append((number, bits, n_fps))
 
@@ -244,61 +245,61 @@ def near_in_delivery(live: DataFrame, texts: DataFrame, pair_limit: int) -> list
     return near
 
 
-def first_settled(documents: pd.DataFrame, near: list[tuple[int, int]]) -> list[bool]:
-    """Whether each document, in order of delivery, repeats none that is accepted before it."""
-    around: dict[int, list[int]] = {}
+def in_order(documents: pd.DataFrame, near: list[tuple[str, str]]) -> tuple[list[bool], list[list[str]]]:
+    """(whether it is accepted, the accepted ones it repeats) of each document, in order of delivery.
+
+    `held` documents repeat something accepted in an earlier delivery and are not accepted.
+    """
+    around: dict[str, list[str]] = {}
     for x, y in near:
         around.setdefault(x, []).append(y)
-    hashes, texts, out = set(), set(), []
-    for h, d in zip(documents["hash_key"], documents["digest"]):
-        h, d = None if pd.isna(h) else h, None if pd.isna(d) else int(d)
-        free = not (h in hashes or d in texts or any(y in texts for y in around.get(d, ()))) if d is not None else h not in hashes
+    hashes: dict[str, str] = {}
+    texts: dict[str, str] = {}
+    accepted, repeats = [], []
+    for doc, h, d, held in zip(documents["doc"], documents["hash_key"], documents["digest"], documents["held"]):
+        h, d = None if pd.isna(h) else h, None if pd.isna(d) else d
+        found = {hashes.get(h), texts.get(d), *(texts.get(y) for y in around.get(d, ()))} - {None}
+        free = not found and not held
         if free:
-            hashes |= {h} - {None}
-            texts |= {d} - {None}
-        out.append(free)
-    return out
-
-
-def settled(new: DataFrame, near: DataFrame, task_rows: int = TASK_ROWS) -> DataFrame:
-    """Accepted documents among `new(doc, ord, hash_key, digest)`, given `near(x, y)` texts both ways.
-
-    Of documents with the same hash and text only the first counts. Those that share no hash and no
-    text with another and are near none are accepted. The rest is settled in order in one task if
-    it is small; else in rounds: a document is accepted once nothing before it that it repeats is
-    accepted or open, drops out once something before it is accepted, and each round settles at
-    least the earliest open one of every group.
+            if h is not None:
+                hashes[h] = doc
+            if d is not None:
+                texts[d] = doc
+        accepted.append(free)
+        repeats.append(sorted(found))
+    return accepted, repeats
+
+
+def settled_at_once(delivery: DataFrame, near: DataFrame) -> DataFrame:
+    """DOCUMENT_SCHEMA of a delivery `doc, ord, hash_key, digest, held` and its `near(x, y)` texts both ways,
+    in one task; for a size that was checked before."""
+    blank = [F.lit(None).cast(f.dataType).alias(f.name) for f in delivery.schema]
+    no_link = [F.lit(None).cast("bigint").alias(k) for k in "xy"]
+    rows = delivery.select("*", *no_link).unionByName(near.select(*blank, "x", "y"))
+    rows = rows.select(F.col("ord.batch").alias("batch"), F.col("ord.time").alias("time"), "doc", "hash_key", *[F.col(k).cast("string").alias(k) for k in ("digest", "x", "y")], "held", F.lit(0).alias("one"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        links = pdf[pdf["x"].notna()]
+        docs = pdf[pdf["doc"].notna()].sort_values(["batch", "time", "doc"])
+        accepted, repeats = in_order(docs, list(zip(links["x"], links["y"])))
+        return docs.assign(accepted=accepted, repeats=repeats)[["doc", "hash_key", "digest", "accepted", "repeats"]]
+
+    out = rows.groupBy("one").applyInPandas(run, DOCUMENT_SCHEMA.replace("digest bigint", "digest string"))
+    return out.withColumn("digest", F.col("digest").cast("bigint"))
+
+
+def settled_in_rounds(delivery: DataFrame, near: DataFrame) -> DataFrame:
+    """The same over any number of documents.
+
+    Of documents with the same hash and text only the first counts. A document is accepted once
+    nothing before it that it repeats is accepted or open, drops out once something before it is
+    accepted, and each round settles at least the earliest open one of every group, until none is
+    open. Classes are aggregated to their first member, never listed.
     """
-    some = F.coalesce("hash_key", F.col("digest").cast("string")).isNotNull()
-    plain = new.where(~some).select("doc", "ord", "hash_key", "digest")
-    new = new.where(some).groupBy("hash_key", "digest").agg(F.min("ord").alias("ord")).select(F.col("ord.doc").alias("doc"), "ord", "hash_key", "digest")
-    several = lambda key: new.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").select(key, F.lit(True).alias(f"{key}_twice"))
-    linked = near.select(F.col("x").alias("digest"), F.lit(True).alias("linked")).distinct()
-    state = new.join(several("hash_key"), "hash_key", "left").join(several("digest"), "digest", "left").join(linked, "digest", "left")
-    tied = F.coalesce("hash_key_twice", "digest_twice", "linked", F.lit(False))
-    state = written(state.select("doc", "ord", "hash_key", "digest", tied.alias("tied")).unionByName(plain.withColumn("tied", F.lit(False))), "tied")
-    out = [state.where("not tied").drop("tied")]
-    open_, done = state.where("tied").drop("tied"), None
+    open_ = delivery.where("not held").groupBy("hash_key", "digest", F.when(F.expr("hash_key is null and digest is null"), F.col("doc")).alias("alone"))
+    open_ = open_.agg(F.min("ord").alias("ord")).select(F.col("ord.doc").alias("doc"), "ord", "hash_key", "digest")
+    rounds, done = [], None
     while True:
-        if open_.limit(task_rows + 1).count() + near.limit(task_rows + 1).count() <= task_rows:
-            columns = {k: F.lit(None).cast("bigint").alias(k) for k in ("x", "y")}
-            blank = [F.lit(None).cast(t).alias(k) for k, t in (("doc", "string"), ("ord", ORD), ("hash_key", "string"), ("digest", "bigint"))]
-            # Rounds before this one hold accepted documents, which come first.
-            mine = open_ if done is None else open_.unionByName(done.join(open_.select("hash_key").distinct(), "hash_key", "left_semi")).unionByName(
-                done.join(open_.select("digest").unionByName(near.select(F.col("y").alias("digest"))).distinct(), "digest", "left_semi")
-            ).distinct()
-            rows = mine.select("*", *columns.values()).unionByName(near.select(*blank, "x", "y"))
-
-            def run(pdf: pd.DataFrame) -> pd.DataFrame:
-                links = pdf[pdf["x"].notna()]
-                docs = pdf[pdf["doc"].notna()]
-                docs = docs.assign(at=[tuple(o.values()) if isinstance(o, dict) else tuple(o) for o in docs["ord"]]).sort_values("at")
-                free = first_settled(docs, list(zip(links["x"].astype("int64"), links["y"].astype("int64"))))
-                return docs.loc[free, ["doc"]]
-
-            took = rows.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(run, "doc string")
-            out.append(open_.join(took, "doc", "left_semi"))
-            break
         members = open_.withColumn("taken", F.lit(False))
         if done is not None:
             members = members.unionByName(done.withColumn("taken", F.lit(True)))
@@ -317,68 +318,74 @@ def settled(new: DataFrame, near: DataFrame, task_rows: int = TASK_ROWS) -> Data
         verdict = F.when(before("ht", "tt", "nt"), "repeat").when(before("ho", "to", "no"), "open").otherwise("accepted")
         state = written(state.select("doc", "ord", "hash_key", "digest", verdict.alias("state")), "settled")
         took = state.where("state = 'accepted'").drop("state")
-        out.append(took)
+        rounds.append(state)
         done = took if done is None else done.unionByName(took)
         open_ = state.where("state = 'open'").drop("state")
         if open_.isEmpty():
             break
-    return reduce(DataFrame.unionByName, out)
-
-
-def admit(delivery: DataFrame, texts: DataFrame, store: Store, pair_limit: int = PAIR_LIMIT, task_rows: int = TASK_ROWS) -> DataFrame:
-    """Pairs of a delivery of new documents; the store is extended by those that are accepted.
+    rest = delivery.join(done.select("doc"), "doc", "left_anti")
+    taken = [done.select(key, F.col("doc").alias("a"), F.col("ord").alias("oa")) for key in ("hash_key", "digest")]
+    found = [
+        rest.join(taken[0], "hash_key"), rest.join(taken[1], "digest"),
+        rest.join(near, rest.digest == near.x).join(taken[1].withColumnRenamed("digest", "y"), "y"),
+    ]
+    found = reduce(DataFrame.unionByName, [f.select("doc", "ord", "a", "oa") for f in found])
+    found = found.where("oa < ord").groupBy("doc").agg(F.array_sort(F.collect_set("a")).alias("repeats"))
+    out = delivery.join(done.select("doc", F.lit(True).alias("accepted")), "doc", "left").join(found, "doc", "left")
+    none = F.array().cast("array<string>")
+    return out.select("doc", "hash_key", "digest", F.col("accepted").isNotNull().alias("accepted"), F.coalesce("repeats", none).alias("repeats"))
+
+
+def admit(delivery: DataFrame, texts: DataFrame, store: Store, n_documents: int, pair_limit: int = PAIR_LIMIT, task_rows: int = TASK_ROWS) -> DataFrame:
+    """Pairs of a delivery of `n_documents` new documents; the store is extended by those that are accepted.
 
     `delivery(doc, ord, hash_key, digest)` are the new documents and `texts` (TEXT_SCHEMA and `ord`)
     their distinct texts. Pairs are `document_id_a, document_id_b`, smaller first: a document and the
     accepted document before it that it repeats, by hash or by text.
     """
-    empty = not store.deliveries
+    empty, number = not store.deliveries, store.next()
     old = store.table("documents").where("accepted")
     new = texts if empty else texts.join(old.select("digest"), "digest", "left_anti")
     rows = new.select(F.explode("fps").alias("fp"), "digest", "size", "need", "ord")
     counted = rows.groupBy("fp").count()
-    live = counted.where("count > 1").select("fp", F.lit(False).alias("known"), "count")
-    if not empty:
+    if empty:
+        live = counted.where("count > 1").withColumn("known", F.lit(False))
+    else:
         known = screened(counted.select("fp"), store).withColumn("held", F.lit(True))
-        live = counted.join(known, "fp", "left").select("fp", F.col("held").isNotNull().alias("known"), "count").where("count > 1 or known")
-    live = written(live, "live")
-    several = written(rows.join(live.select("fp", "known", "count"), "fp"), "several")
-    volume = live.agg(F.sum(F.expr("count * (count - 1) / 2"))).first()[0] or 0
+        live = counted.join(known, "fp", "left").where("count > 1 or held").withColumn("known", F.col("held").isNotNull()).drop("held")
+    # Fingerprints that something else may hold; each adds its share of the pairs that it gives in the delivery.
+    live, seen = measured(rows.join(live, "fp"), "live", pairs=F.sum(F.col("count") - 1))
     every = new.select("digest", "text").unionByName(store.table("texts"))
-    looked_up = None if empty else store.table("sketch").join(live.where("known").select("fp"), "fp", "left_semi").withColumn("old", F.lit(True))
-    alone = several.where("count > 1").drop("known", "count")
-    if volume <= pair_limit:
-        other = several.select("fp", "digest", "size", "need", F.lit(False).alias("old"))
+    looked_up = store.table("sketch").join(live.where("known").select("fp"), "fp", "left_semi").withColumn("old", F.lit(True))
+    if (seen["pairs"] or 0) <= 2 * pair_limit:
+        other = live.select("fp", "digest", "size", "need", F.lit(False).alias("old"))
         other = other if empty else other.unionByName(looked_up)
-        near = near_texts(sharing_pairs(several, other, once=True), every)
+        near = near_texts(sharing_pairs(live, other, once=True), every)
     else:
-        parts = near_in_delivery(alone, every, pair_limit)
+        parts = near_in_delivery(live.where("count > 1").drop("known", "count"), every, pair_limit)
         if not empty:
-            parts.append(near_texts(sharing_pairs(several.where("known"), looked_up), every))
+            parts.append(near_texts(sharing_pairs(live.where("known"), looked_up), every))
         near = reduce(DataFrame.unionByName, parts)
-    near = written(both_ways(near), "near")
-
-    # Whatever repeats a document accepted in an earlier delivery is turned down at once.
-    links = lambda docs, known: [
-        docs.join(known.select("hash_key", F.col("doc").alias("a"), F.col("ord").alias("oa")), "hash_key"),
-        docs.join(known.select("digest", F.col("doc").alias("a"), F.col("ord").alias("oa")), "digest"),
-        docs.join(near, docs.digest == near.x).join(known.select(F.col("digest").alias("y"), F.col("doc").alias("a"), F.col("ord").alias("oa")), "y"),
-    ]
-    pairs = lambda parts: reduce(DataFrame.unionByName, [p.select("doc", "a", "oa", "ord") for p in parts])
-    repeats = None
-    left = delivery
-    if not empty:
-        repeats = written(pairs(links(delivery, old)).select("doc", "a"), "old-repeats")
-        left = delivery.join(repeats.select("doc"), "doc", "left_anti")
-    taken = written(settled(left, near, task_rows), "accepted")
-    rest = delivery.join(taken.select("doc"), "doc", "left_anti")
-    found = pairs(links(rest, taken)).where("oa < ord").select("doc", "a")
-    found = found if repeats is None else found.unionByName(repeats)
-    found = found.select(F.least("doc", "a").alias("document_id_a"), F.greatest("doc", "a").alias("document_id_b")).distinct()
-    found = written(found, "repeats")
-    store.extend(delivery, taken, texts)
-    let_go(live, several, near, taken, *([repeats] if repeats is not None else []))
-    return found
+    near, seen = measured(both_ways(near), "near")
+
+    if empty:
+        held, delivery = None, delivery.withColumn("held", F.lit(False))
+    else:
+        # Whatever repeats a document accepted in an earlier delivery is turned down at once.
+        own = F.array_compact(F.array(F.concat(F.lit("h"), "hash_key"), F.concat(F.lit("d"), F.col("digest").cast("string"))))
+        keys = old.select(F.explode(own).alias("key"), F.col("doc").alias("a"))
+        mine = delivery.select("doc", F.explode(own).alias("key"))
+        mine = mine.unionByName(delivery.join(near, delivery.digest == near.x).select("doc", F.concat(F.lit("d"), F.col("y").cast("string")).alias("key")))
+        held = written(mine.join(keys, "key").select("doc", "a").distinct(), "held")
+        delivery = delivery.join(held.select("doc", F.lit(True).alias("held")).distinct(), "doc", "left").withColumn("held", F.col("held").isNotNull())
+    settle = settled_at_once if n_documents + seen["n"] <= task_rows else settled_in_rounds
+    store.add("documents", number, settle(delivery, near))
+    told = store.table("documents", [number])
+    store.extend(number, told.where("accepted"), texts)
+    found = told.select("doc", F.explode("repeats").alias("a"))
+    found = found if held is None else found.unionByName(held)
+    let_go(live, near)
+    return found.select(F.least("doc", "a").alias("document_id_a"), F.greatest("doc", "a").alias("document_id_b"))
 
 
 def repeated_deliveries(
@@ -397,20 +404,19 @@ def repeated_deliveries(
     if store.deliveries:  # what was delivered to the store before
         deliveries = deliveries.join(store.table("documents").select("doc"), "doc", "left_anti")
     hashes = current_documents(registry, "content_hash").select("document_id", content_key(F.col("content_hash")).alias("hash_key"))
-    framed = articles(pages, registry)
     documents = deliveries.join(hashes, deliveries.doc == hashes.document_id, "left").drop("document_id")
-    documents = documents.join(framed, "doc", "left").withColumn("batch", F.col("ord.batch"))
+    documents = documents.join(articles(pages, registry), "doc", "left").withColumn("batch", F.col("ord.batch"))
     documents = written(documents.hint("rebalance", "batch"), "deliveries", ["batch"])
-    numbers = sorted(r[0] for r in documents.select("batch").distinct().collect())  # one row a batch
+    # One row a distinct text of a batch, with its first delivery.
+    firsts = documents.where("digest is not null").groupBy("batch", "digest").agg(F.min("ord").alias("ord")).select("batch", F.col("ord.doc").alias("doc"))
+    firsts = written(firsts.hint("rebalance", "batch"), "firsts", ["batch"])
+    numbers = sorted(map(tuple, documents.groupBy("batch").count().collect()))  # one row a batch
     out = []
-    for batch in numbers:
+    for batch, n_documents in numbers:
         mine = documents.where(F.col("batch") == batch)
-        # One row a distinct text, with its first delivery in the batch.
-        firsts = mine.where("digest is not null").groupBy("digest").agg(F.min("ord").alias("ord"))
-        firsts = small_or_not(firsts.select(F.col("ord.doc").alias("doc")), "firsts")
-        texts = mine.join(firsts, "doc", "left_semi").select("digest", "ord", "text", "size", "need", "fps")
-        out.append(admit(mine.select("doc", "ord", "hash_key", "digest"), texts, store, pair_limit, task_rows))
-        let_go(firsts)
+        texts = mine.join(firsts.where(F.col("batch") == batch).select("doc"), "doc", "left_semi")
+        texts = texts.select("digest", "ord", "text", "size", "need", "fps")
+        out.append(admit(mine.select("doc", "ord", "hash_key", "digest"), texts, store, n_documents, pair_limit, task_rows))
     if not out:
         return spark.createDataFrame([], "document_id_a string, document_id_b string")
     return reduce(DataFrame.unionByName, out)
