@@ -1,35 +1,29 @@
 """Rebuilding conversations from message rows with keyed streaming state.
 
-The messages are a stream. State is kept for each session and day: late messages are buffered
-until the watermark has passed the day and the allowed lateness, then the day's messages are put
-in order, checked and emitted as one segment, and the state is dropped. A session that never
-ends, such as a shared kiosk, thus never gathers its rows in one task. Segments of a session are
-joined in order afterwards; what matters between two of them is only the last and first row.
+The messages are a stream. State is kept for each session and slice of time: late messages are
+buffered until the watermark has passed the slice and the allowed lateness, then the slice's messages
+are put in order, checked and emitted as one segment, and the state is dropped. A session that never
+ends, such as a shared kiosk, thus never gathers its rows in one state, row or task. Segments carry
+what the joint with the next one needs, so a session is judged from narrow rows. Messages without a
+time have no place in a slice; they pass by the state and count as what they are, a fault.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from datetime import datetime
+from datetime import timedelta
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from shelfmark.session import is_file, new_path
+from shelfmark.session import exists, is_file, new_path
 
-#: A message may come so much later than the newest one of the stream.
-LATENESS = "2 days"
-DAY_MS = 86_400_000
-LATENESS_MS = 2 * DAY_MS
+#: A message may come so much later than the newest one of the stream; length of a slice.
+LATENESS, SLICE = timedelta(days=2), timedelta(minutes=15)
 
 # Other spellings of the roles.
 ROLE_NAMES = {"user": "user", "human": "user", "assistant": "assistant", "bot": "assistant", "ai": "assistant", "system": "system"}
-#: Stands in as event time for rows without one; they are told apart by `timed`.
-NO_TIME = datetime(2000, 1, 1)
 #: Session of the marker that closes a finite stream.
 CLOSING = "\u0000closing"
 # Characters without width, blank as a text.
@@ -44,138 +38,127 @@ MESSAGE_SCHEMA = T.StructType(
         T.StructField("created_at", T.TimestampNTZType()),
     ]
 )
-TURNS = "array<struct<id:bigint,role:string,content:string,created_us:bigint>>"
 SEGMENT_SCHEMA = (
-    "session_id string, day bigint, visible boolean, bad boolean, first_role string, first_text string, "
-    f"last_role string, last_text string, double_reply boolean, no_reply boolean, n_kept int, turns {TURNS}"
+    "session_id string, slice timestamp, n_rows bigint, visible boolean, bad boolean, said string, "
+    "turns array<struct<us:bigint,id:bigint,role:string,text:string>>"
 )
-STATE_SCHEMA = "ids array<bigint>, times array<bigint>, timed array<boolean>, roles array<string>, texts array<string>, shown array<boolean>"
-
-
-def _close(session: str, day: int, rows: list[tuple]) -> pd.DataFrame:
-    """One segment from rows (time, id, timed, role, text, shown) in any order."""
-    kept: list[tuple] = []
-    bad = visible = False
-    for at, ident, timed, role, text, shown in sorted(rows, key=lambda r: (r[0], r[1], r[3] or "", r[4] or "")):
-        visible |= shown
-        bad |= not timed or role is None
-        if not shown or role is None or role == "system":
-            continue
-        if kept and kept[-1][1:3] == (role, text):
-            continue
-        kept.append((ident, role, text, at))
-    roles = [r for _, r, _, _ in kept]
-    pairs = list(zip(roles, roles[1:]))
-    turns = [{"id": i, "role": r, "content": t, "created_us": a} for i, r, t, a in kept]
-    first, last = (kept[0], kept[-1]) if kept else ((None,) * 4, (None,) * 4)
-    return pd.DataFrame(
-        [[session, day, visible, bad, first[1], first[2], last[1], last[2], ("assistant", "assistant") in pairs,
-          ("user", "user") in pairs, len(kept), turns]],
-        columns=[c.split()[0] for c in SEGMENT_SCHEMA.split(f", turns {TURNS}")[0].split(", ")] + ["turns"],
-    )
 
 
-def _buffer(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    session, day = key[0], int(key[1])
-    columns = list(state.get) if state.exists else [[] for _ in range(6)]
-    if state.hasTimedOut:
-        state.remove()
-        ids, times, timed, roles, texts, shown = columns
-        yield _close(session, day, list(zip(times, ids, timed, roles, texts, shown)))
-        return
-    columns = [list(c) for c in columns]
-    for pdf in batches:
-        for column, name in zip(columns, ("id", "created_us", "timed", "role_name", "content", "shown")):
-            column.extend(pdf[name].astype(object).where(pdf[name].notna(), None).tolist())
-    if session == CLOSING:
-        return
-    state.update(tuple(columns))
-    state.setTimeoutTimestamp(max((day + 1) * DAY_MS, state.getCurrentWatermarkMs() + 1))
-
-
-def conversation_segments(messages: DataFrame) -> DataFrame:
-    """The stream of closed segments of a stream of messages (columns of MESSAGE_SCHEMA).
-
-    Rows with a null or blank session belong to none. Within a segment rows are in order of time
-    and id; system rows, rows without visible text and repeats of the row before are left out of
-    its turns.
-    """
+def _span(length: timedelta) -> str:
+    return f"{int(length.total_seconds())} seconds"
+
+
+def told_messages(messages: DataFrame) -> DataFrame:
+    """`id, session_id, role, text, shown, event_time` of messages (columns of MESSAGE_SCHEMA) that belong to a
+    session: the role in one spelling (null if unknown), the text without outer spaces, and whether any of it shows."""
     text = F.regexp_replace("content", r"^[\s\x{A0}\x{3000}]+|[\s\x{A0}\x{3000}]+$", "")
     role = F.lower(F.regexp_replace("role", r"^[\s\x{A0}]+|[\s\x{A0}]+$", ""))
     names = F.create_map(*[F.lit(x) for pair in ROLE_NAMES.items() for x in pair])
-    rows = messages.where(F.length(F.regexp_replace("session_id", r"\s+", "")) > 0).select(
-        F.coalesce("id", F.lit(-1).cast("bigint")).alias("id"), "session_id",
-        F.try_element_at(names, role).alias("role_name"), text.alias("content"),
+    return messages.where(F.length(F.regexp_replace("session_id", r"\s+", "")) > 0).select(
+        F.coalesce("id", F.lit(-1).cast("bigint")).alias("id"), "session_id", F.try_element_at(names, role).alias("role"), text.alias("text"),
         F.coalesce(F.length(F.regexp_replace(text, rf"[\s\p{{Z}}{INVISIBLE}]+", "")) > 0, F.lit(False)).alias("shown"),
-        F.col("created_at").isNotNull().alias("timed"),
-        F.coalesce(F.col("created_at").cast("timestamp"), F.lit(NO_TIME)).alias("event_time"),
+        F.col("created_at").cast("timestamp").alias("event_time"),
+    )
+
+
+def conversation_segments(messages: DataFrame, lateness: timedelta = LATENESS, slice_: timedelta = SLICE) -> DataFrame:
+    """The stream of closed segments (SEGMENT_SCHEMA) of a stream of messages with a time.
+
+    Turns are in order of time and id; system rows, rows without visible text and repeats of the row
+    before are left out of them. `said` has one letter a turn: u for a user's, a for an assistant's.
+    """
+    rows = told_messages(messages).where("event_time is not null").withWatermark("event_time", _span(lateness))
+    row = F.struct(F.unix_micros("event_time").alias("us"), "id", "role", "text", "shown")
+    closed = rows.groupBy("session_id", F.window("event_time", _span(slice_)).alias("w")).agg(F.collect_list(row).alias("rows"))
+    speaks = lambda r: r["shown"] & r["role"].isin("user", "assistant")
+    closed = closed.select("session_id", F.col("w.start").alias("slice"), "rows", F.array_sort(F.filter("rows", speaks)).alias("spoken"))
+    before = lambda i, key: F.get("spoken", i - 1)[key]
+    same = lambda r, i: (r["role"] == before(i, "role")) & (r["text"] == before(i, "text"))
+    turns = F.filter("spoken", lambda r, i: ~F.coalesce(same(r, i), F.lit(False)))
+    turns = F.transform(turns, lambda r: F.struct(r["us"].alias("us"), r["id"].alias("id"), r["role"].alias("role"), r["text"].alias("text")))
+    return closed.select(
+        "session_id", "slice", F.size("rows").cast("bigint").alias("n_rows"), F.exists("rows", lambda r: r["shown"]).alias("visible"),
+        F.exists("rows", lambda r: r["role"].isNull()).alias("bad"), turns.alias("turns"),
+    ).select("session_id", "slice", "n_rows", "visible", "bad", F.array_join(F.transform("turns", lambda t: F.left(t["role"], F.lit(1))), "").alias("said"), "turns")
+
+
+def untimed_segments(messages: DataFrame) -> DataFrame:
+    """Each message without a time as a segment (SEGMENT_SCHEMA) of its own, without slice or turns."""
+    rows = told_messages(messages).where("event_time is null")
+    turns = F.array().cast("array<struct<us:bigint,id:bigint,role:string,text:string>>")
+    return rows.select(
+        "session_id", F.lit(None).cast("timestamp").alias("slice"), F.lit(1).cast("bigint").alias("n_rows"), F.col("shown").alias("visible"),
+        F.lit(True).alias("bad"), F.lit("").alias("said"), turns.alias("turns"),
     )
-    rows = rows.withColumn("created_us", F.unix_micros("event_time")).withColumn(
-        "day", F.floor(F.col("created_us") / F.lit(DAY_MS * 1000)).cast("bigint")
-    )
-    return (
-        rows.withWatermark("event_time", LATENESS)
-        .groupBy("session_id", "day")
-        .applyInPandasWithState(_buffer, SEGMENT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
-    )
 
 
-def closed_segments(spark: SparkSession, path: str) -> DataFrame:
-    """All segments of the message files under `path`, each session closed.
+def closed_segments(spark: SparkSession, path: str, base: str | None = None, lateness: timedelta = LATENESS, slice_: timedelta = SLICE) -> DataFrame:
+    """All segments of the message files under `path`, each slice closed.
 
-    The files run through the stream once, then a marker far ahead moves the watermark past the
-    last message, so that what is still buffered times out. Segments, state and progress are in
-    the shared folder; a lost executor costs a micro-batch. Files that come later can be run
-    through the same stream with the same checkpoint, without those before.
+    The files run through the stream in one micro-batch, so that none of them is late for another;
+    then a marker moves the watermark to the end of the last slice, and what is still buffered times
+    out. Segments, state and progress are in `base` (a new place in the shared folder); a lost executor
+    costs a micro-batch. Called again with the same `base`, only files that are new are read; a message
+    for a slice that was closed then comes too late and is told by `late_messages`.
     """
-    base = new_path(spark, "conversations")
-    sink, control, checkpoint = f"{base}/segments", f"{base}/control", f"{base}/checkpoint"
-    spark.createDataFrame([], MESSAGE_SCHEMA).write.parquet(control)
+    base = base or new_path(spark, "conversations")
+    control = f"{base}/control"
+    if not exists(spark, control):
+        spark.createDataFrame([], MESSAGE_SCHEMA).write.parquet(control)
 
-    def run() -> None:
+    def stream() -> DataFrame:
         reader = spark.readStream.schema(MESSAGE_SCHEMA)
         if is_file(spark, path):  # a stream reads folders
             folder, name = path.rsplit("/", 1)
-            files = reader.option("pathGlobFilter", name).parquet(folder)
-        else:
-            files = reader.parquet(path)
+            return reader.option("pathGlobFilter", name).parquet(folder)
+        return reader.parquet(path)
+
+    def run(rows: DataFrame, name: str) -> None:
+        writer = rows.writeStream.format("parquet").option("checkpointLocation", f"{base}/checkpoint-{name}").outputMode("append")
+        writer.trigger(availableNow=True).start(f"{base}/{name}").awaitTermination()
+
+    def run_state() -> None:
         marker = spark.readStream.schema(MESSAGE_SCHEMA).parquet(control)
-        query = (
-            conversation_segments(files.unionByName(marker))
-            .writeStream.format("parquet")
-            .option("checkpointLocation", checkpoint)
-            .outputMode("append")
-            .trigger(availableNow=True)
-            .start(sink)
-        )
-        query.awaitTermination()
-
-    run()
-    closing = [(0, CLOSING, "system", "", datetime(2200, 1, 1))]
-    spark.createDataFrame(closing, MESSAGE_SCHEMA).coalesce(1).write.mode("append").parquet(control)
-    run()
-    return spark.read.schema(SEGMENT_SCHEMA).parquet(sink)
+        run(conversation_segments(stream().unionByName(marker), lateness, slice_), "segments")
+
+    run(untimed_segments(stream()), "untimed")
+    run_state()
+    last = spark.read.schema(MESSAGE_SCHEMA).parquet(path).agg(F.max("created_at")).first()[0]
+    if last is not None:
+        row = spark.createDataFrame([(0, CLOSING, "system", "", last + lateness + slice_)], MESSAGE_SCHEMA)
+        row.coalesce(1).write.mode("append").parquet(control)
+        run_state()
+    read = lambda name: spark.read.schema(SEGMENT_SCHEMA).parquet(f"{base}/{name}")
+    return read("segments").where(F.col("session_id") != CLOSING).unionByName(read("untimed"))
+
+
+def late_messages(messages: DataFrame, segments: DataFrame, slice_: timedelta = SLICE) -> DataFrame:
+    """`session_id, slice, n_late`: how many messages of a closed slice came too late for its segment."""
+    rows = told_messages(messages).where("event_time is not null")
+    rows = rows.groupBy("session_id", F.window("event_time", _span(slice_))["start"].alias("slice")).agg(F.count("*").alias("n"))
+    known = segments.where("slice is not null").groupBy("session_id", "slice").agg(F.sum("n_rows").alias("n_rows"))
+    late = F.col("n") - F.coalesce("n_rows", F.lit(0))
+    return rows.join(known, ["session_id", "slice"], "left").select("session_id", "slice", late.alias("n_late")).where("n_late > 0")
 
 
 def joined_segments(segments: DataFrame) -> DataFrame:
-    """Segments with `repeats` (its first turn repeats the turn before), `before` (turns before it) and,
-    over the seam, `seam_double` and `seam_none`. Segments without turns stay with nulls."""
-    kept = segments.where("n_kept > 0")
-    order = W.partitionBy("session_id").orderBy("day")
-    prev_role, prev_text = F.lag("last_role").over(order), F.lag("last_text").over(order)
-    same = F.coalesce((prev_role == F.col("first_role")) & (prev_text == F.col("first_text")), F.lit(False))
-    kept = kept.withColumn("repeats", same).withColumns(
-        {
-            "seam_double": ~F.col("repeats") & (prev_role == "assistant") & (F.col("first_role") == "assistant"),
-            "seam_none": ~F.col("repeats") & (prev_role == "user") & (F.col("first_role") == "user"),
-            "opens": prev_role.isNull() & (F.col("first_role") != "user"),
-            "closes": F.lead("first_role").over(order).isNull() & (F.col("last_role") == "user"),
-            "before": F.sum(F.col("n_kept") - F.col("repeats").cast("int")).over(
-                order.rowsBetween(W.unboundedPreceding, -1)
-            ),
-        }
+    """One narrow row a segment, without its turns: its flags, whether its first turn `repeats` the turn before
+    it, how many turns are `before` it, and `said` with the letter of that turn in front."""
+    key = lambda t: F.when(F.col("said") != "", F.xxhash64(t["role"], t["text"]))
+    ends = [key(F.try_element_at("turns", F.lit(k))).alias(name) for k, name in ((1, "first"), (-1, "last"))]
+    narrow = segments.select("session_id", "slice", "visible", "bad", "said", *ends)
+    spoken = narrow.where("said != ''")
+    order = W.partitionBy("session_id").orderBy("slice")
+    spoken = spoken.withColumns(
+        {"repeats": F.coalesce(F.lag("last").over(order) == F.col("first"), F.lit(False)), "previous": F.coalesce(F.right(F.lag("said").over(order), F.lit(1)), F.lit("^"))}
     )
-    return kept.unionByName(segments.where("n_kept = 0"), allowMissingColumns=True)
+    own = F.when(F.col("repeats"), F.expr("substring(said, 2)")).otherwise(F.col("said"))
+    spoken = spoken.withColumn("said", F.concat("previous", own)).withColumn(
+        "before", F.coalesce(F.sum(F.length("said") - 1).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    )
+    ends_here = F.lead("slice").over(order).isNull()
+    spoken = spoken.withColumn("said", F.when(ends_here, F.concat("said", F.lit("$"))).otherwise(F.col("said")))
+    return spoken.drop("previous").unionByName(narrow.where("said = ''"), allowMissingColumns=True)
 
 
 def session_defects(segments: DataFrame) -> DataFrame:
@@ -185,19 +168,21 @@ def session_defects(segments: DataFrame) -> DataFrame:
     assistant first, or two replies in a row; missing_reply: a user row without a reply after it.
     """
     flags = joined_segments(segments).groupBy("session_id").agg(
-        F.bool_or("visible").alias("visible"),
-        F.bool_or(F.col("bad") | F.col("double_reply") | F.coalesce("seam_double", F.lit(False)) | F.coalesce("opens", F.lit(False))).alias("broken"),
-        F.bool_or(F.col("no_reply") | F.coalesce("seam_none", F.lit(False)) | F.coalesce("closes", F.lit(False))).alias("unanswered"),
-    )
+        F.bool_or("visible").alias("visible"), F.bool_or(F.col("bad") | F.col("said").rlike(r"\^a|aa")).alias("broken"),
+        F.bool_or(F.col("said").rlike(r"uu|u\$")).alias("unanswered"),
+    )
     defect = F.when(~F.col("visible"), "empty").when(F.col("broken"), "broken").when(F.col("unanswered"), "missing_reply")
     return flags.select("session_id", defect.alias("defect"))
 
 
 def conversations(segments: DataFrame) -> DataFrame:
-    """`session_id, turn_no, role, content, id` of the turns of all sound conversations, in order."""
+    """`session_id, turn_no, role, content, id` of the turns of all sound conversations, in order.
+
+    Turns are numbered by narrow rows of their segments and never gathered by session.
+    """
     sound = session_defects(segments).where("defect is null").select("session_id")
-    turns = joined_segments(segments).where("n_kept > 0").join(sound, "session_id", "left_semi")
-    turns = turns.select("session_id", "repeats", F.coalesce("before", F.lit(0)).alias("before"), F.posexplode("turns").alias("pos", "turn"))
-    turns = turns.where(~(F.col("repeats") & (F.col("pos") == 0)))
+    places = joined_segments(segments).where("first is not null").join(sound, "session_id", "left_semi").select("session_id", "slice", "repeats", "before")
+    turns = segments.where("said != ''").join(places, ["session_id", "slice"])
+    turns = turns.select("session_id", "repeats", "before", F.posexplode("turns").alias("pos", "turn")).where("not (repeats and pos = 0)")
     turn_no = F.col("before") + F.col("pos") + 1 - F.col("repeats").cast("int")
-    return turns.select("session_id", turn_no.cast("bigint").alias("turn_no"), "turn.role", "turn.content", "turn.id")
+    return turns.select("session_id", turn_no.cast("bigint").alias("turn_no"), "turn.role", F.col("turn.text").alias("content"), "turn.id")

@@ -80,9 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p10_pieces": p10_pieces,
 }
 
-#: The same in SQL, where SQL can say it.
-ORACLES: dict[str, str] = {
-    "p3_found": r"""
+_SESSIONS_SQL = r"""
         WITH m AS (
             SELECT session_id, id, created_at,
                    CASE lower(regexp_replace(role, '^[\s\x{A0}]+|[\s\x{A0}]+$', '', 'g')) WHEN 'user' THEN 'user' WHEN 'human' THEN 'user'
@@ -95,14 +93,20 @@ ORACLES: dict[str, str] = {
             SELECT *, lag(who) OVER w AS pw, lag(say) OVER w AS ps FROM m
             WHERE shown AND who IN ('user', 'assistant') WINDOW w AS (PARTITION BY session_id ORDER BY created_at, id, who, say)),
         turns AS (
-            SELECT session_id, who, lag(who) OVER v AS pw, lead(who) OVER v AS nw FROM rough
+            SELECT session_id, id, created_at, say, who, lag(who) OVER v AS pw, lead(who) OVER v AS nw FROM rough
             WHERE NOT coalesce(who = pw AND say = ps, false) WINDOW v AS (PARTITION BY session_id ORDER BY created_at, id, who, say)),
         a AS (SELECT session_id, bool_or(shown) AS visible, bool_or(created_at IS NULL OR who IS NULL) AS bad FROM m GROUP BY 1),
         b AS (SELECT session_id, bool_or(who = 'assistant' AND coalesce(pw, 'assistant') = 'assistant') AS broken,
-                     bool_or(who = 'user' AND coalesce(nw, 'user') = 'user') AS lacks FROM turns GROUP BY 1)
-        SELECT * FROM (SELECT a.session_id, CASE WHEN NOT visible THEN 'empty' WHEN bad OR broken THEN 'broken'
-                              WHEN lacks THEN 'missing_reply' END AS defect FROM a LEFT JOIN b USING (session_id))
-        WHERE defect IS NOT NULL""",
+                     bool_or(who = 'user' AND coalesce(nw, 'user') = 'user') AS lacks FROM turns GROUP BY 1),
+        judged AS (SELECT a.session_id, CASE WHEN NOT visible THEN 'empty' WHEN bad OR broken THEN 'broken'
+                              WHEN lacks THEN 'missing_reply' END AS defect FROM a LEFT JOIN b USING (session_id))"""
+
+#: The same in SQL, where SQL can say it.
+ORACLES: dict[str, str] = {
+    "p3_found": _SESSIONS_SQL + " SELECT session_id, defect FROM judged WHERE defect IS NOT NULL",
+    "p3_conversations": _SESSIONS_SQL + """
+        SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY created_at, id, who, say) AS turn_no, who AS role, say AS content, id
+        FROM turns JOIN judged USING (session_id) WHERE defect IS NULL""",
     "p6_found": r"""
         WITH cur AS (
             SELECT document_id, regexp_replace(regexp_replace(regexp_extract(lower(trim(source_url)),

@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 
 import numpy as np
 
-from shelfmark.llm.conversations import MESSAGE_SCHEMA, closed_segments, conversations, session_defects
+from shelfmark.llm.conversations import MESSAGE_SCHEMA, closed_segments, conversations, late_messages, session_defects
 from shelfmark.llm.dedup import Store, repeated_deliveries, screened
 from shelfmark.llm.fingerprints import within_distance
 from shelfmark.llm.pairs import defective_pairs, fit_defects, language, made_pairs, pair_features
@@ -67,6 +67,26 @@ def test_conversations_like_brute_force(spark, tmp_path):
     assert session_defects(closed_segments(spark, empty)).count() == 0
 
 
+def test_later_files_lose_nothing(spark, tmp_path):
+    at = lambda d, m=0: T0 + timedelta(days=d, minutes=m)
+    files = [
+        [(1, "a", "user", "q", at(0)), (2, "a", "bot", "r", at(0, 40)), (3, "b", "user", "q", at(0)), (4, "c", "user", "q", at(0)), (5, "c", "ai", "r", at(0, 1))],
+        [(6, "b", "assistant", "r", at(1)), (7, "d", "user", "q", at(60)), (8, "d", "assistant", "r", at(60)), (9, "c", "user", "more", None), (10, "a", "user", "late", at(0, 41))],
+        [(11, "e", "user", "q", at(61))],
+    ]
+    path, base = f"{tmp_path}/messages", f"{tmp_path}/stream"
+    seen = []
+    for rows in files:
+        spark.createDataFrame(rows, MESSAGE_SCHEMA).coalesce(1).write.mode("append").parquet(path)
+        segments = closed_segments(spark, path, base)
+        seen.append({r.session_id: r.defect for r in session_defects(segments).collect()})
+    assert seen[0] == {"a": None, "b": "missing_reply", "c": None}
+    # b's answer and a's last question came for slices that were open or closed: told, never lost silently
+    late = {r.session_id: r.n_late for r in late_messages(spark.read.schema(MESSAGE_SCHEMA).parquet(path), segments).collect()}
+    assert set(late) <= {"a", "b"} and late["a"] == 1
+    assert seen[2]["d"] is None and seen[2]["c"] == "broken" and seen[2]["e"] == "missing_reply" and seen[2]["a"] is None
+
+
 def test_distance():
     rnd = random.Random(7)
 
