@@ -18,8 +18,7 @@ from shelfmark.llm.boilerplate import plain_line
 SHINGLE, WINNOW = 5, 5
 #: Texts differ in at most one word in so many.
 ONE_IN = 10
-#: Texts of fewer words keep every shingle. Of n > 80 words at most n / 10 are changed, which leaves a
-#: run of 9 or more unchanged; with n < 81 some shingle stays unchanged. Near texts thus always share one.
+#: Texts of fewer words keep every shingle.
 SHORT = 81
 #: Characters hashed at once.
 GROUP = 400_000
@@ -80,18 +79,15 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return h, offsets
 
 
-def need_of(size: int) -> int:
-    """So many fingerprints at least a text without repeated shingles shares with any text near it.
+Fingerprinted = tuple[int | None, int, np.ndarray, np.ndarray]
 
-    n words with n / 10 edits leave n / 10 + 1 runs; what they hold beyond 8 words each is at least
-    n / 10 - 8 windows, and every five windows in a row have a fingerprint of their own.
-    """
-    return max(1, -(-(size - 8 * ONE_IN) // (ONE_IN * WINNOW)))
 
+def fingerprinted(texts: list[str]) -> list[Fingerprinted]:
+    """(digest, words, fingerprints in ascending order, place of each) of each text.
 
-def fingerprinted(texts: list[str]) -> list[tuple[int | None, int, int, np.ndarray]]:
-    """(digest, words, need, fingerprints in ascending order) of each text; the digest of no words is null."""
-    out: list[tuple[int | None, int, int, np.ndarray]] = []
+    The digest of no words is null; the place of a shingle that stands in a text twice is -1.
+    """
+    out: list[Fingerprinted] = []
     group: list[str] = []
     held = 0
     for k, text in enumerate(texts):
@@ -103,7 +99,7 @@ def fingerprinted(texts: list[str]) -> list[tuple[int | None, int, int, np.ndarr
     return out
 
 
-def _fingerprinted(texts: list[str]) -> list[tuple[int | None, int, int, np.ndarray]]:
+def _fingerprinted(texts: list[str]) -> list[Fingerprinted]:
     words, offsets = word_hashes(texts)
     shingles = _rolled(words)
     least = shingles
@@ -113,13 +109,16 @@ def _fingerprinted(texts: list[str]) -> list[tuple[int | None, int, int, np.ndar
     for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
         n = b - a
         if not n:
-            out.append((None, 0, 1, shingles[:0]))
+            out.append((None, 0, shingles[:0], np.zeros(0, dtype=np.int32)))
             continue
         digest = xxhash.xxh64_intdigest(words[a:b].tobytes()) - (1 << 63)
-        own = np.unique(shingles[a : b - SHINGLE + 1]) if n >= SHINGLE else _rolled(words[a:b])
-        repeats = len(own) < n - SHINGLE + 1
-        fps = own if n < SHORT else np.unique(least[a : b - SHINGLE - WINNOW + 2])
-        out.append((digest, n, 1 if repeats else need_of(n), fps))
+        every = shingles[a : b - SHINGLE + 1] if n >= SHINGLE else _rolled(words[a:b])
+        own, first, times = np.unique(every, return_index=True, return_counts=True)
+        places = np.where(times > 1, -1, first).astype(np.int32)
+        if n >= SHORT:
+            kept = np.searchsorted(own, np.unique(least[a : b - SHINGLE - WINNOW + 2]))
+            own, places = own[kept], places[kept]
+        out.append((digest, n, own, places))
     return out
 
 

@@ -9,7 +9,7 @@ import numpy as np
 
 from shelfmark.llm.conversations import MESSAGE_SCHEMA, closed_segments, conversations, late_messages, session_defects
 from shelfmark.llm.dedup import Store, repeated_deliveries, screened
-from shelfmark.llm.fingerprints import within_distance
+from shelfmark.llm.fingerprints import fingerprinted, within_distance
 from shelfmark.llm.pairs import defective_pairs, fit_defects, language, made_pairs, pair_features
 
 T0 = datetime(2024, 1, 1, 23, 0)
@@ -105,13 +105,24 @@ def test_distance():
             assert within_distance(np.array(a, dtype=int), np.array(b, dtype=int), most) == (full(a, b) <= most)
 
 
+def test_near_texts_share_enough():
+    rnd = np.random.default_rng(3)
+    for n in (20, 60, 81, 100, 200, 500):
+        for _ in range(200):
+            words = rnd.integers(0, 10**9, n)
+            other = words.copy()
+            other[rnd.choice(n, n // 10, replace=False)] = rnd.integers(0, 10**9, n // 10)
+            (_, _, a, _), (_, _, b, _) = fingerprinted([" ".join(map(str, words)), " ".join(map(str, other))])
+            assert len(np.intersect1d(a, b)) >= 0.3 * min(len(a), len(b))
+
+
 def test_filters_lose_nothing(spark):
     store = Store(spark)
     assert screened(spark.range(5).withColumnRenamed("id", "fp"), store).count() == 0
-    text = "digest bigint, ord struct<batch:int,time:bigint,doc:string>, text string, size int, need int, fps array<bigint>"
+    text = "digest bigint, ord struct<batch:int,time:bigint,doc:string>, text string, size int, fps array<bigint>, places array<int>"
     for part in (range(700), range(700, 1000)):
-        rows = [(k, (1, k, f"d{k}"), "t", 9, 1, [k * 7919 - 10**12, k * 7919 + 5]) for k in part]
-        store.extend(store.next(), spark.createDataFrame([(k,) for k in part], "digest bigint"), spark.createDataFrame(rows, text))
+        rows = spark.createDataFrame([(k, (1, k, f"d{k}"), "t", 9, [k * 7919 - 10**12, k * 7919 + 5], [0, 1]) for k in part], text)
+        store.extend(store.next(), spark.createDataFrame([(k,) for k in part], "digest bigint"), rows, store.linking(rows))
     probe = spark.createDataFrame([(k * 7919 - 10**12,) for k in range(20000)], "fp bigint")
     passed = {r.fp for r in screened(probe, Store(spark, store.path)).collect()}
     assert passed >= {k * 7919 - 10**12 for k in range(1000)} and len(passed) < 1300
@@ -236,7 +247,7 @@ def test_held_out_accuracy(spark):
 
 
 def test_evidence_places():
-    place = lambda a, s: next(f for f in pair_features("What is it?", a, s)[0] if f.startswith("p:place="))
+    place = lambda a, s: next(f for f in pair_features("What is it?", a, s) if f.startswith("p:place="))
     assert place("The hall opens at nine", "The hall opens at nine. More.") == "p:place=closed"
     assert place("The hall opens", "The hall opens at nine. More.") == "p:place=goes_on"
     assert place("at nine", "The hall opens at nine or so.") == "p:place=inside"
