@@ -2,81 +2,87 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 TOP_K, TOP_N, CUTOFFS = 10, 5, (1, 3, 5)
-#: Vectors in a block; two blocks are compared at once as matrices.
-QUERY_BLOCK, CORPUS_BLOCK = 512, 4096
+#: Queries that are compared with the corpus in one pass over it; with 1,024 dimensions they take 64 MB of a task.
+QUERY_ROUND = 8192
 
 
-def _blocks(vectors: DataFrame, id_col: str, vec_col: str, size: int, name: str) -> DataFrame:
-    """One row a block of at most about `size` vectors: ids and the vectors end to end.
-
-    Blocks are made by hash; the count of rows only sets how many there are.
-    """
-    n_blocks = max(1, -(-vectors.count() // size))
-    rows = vectors.where(F.col(vec_col).isNotNull() & F.col(id_col).isNotNull()).select(
-        F.pmod(F.xxhash64(id_col), F.lit(n_blocks)).alias("block"), F.struct(F.col(id_col).alias("id"), F.col(vec_col).alias("v")).alias("row")
-    )
-    grouped = rows.groupBy("block").agg(F.collect_list("row").alias("rows"))
-    return grouped.select(F.col("rows.id").alias(f"{name}_ids"), F.flatten("rows.v").alias(f"{name}_vectors"))
+def _best(query: np.ndarray, score: np.ndarray, item: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best (query, score, item) of each query; ties go to the smaller item."""
+    order = np.lexsort((item, -score, query))
+    query, score, item = query[order], score[order], item[order]
+    first = np.searchsorted(query, query, "left")
+    kept = np.arange(len(query)) - first < k
+    return query[kept], score[kept], item[kept]
 
 
-def vector_topk(queries: DataFrame, corpus: DataFrame, k: int = TOP_K, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def vector_topk(
+    queries: DataFrame, corpus: DataFrame, k: int = TOP_K, id_col: str = "vec_id", vec_col: str = "embedding", alike: str | None = None, query_round: int = QUERY_ROUND
+) -> DataFrame:
     """`query_id, rank, vec_id, score`: the `k` nearest corpus vectors of each query by cosine.
 
     Ties go to the smaller id; rank starts at 1; null vectors take no part and a zero vector has
-    score 0. The query set is compared with all rows in blocks: each task multiplies two bounded
-    matrices and keeps k rows a query, and only those are ranked again.
+    score 0. With `alike`, only vectors with the query's value in that column count. The corpus is
+    read once for each round of at most about `query_round` queries, which every task gets whole;
+    a task multiplies them with its rows batch by batch and keeps k rows a query, and only those
+    are shuffled and ranked again. The corpus itself is never shuffled.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[list] = [[], [], []]
-            for r in range(batch.num_rows):
-                q_ids, c_ids = (batch.column(i)[r].values.to_numpy(zero_copy_only=False) for i in (0, 2))
-                q, c = (batch.column(i)[r].values.to_numpy(zero_copy_only=False).astype(np.float64) for i in (1, 3))
-                q, c = q.reshape(len(q_ids), -1), c.reshape(len(c_ids), -1)
-                norms = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(c, axis=1)[None, :]
-                scores = np.divide(q @ c.T, norms, out=np.zeros_like(norms), where=norms > 0)
-                for i in range(len(q_ids)):
-                    row = scores[i]
-                    if len(row) > k:
-                        least = np.partition(row, len(row) - k)[len(row) - k]
-                        best = np.flatnonzero(row >= least)
-                    else:
-                        best = np.arange(len(row))
-                    best = best[np.lexsort((c_ids[best], -row[best]))][:k]
-                    out[0] += [int(q_ids[i])] * len(best)
-                    out[1] += c_ids[best].tolist()
-                    out[2] += row[best].tolist()
-            types = (pa.int64(), pa.int64(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=["query_id", "vec_id", "score"])
-
-    q = _blocks(queries, id_col, vec_col, QUERY_BLOCK, "q")
-    c = _blocks(corpus, id_col, vec_col, CORPUS_BLOCK, "c")
-    n_pairs = q.crossJoin(c).repartition(max(1, q.sparkSession.sparkContext.defaultParallelism))
-    found = n_pairs.select("q_ids", "q_vectors", "c_ids", "c_vectors").mapInArrow(run, "query_id bigint, vec_id bigint, score double")
+    spark = queries.sparkSession
+    present = F.col(vec_col).isNotNull() & F.col(id_col).isNotNull()
+    group = F.xxhash64(alike) if alike else F.lit(0).cast("bigint")
+    told = lambda rows: rows.where(present & (F.col(alike).isNotNull() if alike else F.lit(True))).select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).alias("v"), group.alias("g"))
+    wanted, rows = told(queries), told(corpus)
+    rounds = max(1, -(-wanted.count() // query_round))
+
+    def searcher(found: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, q, groups = found.value
+            norms = np.linalg.norm(q, axis=1)
+            best = (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                items, of = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+                c = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
+                scale = norms[:, None] * np.linalg.norm(c, axis=1)[None, :]
+                scores = np.divide(q @ c.T, scale, out=np.zeros_like(scale), where=scale > 0)
+                if alike:
+                    scores[groups[:, None] != of[None, :]] = -np.inf
+                least = np.partition(scores, len(items) - k, axis=1)[:, len(items) - k] if len(items) > k else np.full(len(ids), -2.0)
+                at, which = np.nonzero(scores >= np.maximum(least, -2.0)[:, None])
+                best = _best(*(np.concatenate(x) for x in zip(best, (at, scores[at, which], items[which]))), k)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[best[0]]), pa.array(best[2]), pa.array(best[1])], names=["query_id", "vec_id", "score"])
+
+        return run
+
+    out = None
+    for r in range(rounds):
+        mine = wanted.where(F.pmod(F.xxhash64("id"), F.lit(rounds)) == r).toArrow()  # about query_round rows
+        if not mine.num_rows:
+            continue
+        vectors = np.array(mine.column("v").to_pylist(), dtype=np.float64)
+        block = spark.sparkContext.broadcast((mine.column("id").to_numpy(), vectors, mine.column("g").to_numpy()))
+        part = rows.mapInArrow(searcher(block), "query_id bigint, vec_id bigint, score double")
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     order = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def nearest_alike(queries: DataFrame, corpus: DataFrame, k: int, label_col: str = "label", id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """`query_id, rank, vec_id, score`: the `k` nearest other vectors of each query's own label, among all of
-    that label; a query without any has no rows. Each label is searched in blocks by itself."""
-    found = None
-    for (label,) in queries.select(label_col).distinct().where(F.col(label_col).isNotNull()).collect():
-        own = F.col(label_col) == F.lit(label)
-        part = vector_topk(queries.where(own), corpus.where(own), k + 1, id_col, vec_col)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return vector_topk(queries.where("false"), corpus.where("false"), k, id_col, vec_col)
+    that label; a query without any has no rows."""
+    found = vector_topk(queries, corpus, k + 1, id_col, vec_col, alike=label_col)
     order = W.partitionBy("query_id").orderBy("rank")
     others = found.where(F.col("vec_id") != F.col("query_id")).withColumn("rank", F.row_number().over(order))
     return others.where(F.col("rank") <= k)

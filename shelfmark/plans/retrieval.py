@@ -81,16 +81,16 @@ def _top_sql(k: int = 10, where: str = "true") -> str:
 
 
 _METRICS_SQL = f"""
-    WITH top AS ({_top_sql()}), wide AS ({_top_sql(50)}),
+    WITH top AS ({_top_sql()}),
     expected AS (
         SELECT query_id, vec_id FROM (
-            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank) AS r
-            FROM wide WHERE vec_id <> query_id AND label = query_label) WHERE r <= 3),
-    found AS (SELECT e.query_id, t.rank FROM expected e LEFT JOIN (SELECT * FROM top WHERE vec_id <> query_id) t
-              ON t.query_id = e.query_id AND t.vec_id = e.vec_id)
+            SELECT q.vec_id AS query_id, c.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) DESC, c.vec_id) AS r
+            FROM embeddings q JOIN embeddings c ON c.label = q.label AND c.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0 AND q.embedding IS NOT NULL AND c.embedding IS NOT NULL) WHERE r <= 3),
+    found AS (SELECT q.vec_id AS query_id, e.vec_id, t.rank FROM embeddings q LEFT JOIN expected e ON e.query_id = q.vec_id LEFT JOIN (SELECT * FROM top WHERE vec_id <> query_id) t
+              ON t.query_id = e.query_id AND t.vec_id = e.vec_id WHERE q.vec_id % 20 = 0 AND q.embedding IS NOT NULL)
     SELECT query_id, {", ".join(f'''CAST(count(*) FILTER (rank <= {k}) > 0 AS INTEGER) AS hit_{k},
-           round(count(*) FILTER (rank <= {k}) / count(*), 6) AS recall_{k},
-           CAST(count(*) FILTER (rank <= {k}) = count(*) AS INTEGER) AS complete_{k}''' for k in (1, 3, 5))},
+           round(coalesce(count(*) FILTER (rank <= {k}) / nullif(count(vec_id), 0), 0.0), 6) AS recall_{k},
+           CAST(count(*) FILTER (rank <= {k}) = count(vec_id) AND count(vec_id) > 0 AS INTEGER) AS complete_{k}''' for k in (1, 3, 5))},
            round(coalesce(1.0::DOUBLE / min(rank), 0.0), 6) AS reciprocal_rank
     FROM found GROUP BY query_id"""
 _NAMES = [f"{m}_{k}" for k in (1, 3, 5) for m in ("hit", "recall", "complete")] + ["reciprocal_rank"]

@@ -32,7 +32,7 @@ def text_functions(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").where("text is not null").select(
         "doc_id", F.sha2(T.normalize_text(text), 256).alias("normal"), F.md5(T.label_form(text)).alias("label_form"),
         F.length(T.compact_form(text)).alias("compact_length"), T.estimated_tokens(text).alias("tokens"),
-        T.slug(F.left(text, F.lit(60))).alias("slug"), F.length(T.one_line(text)).alias("line_length"),
+        T.slug(text).alias("slug"), F.length(T.one_line(text)).alias("line_length"),
     )
 
 
@@ -118,7 +118,7 @@ ORACLES = {
                md5(regexp_replace(regexp_replace(regexp_replace(lower(text), '\s+', ' ', 'g'), {_STRIP}), '["''“”‘’]', '', 'g')) AS label_form,
                CAST(length(regexp_replace(replace(lower(text), 'ß', 'ss'), '[^\p{{L}}\p{{N}}_]+', '', 'g')) AS INTEGER) AS compact_length,
                CAST(CASE WHEN length(text) > 0 THEN greatest(1, round_even(length(text) / 4, 0)) ELSE 0 END AS INTEGER) AS tokens,
-               left(regexp_replace(regexp_replace(lower(left(text, 60)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 48) AS slug,
+               left(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 48) AS slug,
                CAST(length(regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), {_STRIP})) AS INTEGER) AS line_length
         FROM documents WHERE text IS NOT NULL""",
     "token_usage": """
