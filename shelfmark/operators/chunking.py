@@ -7,48 +7,84 @@ a window or group is one document.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from shelfmark.functions.text import normalize_text, one_line, strip
+from shelfmark.functions.text import normalize_text, one_line, present, strip
 
 MIN_CHUNK, MIN_SECTION_WORDS = 50, 5
-# Rules for document types in the order they are tried, and the strategy of each type.
-TYPE_RULES = (
-    ("faq", r"(?is)question\s*[:.)].*answer\s*[:.)]|\bq(\d+)\s*[:.)].*\ba\1\s*[:.)]"),
-    ("directory", r"(?is)district.*public library.*tel:"),
-    ("policy", r"(?i)\b(policy|rules?|regulations?|guidelines?)\b"),
-    ("structured", r"(?m)^##\s"),
-)
-ANNOUNCEMENT = r"(?i)announcements?|notices?|temporary closure|suspension"
-RECORD_FILES = ("csv", "xlsx", "xlsm", "json", "jsonl", "xml")
-STRATEGIES = {
-    "faq": "faq_entries", "directory": "directory_sections", "announcement": "announcement_entries",
-    "structured": "marked_sections", "record_based": "atomic", "policy": "prose", "news": "prose", "prose": "prose",
+#: Sizes and overlaps of pieces in estimated tokens: prose, documents kept whole, records.
+PROSE, ATOMIC, RECORD = (512, 64), (2048, 0), (8192, 0)
+# The types in the order they are tried, with their strategy and what tells them.
+TYPE_RULES: dict[str, dict] = {
+    "faq": {"strategy": "faq_entries", "patterns": [r"\bquestion\s*:.*?\banswer\s*:", r"\bq(\d+)\s*[:.)].*?\ba\1\s*[:.)]"]},
+    "directory": {"strategy": "directory_sections", "patterns": [r"\bdistrict\b.*\bpublic library\b.*\btel\s*:"]},
+    "announcement": {
+        "strategy": "announcement_entries", "title": True, "title_only": True,
+        "patterns": [r"\bannouncements?\b", r"\bnotices?\b", r"\btemporary closure\b", r"\bsuspension\b"],
+    },
+    "policy": {"strategy": "prose", "patterns": [r"\bpolicy\b", r"\brules?\b", r"\bregulations?\b", r"\bguidelines?\b"]},
+    "structured": {"strategy": "marked_sections", "patterns": [r"(?:^|\n)##\s+"]},
+    "record_based": {"strategy": "atomic", "file_types": ["csv", "xlsx", "xlsm", "json", "jsonl", "xml"], "patterns": []},
+    "news": {"strategy": "prose", "patterns": []},
+    "prose": {"strategy": "prose", "patterns": []},
 }
-DATED = r"^\s*\(?\d{1,2}[./-]\d{1,2}[./-]\d{2,4}\)?(\s|$)"
+# A line that opens a dated entry, a line that opens a numbered question.
+DATED = r"^\(?\s*\d{1,2}[./-]\d{1,2}[./-]\d{2,4}\s*\)?(?:\s+|$)"
 QUESTION = r"(?im)(?=^\s*Q\d+\s*[:.)])"
+# Parts of a line that isn't an area, and the start of one that isn't a library.
+NOT_AREA = ("library", "tel", "road", "street", "building", "floor", "estate", "services", "enquiries", "website")
+NOT_LIBRARY = "hong kong public libraries"
+
+
+def merged_rules(overrides: dict[str, dict]) -> dict[str, dict]:
+    """The rules with the entries of `overrides` put over them; new types come last."""
+    for name, values in overrides.items():
+        if not isinstance(values, dict):
+            raise ValueError(f"the rule {name!r} must be a mapping")
+    rules = {name: {**rule, **overrides.get(name, {})} for name, rule in TYPE_RULES.items()}
+    return rules | {name: dict(values) for name, values in overrides.items() if name not in rules}
+
 
+def document_type(text: Column, title: Column, extension: Column | None = None, explicit: Column | None = None, rules: dict[str, dict] | None = None) -> Column:
+    """The type of a document: what is given, else by file, else the first rule that matches, else prose.
 
-def document_type(text: Column, title: Column, extension: Column | None = None, explicit: Column | None = None) -> Column:
-    """The type of a document: what is given, else by file, else the first rule that matches, else prose."""
-    found = F.coalesce(text, F.lit(""))
-    rules = F.when(found.rlike(TYPE_RULES[0][1]), "faq").when(found.rlike(TYPE_RULES[1][1]), "directory")
-    rules = rules.when(F.coalesce(title, F.lit("")).rlike(ANNOUNCEMENT), "announcement")
-    for name, pattern in TYPE_RULES[2:]:
-        rules = rules.when(found.rlike(pattern), name)
-    rules = rules.otherwise("prose")
+    A rule looks at the title if it says so, and unless it is for titles only, its patterns together
+    must match the text `minimum` times (once by default). Null texts and titles are empty.
+    """
+    rules = rules or TYPE_RULES
+    text, title = F.coalesce(text, F.lit("")), F.coalesce(title, F.lit(""))
+    flagged = lambda p: F.lit("(?is)" + p)
+    found = F.lit("prose")
+    for name, rule in reversed(rules.items()):
+        if not rule.get("patterns"):
+            continue
+        hits = []
+        if rule.get("title"):
+            hits += [F.regexp(title, flagged(p)) for p in rule["patterns"]]
+        if not rule.get("title_only"):
+            least = rule.get("minimum", 1)
+            if least <= 1:
+                hits += [F.regexp(text, flagged(p)) for p in rule["patterns"]]
+            else:
+                hits.append(sum((F.regexp_count(text, flagged(p)) for p in rule["patterns"]), F.lit(0)) >= least)
+        found = F.when(reduce(lambda a, b: a | b, hits), name).otherwise(found)
     if extension is not None:
-        rules = F.when(F.lower(extension).isin(*RECORD_FILES), "record_based").otherwise(rules)
+        for name, rule in reversed(rules.items()):
+            if rule.get("file_types"):
+                found = F.when(F.ltrim(F.lower(extension), F.lit(".")).isin(*rule["file_types"]), name).otherwise(found)
     if explicit is not None:
         given = F.lower(F.trim(explicit))
-        rules = F.when(given.isin(*STRATEGIES), given).otherwise(rules)
-    return rules
+        found = F.when(given.isin(*rules), given).otherwise(found)
+    return found
 
 
 def strategy_of(kind: Column) -> Column:
-    names = F.create_map(*[F.lit(x) for pair in STRATEGIES.items() for x in pair])
+    """How documents of a type are split; unknown types are prose."""
+    names = F.create_map(*[F.lit(x) for name, rule in TYPE_RULES.items() for x in (name, rule["strategy"])])
     return F.coalesce(F.try_element_at(names, kind), F.lit("prose"))
 
 
@@ -82,23 +118,30 @@ def marked_sections(documents: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def announcement_entries(documents: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Entries at dated lines of documents with two dated lines or more; the heading stands before each entry."""
-    dated = F.col("line").rlike(DATED)
-    n = F.size(F.regexp_extract_all("text", F.lit("(?m)" + DATED), 0))
-    parts = sections(documents.where(n >= 2), dated, id_col)
-    head = parts.where("section_index = 0").select(F.col(id_col).alias("head_id"), F.col("text").alias("head"))
-    entries = parts.where("section_index > 0").join(head, F.col(id_col) == F.col("head_id"), "left")
-    return entries.select(id_col, "section_index", F.concat_ws("\n", "head", "text").alias("text"))
+    """`id, entry_index, text` of each dated entry, with what stands before the first one and a blank line above it.
+
+    Lines are stripped and blank ones dropped. A text with less than two dated lines stays whole, as entry 0.
+    """
+    lines = lines_of(documents.select(id_col, "text")).withColumn("line", strip(F.col("line"))).where("line != ''")
+    lines = lines.withColumn("dated", F.col("line").rlike(DATED).cast("int"))
+    lines = lines.withColumns({"entry": F.sum("dated").over(W.partitionBy(id_col).orderBy("pos")) - 1, "n": F.sum("dated").over(W.partitionBy(id_col))}).where("n >= 2")
+    joined = F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"])
+    parts = lines.groupBy(id_col, "entry").agg(F.array_join(joined, "\n").alias("part"))
+    head = F.max(F.when(F.col("entry") < 0, F.col("part"))).over(W.partitionBy(id_col))
+    entries = parts.withColumn("head", head).where("entry >= 0")
+    entries = entries.select(id_col, F.col("entry").cast("int").alias("entry_index"), F.concat_ws("\n\n", "head", "part").alias("text"))
+    whole = documents.where("text is not null").join(entries.select(id_col).distinct(), id_col, "left_anti")
+    return entries.unionByName(whole.select(id_col, F.lit(0).alias("entry_index"), "text"))
 
 
 def faq_entries(documents: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """`id, entry_index, text` of each numbered question with its answer; what precedes them stands before
-    each; texts without numbered questions stay whole."""
+    """`id, entry_index, text` of each numbered question with its answer, with what precedes the first one and a
+    blank line above it; texts without numbered questions stay whole."""
+    starts = r"(?i)^\s*Q\d+\s*[:.)]"
     parts = F.split("text", QUESTION)
-    head = F.when(~F.col("text").rlike(r"(?i)^\s*Q\d+\s*[:.)]") & (F.size(parts) > 1), strip(parts[0]))
-    entries = F.filter(parts, lambda p: p.rlike(r"(?i)^\s*Q\d+\s*[:.)]"))
-    entries = F.when(F.size(entries) > 0, F.transform(entries, lambda p: F.concat_ws("\n", F.when(head != "", head), strip(p))))
-    entries = F.coalesce(entries, F.array(strip("text")))
+    head = F.when(~parts[0].rlike(starts), present(strip(parts[0])))
+    entries = F.transform(F.filter(parts, lambda p: p.rlike(starts)), lambda p: F.concat_ws("\n\n", head, strip(p)))
+    entries = F.when(F.size(entries) > 0, entries).otherwise(F.array("text"))
     return documents.where("text is not null").select(id_col, F.posexplode(entries).alias("entry_index", "text"))
 
 
@@ -131,20 +174,62 @@ def content_chunks(parts: DataFrame, id_col: str = "doc_id", version: int = 1) -
     return parts.select(chunk_id.alias("chunk_id"), id_col, "section_index", "chunk_index", "text")
 
 
-def greedy_pieces(documents: DataFrame, size: int = 512, id_col: str = "doc_id") -> DataFrame:
-    """`id, piece_no, text`: sentences packed in order up to `size` estimated tokens; a longer sentence stands alone."""
-    sentences = F.filter(F.split("text", r"(?<=[.!?。！？])\s+|\n+"), lambda s: F.length(s) > 0)
+def greedy_pieces(documents: DataFrame, size: int = PROSE[0], overlap: int = PROSE[1], id_col: str = "doc_id") -> DataFrame:
+    """`id, piece_no, text`: sentences packed in order up to `size` estimated tokens; a longer sentence stands alone.
+
+    A piece begins with the last whole sentences of the one before that together have at most
+    `overlap` tokens, as far as they fit beside its first own sentence. Null texts have no pieces,
+    texts without a sentence neither.
+    """
     cost = lambda s: F.greatest(F.lit(1), F.bround(F.length(s) / 4).cast("int"))
-    start = F.struct(F.expr("cast(array() as array<string>)").alias("done"), F.lit("").alias("cur"), F.lit(0).alias("n"))
-    step = lambda acc, s: (
-        F.when(acc["n"] == 0, F.struct(acc["done"].alias("done"), s.alias("cur"), cost(s).alias("n")))
-        .when(acc["n"] + cost(s) <= size, F.struct(acc["done"].alias("done"), F.concat(acc["cur"], F.lit(" "), s).alias("cur"), (acc["n"] + cost(s)).alias("n")))
-        .otherwise(F.struct(F.concat(acc["done"], F.array(acc["cur"])).alias("done"), s.alias("cur"), cost(s).alias("n")))
-    )
-    done = F.aggregate(sentences, start, step, lambda acc: F.when(acc["n"] > 0, F.concat(acc["done"], F.array(acc["cur"]))).otherwise(acc["done"]))
+    sentences = F.filter(F.split("text", r"(?<=[.!?。！？])\s+|\n+"), lambda s: F.length(s) > 0)
+    none = F.expr("cast(array() as array<string>)")
+    start = F.struct(F.expr("cast(array() as array<string>)").alias("done"), none.alias("cur"), F.lit(0).alias("n"))
+
+    def tail(cur: Column, room: Column) -> Column:
+        """struct(t, c): the last sentences of a piece within `overlap` and `room`, and their tokens."""
+        first = F.struct(none.alias("t"), F.lit(0).alias("c"), F.lit(True).alias("open"))
+        fits = lambda a, s: a["open"] & (a["c"] + cost(s) <= F.least(F.lit(overlap), room))
+        return F.aggregate(
+            F.reverse(cur), first,
+            lambda a, s: F.when(fits(a, s), F.struct(F.concat(F.array(s), a["t"]).alias("t"), (a["c"] + cost(s)).alias("c"), F.lit(True).alias("open")))
+            .otherwise(F.struct(a["t"].alias("t"), a["c"].alias("c"), F.lit(False).alias("open"))),
+        )
+
+    def step(acc: Column, s: Column) -> Column:
+        added = F.struct(acc["done"].alias("done"), F.concat(acc["cur"], F.array(s)).alias("cur"), (acc["n"] + cost(s)).alias("n"))
+        kept = tail(acc["cur"], F.lit(size) - cost(s)) if overlap else F.struct(none.alias("t"), F.lit(0).alias("c"))
+        begun = F.struct(
+            F.concat(acc["done"], F.array(F.array_join(acc["cur"], " "))).alias("done"), F.concat(kept["t"], F.array(s)).alias("cur"), (kept["c"] + cost(s)).alias("n")
+        )
+        return F.when((acc["n"] == 0) | (acc["n"] + cost(s) <= size), added).otherwise(begun)
+
+    done = F.aggregate(sentences, start, step, lambda a: F.when(a["n"] > 0, F.concat(a["done"], F.array(F.array_join(a["cur"], " ")))).otherwise(a["done"]))
     return documents.where("text is not null").select(id_col, F.posexplode(done).alias("piece_no", "text"))
 
 
+def titled(text: Column, title: Column) -> Column:
+    """A chunk with its title above it, unless it begins with it or there is none."""
+    line = F.concat(F.lit("Title: "), strip(title))
+    return F.when((F.length(strip(title)) > 0) & ~F.startswith(text, line), F.concat(line, F.lit("\n\n"), text)).otherwise(text)
+
+
+def conformity_faults(chunks: DataFrame, id_col: str = "node_id") -> DataFrame:
+    """`id, fault` of chunks (`document_type, text`) that aren't what their type promises.
+
+    faq: the numbers of its questions and answers differ, or it has several; directory: no library
+    is named; announcement: no dated line.
+    """
+    numbers = lambda letter: F.array_sort(F.array_distinct(F.regexp_extract_all("text", F.lit(rf"(?im)^\s*{letter}(\d+)\s*[:.)]"), 1)))
+    of = lambda kind, fault: (F.col("document_type") == kind) & fault
+    faults = {
+        "labels_differ": of("faq", numbers("Q") != numbers("A")), "several_questions": of("faq", F.size(numbers("Q")) > 1),
+        "no_library": of("directory", ~F.col("text").rlike(r"(?im)^\s*Library:\s*\S")), "no_date": of("announcement", ~F.col("text").rlike("(?m)" + DATED)),
+    }
+    names = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(k)) for k, c in faults.items()]))
+    return chunks.select(id_col, F.explode(names).alias("fault")).distinct()
+
+
 def cleaned_lines(documents: DataFrame, id_col: str = "doc_id", title_col: str = "title") -> DataFrame:
     """`id, text`: blank lines gone, single spaces, a line equal to the one before dropped, and the title not
     repeated at the start."""
@@ -157,34 +242,34 @@ def cleaned_lines(documents: DataFrame, id_col: str = "doc_id", title_col: str =
     return lines.groupBy(id_col).agg(F.array_join(joined, "\n").alias("text"))
 
 
-# Words of addresses and services that an area heading never has.
-NOT_AREA = r"(?i)\b(road|street|lane|tel|hours|floor|fax|email|address|service|services|library)\b"
-
-
 def directory_entries(documents: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """`id, entry, area, library, text` of each library entry of a directory.
+    """`id, section_index, area, library, text` of each library entry of a directory.
 
     An entry starts at a line of at most 8 words that names a library, and holds the lines up to
-    the next one; a `## ` heading of at most 6 words without numbers or address words names the
-    area of the entries below it and closes the one above.
+    the next one; a `## ` heading of at most 6 words without digits or words of addresses names the
+    area of the entries below it and closes the one above. Lines are stripped, blank ones dropped.
     """
-    lines = lines_of(documents.select(id_col, "text")).withColumn("line", strip(F.col("line"))).where("line != ''")
-    n_words = F.size(F.split("line", r"\s+"))
-    area = F.col("line").startswith("## ") & (n_words <= 7) & ~F.col("line").rlike(r"\d") & ~F.col("line").rlike(NOT_AREA)
-    library = ~area & (n_words <= 8) & F.lower("line").contains("library") & ~F.col("line").startswith("##")
-    lines = lines.withColumns({"is_area": F.coalesce(area, F.lit(False)), "is_library": F.coalesce(library, F.lit(False))})
+    lines = lines_of(documents.select(id_col, "text")).withColumn("raw", strip(F.col("line"))).where("raw != ''")
+    lines = lines.withColumn("line", strip(F.regexp_replace("raw", r"^(.*?)## ", "$1"))).where("line != ''")
+    low, n_words = F.lower("line"), F.size(F.split("line", r"\s+"))
+    no_address = ~reduce(lambda a, b: a | b, [F.contains(low, F.lit(x)) for x in NOT_AREA])
+    area = F.contains("raw", F.lit("## ")) & (n_words <= 6) & ~F.col("line").rlike(r"\d") & no_address
+    library = ~area & (n_words <= 8) & F.contains(low, F.lit("library")) & ~F.startswith(low, F.lit(NOT_LIBRARY))
+    lines = lines.withColumns({"is_area": area, "is_library": library})
     order = W.partitionBy(id_col).orderBy("pos")
     lines = lines.withColumns(
         {
-            "area": F.last(F.when(F.col("is_area"), F.substring("line", 4, 1000)), ignorenulls=True).over(order),
+            "area": F.coalesce(F.last(F.when(F.col("is_area"), F.col("line")), ignorenulls=True).over(order), F.lit("")),
             "entry": F.sum((F.col("is_library") | F.col("is_area")).cast("int")).over(order),
         }
     )
-    joined = F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"])
+    body = F.array_sort(F.collect_list(F.when(~F.col("is_library") & ~F.col("is_area"), F.struct("pos", "raw"))))
     out = lines.groupBy(id_col, "entry").agg(
-        F.min("area").alias("area"), F.min(F.when(F.col("is_library"), F.col("line"))).alias("library"), F.array_join(joined, "\n").alias("text")
-    )
-    return out.where("library is not null")
+        F.min("area").alias("area"), F.min(F.when(F.col("is_library"), F.col("line"))).alias("library"), F.transform(body, lambda x: x["raw"]).alias("body")
+    ).where("library is not null")
+    head = F.array(F.concat(F.lit("Area: "), "area"), F.concat(F.lit("Library: "), "library"))
+    index = F.row_number().over(W.partitionBy(id_col).orderBy("entry")) - 1
+    return out.select(id_col, index.alias("section_index"), "area", "library", F.array_join(F.concat(head, "body"), "\n").alias("text"))
 
 
 def shared_paragraphs(documents: DataFrame, id_col: str = "doc_id", title_col: str = "title") -> DataFrame:

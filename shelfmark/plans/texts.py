@@ -64,6 +64,32 @@ def announcement_entries(spark: SparkSession, folder: str) -> DataFrame:
     return _digest(C.announcement_entries(table(spark, folder, "documents")))
 
 
+def announcement_listing(spark: SparkSession, folder: str) -> DataFrame:
+    """The dated entries of a listing for each category, made of the titles in the registry under their dates."""
+    rows = table(spark, folder, "knowledge_documents").where("effective_date is not null and source_title is not null").select(
+        "category", "effective_date", F.trim(F.regexp_replace("source_title", r"\s+", " ")).alias("title")
+    ).where("title != ''").distinct()
+    line = F.concat(F.date_format("effective_date", "dd.MM.yyyy"), F.lit(" "), "title")
+    listing = rows.groupBy("category").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("lines"))
+    name = F.coalesce("category", F.lit("other"))
+    return _digest(C.announcement_entries(listing.select(name.alias("doc_id"), F.concat(F.lit("Notices of "), name, F.lit("\n\n"), "lines").alias("text"))))
+
+
+def conformity_checks(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "data_hkpl_knowledge").select("node_id", F.get_json_object("metadata_", "$.document_type").alias("document_type"), "text")
+    return C.conformity_faults(rows)
+
+
+def titled_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").where("text is not null")
+    return docs.select("doc_id", F.md5(C.titled(F.left("text", F.lit(1800)), F.col("title"))).alias("text"))
+
+
+def whole_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents kept whole, in pieces without overlap only where they are too long."""
+    return _digest(C.greedy_pieces(table(spark, folder, "documents"), *C.ATOMIC))
+
+
 def faq_entries(spark: SparkSession, folder: str) -> DataFrame:
     return _digest(C.faq_entries(table(spark, folder, "documents")))
 
@@ -103,7 +129,7 @@ QUERIES = {
     for f in (
         text_functions, token_usage, document_type_detect, type_rules, heading_sections, marked_sections, announcement_entries,
         faq_entries, paragraphs, chunk_ids, sentence_pieces, news_clean, record_texts,
-        directory_entries, shared_paragraphs,
+        directory_entries, shared_paragraphs, announcement_listing, conformity_checks, titled_chunks, whole_pieces,
     )
 }
 
@@ -111,7 +137,30 @@ _STRIP = r"'^\s+|\s+$', '', 'g'"
 _PARA = rf"""SELECT doc_id, section_index, text FROM (
         SELECT doc_id, CAST(generate_subscripts(p, 1) - 1 AS INTEGER) AS section_index, regexp_replace(unnest(p), {_STRIP}) AS text
         FROM (SELECT doc_id, regexp_split_to_array(text, '\n\s*\n') AS p FROM documents WHERE text IS NOT NULL)) WHERE length(text) > 0"""
-_DATED = r"^\s*\(?\d{1,2}[./-]\d{1,2}[./-]\d{2,4}\)?(\s|$)"
+_DATED = r"^\(?\s*\d{1,2}[./-]\d{1,2}[./-]\d{2,4}\s*\)?(?:\s+|$)"
+
+
+def _entries_sql(texts: str) -> str:
+    """Dated entries of `texts(doc_id, text)`, in the words of SQL."""
+    return rf"""
+        WITH t AS ({texts}), l AS (SELECT * FROM (SELECT doc_id, pos, regexp_replace(line, {_STRIP}) AS line FROM (
+            SELECT doc_id, generate_subscripts(p, 1) AS pos, unnest(p) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM t WHERE text IS NOT NULL))) WHERE line <> ''),
+        d AS (SELECT *, regexp_matches(line, '{_DATED}') AS dated FROM l),
+        e AS (SELECT *, CAST(sum(CAST(dated AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS INTEGER) AS entry, sum(CAST(dated AS INTEGER)) OVER (PARTITION BY doc_id) AS n FROM d),
+        g AS (SELECT doc_id, entry, string_agg(line, chr(10) ORDER BY pos) AS part FROM e WHERE n >= 2 GROUP BY 1, 2)
+        SELECT g.doc_id, g.entry AS entry_index, concat_ws(chr(10) || chr(10), h.part, g.part) AS text FROM g LEFT JOIN (SELECT * FROM g WHERE entry = -1) h USING (doc_id) WHERE g.entry >= 0
+        UNION ALL SELECT doc_id, 0, text FROM t WHERE text IS NOT NULL AND doc_id NOT IN (SELECT doc_id FROM g)"""
+
+
+_KINDS = ("faq", "directory", "announcement", "policy", "structured", "record_based", "news", "prose")
+_KIND_SQL = rf"""CASE
+    WHEN regexp_matches(text, '(?is)\bquestion\s*:.*?\banswer\s*:') OR len(list_filter(regexp_extract_all(text, '(?i)\bq(\d+)\s*[:.)]', 1),
+         lambda n: regexp_matches(text, '(?is)\bq' || n || '\s*[:.)].*\ba' || n || '\s*[:.)]'))) > 0 THEN 'faq'
+    WHEN regexp_matches(text, '(?is)\bdistrict\b.*\bpublic library\b.*\btel\s*:') THEN 'directory'
+    WHEN regexp_matches(title, '(?is)\bannouncements?\b|\bnotices?\b|\btemporary closure\b|\bsuspension\b') THEN 'announcement'
+    WHEN regexp_matches(text, '(?is)\bpolicy\b|\brules?\b|\bregulations?\b|\bguidelines?\b') THEN 'policy'
+    WHEN regexp_matches(text, '(?is)(?:^|\n)##\s+') THEN 'structured' ELSE 'prose' END"""
+_TYPED = f"(SELECT doc_id, document_type, {_KIND_SQL} AS kind FROM (SELECT doc_id, document_type, coalesce(text, '') AS text, coalesce(title, '') AS title FROM documents))"
 ORACLES = {
     "text_functions": rf"""
         SELECT doc_id, sha256({NORMAL_SQL}) AS normal,
@@ -127,10 +176,30 @@ ORACLES = {
     "heading_sections": _sections_sql(r"regexp_matches(line, '^#{1,6}\s+\S')"),
     "marked_sections": f"""SELECT * FROM ({_sections_sql(r"regexp_matches(line, '^##\s')")})
         WHERE len(list_filter(regexp_split_to_array(regexp_replace(text, '(?m)^##\\s+', '', 'g'), '\\s+'), lambda w: w <> '')) >= 5""",
-    "announcement_entries": rf"""
-        WITH s AS ({_sections_sql(f"regexp_matches(line, '{_DATED}')", f"doc_id IN (SELECT doc_id FROM ({LINES_SQL}) WHERE regexp_matches(line, '{_DATED}') GROUP BY doc_id HAVING count(*) >= 2)")})
-        SELECT e.doc_id, e.section_index, concat_ws(chr(10), h.text, e.text) AS text FROM s e
-        LEFT JOIN (SELECT * FROM s WHERE section_index = 0) h USING (doc_id) WHERE e.section_index > 0""",
+    "announcement_entries": _entries_sql("SELECT doc_id, text FROM documents"),
+    "announcement_listing": _entries_sql(r"""
+        SELECT coalesce(category, 'other') AS doc_id, 'Notices of ' || coalesce(category, 'other') || chr(10) || chr(10) || string_agg(line, chr(10) ORDER BY line) AS text
+        FROM (SELECT DISTINCT category, strftime(effective_date, '%d.%m.%Y') || ' ' || trim(regexp_replace(source_title, '\s+', ' ', 'g'), ' ') AS line
+              FROM knowledge_documents WHERE effective_date IS NOT NULL AND trim(regexp_replace(source_title, '\s+', ' ', 'g'), ' ') <> '') GROUP BY category"""),
+    "document_type_detect": f"""SELECT doc_id, kind, CASE kind WHEN 'faq' THEN 'faq_entries' WHEN 'directory' THEN 'directory_sections' WHEN 'announcement' THEN 'announcement_entries'
+        WHEN 'structured' THEN 'marked_sections' WHEN 'record_based' THEN 'atomic' ELSE 'prose' END AS strategy
+        FROM (SELECT doc_id, CASE WHEN lower(trim(document_type, ' ')) IN {_KINDS} THEN lower(trim(document_type, ' ')) ELSE kind END AS kind FROM {_TYPED})""",
+    "type_rules": f"SELECT kind, count(*) AS n_docs FROM {_TYPED} GROUP BY 1",
+    "titled_chunks": rf"""
+        SELECT doc_id, md5(CASE WHEN length(t) > 0 AND NOT starts_with(x, 'Title: ' || t) THEN 'Title: ' || t || chr(10) || chr(10) || x ELSE x END) AS text
+        FROM (SELECT doc_id, left(text, 1800) AS x, regexp_replace(title, {_STRIP}) AS t FROM documents WHERE text IS NOT NULL)""",
+    "conformity_checks": rf"""
+        WITH c AS (SELECT node_id, json_extract_string(metadata_, '$.document_type') AS kind, text, list_sort(list_distinct(regexp_extract_all(text, '(?im)^\s*Q(\d+)\s*[:.)]', 1))) AS q,
+                   list_sort(list_distinct(regexp_extract_all(text, '(?im)^\s*A(\d+)\s*[:.)]', 1))) AS a FROM data_hkpl_knowledge)
+        SELECT node_id, 'labels_differ' AS fault FROM c WHERE kind = 'faq' AND q <> a UNION SELECT node_id, 'several_questions' FROM c WHERE kind = 'faq' AND len(q) > 1
+        UNION SELECT node_id, 'no_library' FROM c WHERE kind = 'directory' AND NOT regexp_matches(text, '(?im)^\s*Library:\s*\S')
+        UNION SELECT node_id, 'no_date' FROM c WHERE kind = 'announcement' AND NOT regexp_matches(text, '(?m){_DATED}')""",
+    "faq_entries": rf"""
+        WITH s AS (SELECT doc_id, text, regexp_replace(text, '(?im)^(\s*Q\d+\s*[:.)])', chr(1) || '\1', 'g') AS m FROM documents WHERE text IS NOT NULL),
+        p AS (SELECT doc_id, text, string_split(m, chr(1)) AS p FROM s),
+        h AS (SELECT doc_id, text, nullif(regexp_replace(p[1], {_STRIP}), '') AS head, p[2:] AS e FROM p)
+        SELECT doc_id, CAST(generate_subscripts(e, 1) - 1 AS INTEGER) AS entry_index, sha256(concat_ws(chr(10) || chr(10), head, regexp_replace(unnest(e), {_STRIP}))) AS text FROM h WHERE len(e) > 0
+        UNION ALL SELECT doc_id, 0, sha256(text) FROM h WHERE len(e) = 0""",
     "paragraphs": _PARA,
     "chunk_ids": rf"""
         WITH p AS (SELECT doc_id, section_index, row_number() OVER (PARTITION BY doc_id ORDER BY section_index) - 1 AS chunk_index, {NORMAL_SQL} AS text FROM ({_PARA})),
@@ -147,19 +216,20 @@ ORACLES = {
         SELECT left(sha256(coalesce(title, '') || chr(10) || text), 24) AS paragraph_id, min(coalesce(title, '')) AS title, count(DISTINCT doc_id) AS n_documents, min(doc_id) AS first_id
         FROM ({_PARA}) JOIN (SELECT doc_id, title FROM documents) USING (doc_id) GROUP BY 1""",
     "directory_entries": rf"""
-        WITH l AS (SELECT * FROM (SELECT doc_id, pos, regexp_replace(line, {_STRIP}) AS line FROM ({LINES_SQL})) WHERE line <> ''),
-        a AS (SELECT *, starts_with(line, '## ') AND len(regexp_split_to_array(line, '\s+')) <= 7 AND NOT regexp_matches(line, '\d')
-                     AND NOT regexp_matches(line, '(?i)\b(road|street|lane|tel|hours|floor|fax|email|address|service|services|library)\b') AS is_area FROM l),
-        b AS (SELECT *, NOT is_area AND len(regexp_split_to_array(line, '\s+')) <= 8 AND contains(lower(line), 'library') AND NOT starts_with(line, '##') AS is_library FROM a),
-        c AS (SELECT *, last_value(CASE WHEN is_area THEN substring(line, 4) END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos) AS area,
-                     CAST(sum(CASE WHEN is_library OR is_area THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS BIGINT) AS entry FROM b)
-        SELECT doc_id, entry, min(area) AS area, min(CASE WHEN is_library THEN line END) AS library, sha256(string_agg(line, chr(10) ORDER BY pos)) AS text
-        FROM c GROUP BY doc_id, entry HAVING min(CASE WHEN is_library THEN line END) IS NOT NULL""",
+        WITH l AS (SELECT *, regexp_replace(regexp_replace(raw, '^(.*?)## ', '\1'), {_STRIP}) AS line FROM (SELECT doc_id, pos, regexp_replace(line, {_STRIP}) AS raw FROM ({LINES_SQL})) WHERE raw <> ''),
+        a AS (SELECT *, contains(raw, '## ') AND len(regexp_split_to_array(line, '\s+')) <= 6 AND NOT regexp_matches(line, '\d')
+                     AND NOT regexp_matches(lower(line), 'library|tel|road|street|building|floor|estate|services|enquiries|website') AS is_area FROM l WHERE line <> ''),
+        b AS (SELECT *, NOT is_area AND len(regexp_split_to_array(line, '\s+')) <= 8 AND contains(lower(line), 'library') AND NOT starts_with(lower(line), 'hong kong public libraries') AS is_library FROM a),
+        c AS (SELECT *, coalesce(last_value(CASE WHEN is_area THEN line END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos), '') AS area,
+                     sum(CASE WHEN is_library OR is_area THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS entry FROM b),
+        g AS (SELECT doc_id, entry, min(area) AS area, min(CASE WHEN is_library THEN line END) AS library, string_agg(raw, chr(10) ORDER BY pos) FILTER (NOT is_library AND NOT is_area) AS body FROM c GROUP BY 1, 2)
+        SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY entry) - 1 AS INTEGER) AS section_index, area, library,
+               sha256(concat_ws(chr(10), 'Area: ' || area, 'Library: ' || library, body)) AS text FROM g WHERE library IS NOT NULL""",
     "record_texts": r"""
         WITH r AS (SELECT DISTINCT * FROM knowledge_documents)
         SELECT md5(concat_ws(chr(10), """ + ", ".join(
         rf"'{c}: ' || nullif(regexp_replace({c}, '^\s+|\s+$', '', 'g'), '')" for c in ("source_title", "file_type", "language", "category")
     ) + ")) AS record, count(*) AS n_rows FROM r GROUP BY 1",
 }
-for _name in ("heading_sections", "marked_sections", "announcement_entries", "paragraphs", "news_clean"):
+for _name in ("heading_sections", "marked_sections", "announcement_entries", "announcement_listing", "paragraphs", "news_clean"):
     ORACLES[_name] = f"SELECT * REPLACE (sha256(text) AS text) FROM ({ORACLES[_name]})"
