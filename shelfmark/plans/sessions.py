@@ -16,7 +16,7 @@ def history_last_turns(spark: SparkSession, folder: str) -> DataFrame:
     return history.last_turns(table(spark, folder, "conversation_history")).select("session_id", "turn", "id")
 
 
-def _ranked(spark: SparkSession, folder: str) -> DataFrame:
+def ranked_chunks(spark: SparkSession, folder: str) -> DataFrame:
     """The chunks of each label's document in order, as a ranked result."""
     chunks = table(spark, folder, "data_hkpl_knowledge").select(document_of(F.col("node_id")).alias("doc"), "node_id", "text").distinct()
     labels = table(spark, folder, "evaluation_dataset").select(F.col("id").alias("query_id"), key_of(F.col("source_document_id")).alias("doc")).distinct()
@@ -25,12 +25,12 @@ def _ranked(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def context_packing(spark: SparkSession, folder: str) -> DataFrame:
-    packed = history.packed_context(_ranked(spark, folder), F.col("text"))
+    packed = history.packed_context(ranked_chunks(spark, folder), F.col("text"))
     return packed.groupBy("query_id").agg(F.count("*").alias("n_chunks"), F.sum("tokens").alias("tokens"))
 
 
 def citations(spark: SparkSession, folder: str) -> DataFrame:
-    return history.citations(_ranked(spark, folder), ["doc", "node_id"])
+    return history.citations(ranked_chunks(spark, folder), ["doc", "node_id"])
 
 
 def keyword_policy(spark: SparkSession, folder: str) -> DataFrame:
