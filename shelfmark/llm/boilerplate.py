@@ -45,7 +45,7 @@ _HAN = re.compile(r"[㐀-鿿]")
 _DIGITS = re.compile(r"\d+")
 _SPACE = re.compile(r"\s+")
 _PLAIN = {**{ord(k): v for k, v in LOOK_ALIKES.items()}, **dict.fromkeys(map(ord, "​‌‍⁠﻿­"))}
-_ODD = re.compile("[" + "".join(map(chr, _PLAIN)) + "]")
+ODD = re.compile("[" + "".join(map(chr, _PLAIN)) + "]")
 _LATIN = re.compile(r"[a-zA-Z]")
 
 
@@ -54,7 +54,7 @@ def plain_line(line: str) -> str:
     if line.isascii():
         return _SPACE.sub(" ", line).strip()
     line = unicodedata.normalize("NFKC", line)
-    if _ODD.search(line):
+    if ODD.search(line):
         line = " ".join([w.translate(_PLAIN) if _LATIN.search(w) else w for w in line.split(" ")])
     return _SPACE.sub(" ", line).strip()
 

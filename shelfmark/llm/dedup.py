@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from shelfmark.llm.boilerplate import frame_lines
 from shelfmark.llm.fingerprints import ONE_IN, fingerprinted, within_distance, word_hashes
 from shelfmark.operators.registry import content_key, current_documents, key_of
-from shelfmark.session import exists, let_go, measured, new_path, save, written
+from shelfmark.session import BROADCAST_ROWS, exists, let_go, measured, new_path, save, small_or_not, written
 
 #: Width of a band of sizes, as a logarithm: texts near each other are in the same band or in two next to each other.
 BAND = 1.05 * math.log(1 / (1 - 1 / ONE_IN))
@@ -41,6 +41,9 @@ COMMON, UNLINKED = 16, 0.15
 LEADING = 0.04
 #: Documents and links that are settled in one task; beyond that they are settled in rounds.
 TASK_ROWS = 200_000
+#: Batches that come at once are admitted together until they have this share of what the store holds: an
+#: admission has a cost of its own, so a hundred small ones in a row would cost more than their rows.
+GATHER = 0.25
 
 TEXT_SCHEMA = "doc string, text string, digest bigint, size int, fps array<bigint>, places array<int>"
 ORD = "struct<batch:int,time:bigint,doc:string>"
@@ -93,7 +96,7 @@ class Store:
 
     documents: doc, hash_key, digest of all delivered documents, whether accepted, and the accepted ones of
     the same delivery it repeats. sketch: fp, digest, place, n, size (n fingerprints
-    in all, those that link), sorted by fp. common: fp, holders, as the first delivery had them; this order of
+    in all, those that link). common: fp, holders, as the first delivery had them; this order of
     the fingerprints holds for all later ones. texts: digest, text. blooms: bits, block, w0 ... w7, a filter of 2 ** bits blocks for each delivery. Each delivery
     adds a folder to every table and, when all are there, its row to `deliveries`; what a lost driver
     left half written has no row, isn't read, and is written anew.
@@ -105,15 +108,17 @@ class Store:
         "common": "fp bigint, holders bigint",
         "texts": "digest bigint, text string",
         "blooms": "block bigint, " + ", ".join(f"w{i} bigint" for i in range(BLOOM_WORDS)),
-        "deliveries": "delivery int, bits int, n_fps bigint",
+        "deliveries": "delivery int, bits int, n_fps bigint, n_documents bigint, n_common bigint",
     }
 
     def __init__(self, spark: SparkSession, path: str | None = None):
         self.spark, self.path = spark, path or new_path(spark, "store")
-        self.deliveries: list[tuple[int, int, int]] = []
+        self.deliveries: list[tuple[int, int, int, int, int]] = []
+        self.n_common = 0
         if exists(spark, f"{self.path}/deliveries"):  # one row a delivery
             rows = spark.read.schema(self.SCHEMAS["deliveries"]).parquet(f"{self.path}/deliveries").collect()
             self.deliveries = sorted(map(tuple, rows))
+            self.n_common = self.deliveries[0][-1]
 
     def table(self, name: str, deliveries: list[int] | None = None) -> DataFrame:
         """The rows of a table, of all deliveries or of those given."""
@@ -128,34 +133,47 @@ class Store:
     def next(self) -> int:
         return max((d for d, *_ in self.deliveries), default=0) + 1
 
+    def accepted(self) -> DataFrame:
+        """The accepted documents, to be joined by broadcast if there are few."""
+        known = self.table("documents").where("accepted")
+        return F.broadcast(known) if self.n_documents() <= BROADCAST_ROWS else known
+
+    def n_documents(self) -> int:
+        return sum(d[3] for d in self.deliveries)
+
     def linking(self, texts: DataFrame) -> DataFrame:
         """`fp, digest, place, n, size, ord` of the fingerprints of `texts` that link: all but the most common, as far
         as these are at most UNLINKED of the text's. By what the first delivery held, so the order is the same for ever."""
         every = texts.select(F.explode(F.arrays_zip("fps", "places")).alias("f"), "digest", F.size("fps").alias("n"), "size", "ord")
         every = every.select(F.col("f.fps").alias("fp"), "digest", F.col("f.places").alias("place"), "n", "size", "ord")
-        if not self.deliveries:
+        if not self.deliveries and not exists(self.spark, f"{self.path}/common"):
+            seen = Observation()
             counted = every.groupBy("fp").agg(F.count("*").alias("holders")).where(F.col("holders") >= COMMON)
-            self.add("common", 1, counted)
+            self.add("common", 1, counted.observe(seen, F.count(F.lit(1)).alias("n")))
+            self.n_common = seen.get["n"]
         common = self.table("common", [1])
+        common = F.broadcast(common) if self.n_common <= BROADCAST_ROWS else common
+        every = every.join(common, "fp", "left")
         order = W.partitionBy("digest").orderBy(F.col("holders").desc(), "fp")
-        often = every.join(common, "fp").withColumn("rank", F.row_number().over(order)).where(F.col("rank") > F.floor(F.col("n") * UNLINKED))
-        return every.join(common.select("fp"), "fp", "left_anti").unionByName(often.drop("holders", "rank"))
+        often = every.where("holders is not null").withColumn("rank", F.row_number().over(order)).where(F.col("rank") > F.floor(F.col("n") * UNLINKED))
+        return every.where("holders is null").unionByName(often.drop("rank")).drop("holders")
 
-    def extend(self, number: int, taken: DataFrame, texts: DataFrame, linking: DataFrame) -> None:
-        """Close a delivery whose documents are added already: its accepted texts, `taken(digest)` of `texts`,
-        and what links them."""
+    def extend(self, number: int, n_documents: int, taken: DataFrame, texts: DataFrame) -> None:
+        """Close a delivery whose documents are added already: its accepted texts, `taken(digest)` of `texts`."""
         # Of each text one document at most is accepted.
         taken = taken.where("digest is not null").select("digest")
-        self.add("texts", number, texts.join(taken, "digest", "left_semi").select("digest", "text"))
+        texts = texts.join(F.broadcast(taken) if n_documents <= BROADCAST_ROWS else taken, "digest", "left_semi")
+        self.add("texts", number, texts.select("digest", "text"))
         seen = Observation()
-        rows = linking.join(taken, "digest", "left_semi").select("fp", "digest", "place", "n", "size").sortWithinPartitions("fp")
+        rows = self.linking(texts).select("fp", "digest", "place", "n", "size")
         self.add("sketch", number, rows.observe(seen, F.count(F.lit(1)).alias("n_rows")))
         n_fps = seen.get["n_rows"]
         bits = max(0, math.ceil(math.log2(max(1, n_fps * BLOOM_BITS / (64 * BLOOM_WORDS)))))
         self.add("blooms", number, bloom_filter(self.table("sketch", [number]), bits))
-        row = self.spark.range(1).select(F.lit(number).alias("delivery"), F.lit(bits).alias("bits"), F.lit(n_fps).cast("bigint").alias("n_fps"))
-        save(row.coalesce(1).write.mode("append"), self.spark, f"{self.path}/deliveries")
-        self.deliveries.append((number, bits, n_fps))
+        row = (number, bits, n_fps, n_documents, self.n_common)
+        told = self.spark.range(1).select(*[F.lit(v).cast(t.split()[1]).alias(t.split()[0]) for v, t in zip(row, self.SCHEMAS["deliveries"].split(", "))])
+        save(told.coalesce(1).write.mode("append"), self.spark, f"{self.path}/deliveries")
+        self.deliveries.append(row)
 
 
 def _block(bits: int) -> F.Column:
@@ -181,8 +199,8 @@ def screened(fps: DataFrame, store: Store) -> DataFrame:
     there are as many as the deliveries differ in powers of two.
     """
     parts = []
-    for bits in sorted({b for _, b, n in store.deliveries if n}):
-        of_size = [(d, n) for d, b, n in store.deliveries if b == bits and n]
+    for bits in sorted({b for _, b, n, *_ in store.deliveries if n}):
+        of_size = [(d, n) for d, b, n, *_ in store.deliveries if b == bits and n]
         blooms = store.table("blooms", [d for d, _ in of_size])
         # At most 2 ** bits blocks a delivery, known from the store's own count.
         blooms = F.broadcast(blooms) if len(of_size) << bits <= TASK_ROWS else blooms
@@ -375,9 +393,9 @@ def admit(delivery: DataFrame, texts: DataFrame, store: Store, n_documents: int,
     accepted document before it that it repeats, by hash or by text.
     """
     empty, number = not store.deliveries, store.next()
-    old = store.table("documents").where("accepted")
+    old = store.accepted()
     new = texts if empty else texts.join(old.select("digest"), "digest", "left_anti")
-    rows = written(store.linking(new), "linking")
+    rows = store.linking(new)
     counted = rows.groupBy("fp").count()
     if empty:
         live = counted.where("count > 1").withColumn("known", F.lit(False))
@@ -412,44 +430,60 @@ def admit(delivery: DataFrame, texts: DataFrame, store: Store, n_documents: int,
     settle = settled_at_once if n_documents + seen["n"] <= task_rows else settled_in_rounds
     store.add("documents", number, settle(delivery, near))
     told = store.table("documents", [number])
-    store.extend(number, told.where("accepted"), texts, rows)
+    store.extend(number, n_documents, told.where("accepted"), texts)
     found = told.select("doc", F.explode("repeats").alias("a"))
     found = found if held is None else found.unionByName(held)
-    let_go(rows, live, near)
+    let_go(live, near)
     # The cleaner frees what this delivery broadcast once the driver's references are collected.
     store.spark._jvm.System.gc()
     return found.select(F.least("doc", "a").alias("document_id_a"), F.greatest("doc", "a").alias("document_id_b"))
 
 
+def gathered(counts: list[tuple[int, int]], known: int, gather: float) -> dict[int, int]:
+    """Which admission each batch comes in: a batch of its own if it has `gather` of the documents before it, else
+    with the next ones until they have. With 0, each batch is an admission."""
+    out, number, held = {}, 0, 0
+    for batch, n in sorted(counts):
+        out[batch] = number
+        held += n
+        if held >= gather * known:
+            known, number, held = known + held, number + 1, 0
+    return out
+
+
 def repeated_deliveries(
-    batches: DataFrame, registry: DataFrame, pages: DataFrame, store: Store | None = None, pair_limit: int = PAIR_LIMIT, task_rows: int = TASK_ROWS
+    batches: DataFrame, registry: DataFrame, pages: DataFrame, store: Store | None = None, gather: float = GATHER, pair_limit: int = PAIR_LIMIT, task_rows: int = TASK_ROWS
 ) -> DataFrame:
-    """`document_id_a, document_id_b` over all deliveries, one admission a batch.
+    """`document_id_a, document_id_b` over all deliveries, admitted in order; the result is the same for any `gather`.
 
     `store` continues an earlier one, whose documents take no part again. Documents without
     delivery take no part; documents without registry row have no hash; documents without
     article text are compared by hash only. Empty tables give no rows. The pages are framed once,
-    as they come in (operator 5); an admission reads the articles of its own batch.
+    as they come in (operator 5); an admission reads the articles of its own batches.
     """
     spark = batches.sparkSession
     store = store or Store(spark)
     deliveries = first_deliveries(batches)
     if store.deliveries:  # what was delivered to the store before
         deliveries = deliveries.join(store.table("documents").select("doc"), "doc", "left_anti")
-    hashes = current_documents(registry, "content_hash").select("document_id", content_key(F.col("content_hash")).alias("hash_key"))
-    documents = deliveries.join(hashes, deliveries.doc == hashes.document_id, "left").drop("document_id")
-    documents = documents.join(articles(pages, registry), "doc", "left").withColumn("batch", F.col("ord.batch"))
-    documents = written(documents.hint("rebalance", "batch"), "deliveries", ["batch"])
-    # One row a distinct text of a batch, with its first delivery.
-    firsts = documents.where("digest is not null").groupBy("batch", "digest").agg(F.min("ord").alias("ord")).select("batch", F.col("ord.doc").alias("doc"))
-    firsts = written(firsts.hint("rebalance", "batch"), "firsts", ["batch"])
-    numbers = sorted(map(tuple, documents.groupBy("batch").count().collect()))  # one row a batch
-    out = []
-    for batch, n_documents in numbers:
-        mine = documents.where(F.col("batch") == batch)
-        texts = mine.join(firsts.where(F.col("batch") == batch).select("doc"), "doc", "left_semi")
-        texts = texts.select("digest", "ord", "text", "size", "fps", "places")
-        out.append(admit(mine.select("doc", "ord", "hash_key", "digest"), texts, store, n_documents, pair_limit, task_rows))
-    if not out:
+    hashes = current_documents(registry, "content_hash").select(F.col("document_id").alias("doc"), content_key(F.col("content_hash")).alias("hash_key"))
+    documents = small_or_not(deliveries.join(hashes, "doc", "left"), "documents")
+    counts = documents.groupBy(F.col("ord.batch")).count().collect()  # one row a batch
+    admissions = gathered([tuple(r) for r in counts], store.n_documents(), gather)
+    if not admissions:
         return spark.createDataFrame([], "document_id_a string, document_id_b string")
+    places = F.create_map(*[F.lit(x) for pair in admissions.items() for x in pair])
+    told = articles(pages, registry).join(documents, "doc").withColumn("admission", places[F.col("ord.batch")])
+    told = written(told.select("doc", "ord", "hash_key", "digest", "text", "size", "fps", "places", "admission"), "articles", ["admission"])
+    plain = documents.join(told.select("doc"), "doc", "left_anti").withColumn("admission", places[F.col("ord.batch")]).withColumn("digest", F.lit(None).cast("bigint"))
+    plain = written(plain.select("doc", "ord", "hash_key", "digest", "admission"), "plain", ["admission"])
+    out = []
+    for number in sorted(set(admissions.values())):
+        n_documents = sum(n for batch, n in counts if admissions[batch] == number)
+        mine = told.where(F.col("admission") == number).drop("admission")
+        # One row a distinct text, with its first delivery.
+        firsts = mine.where("digest is not null").groupBy("digest").agg(F.min("ord").alias("ord")).select(F.col("ord.doc").alias("doc"))
+        texts = mine.join(F.broadcast(firsts) if n_documents <= BROADCAST_ROWS else firsts, "doc", "left_semi")
+        delivery = mine.select("doc", "ord", "hash_key", "digest").unionByName(plain.where(F.col("admission") == number).drop("admission"))
+        out.append(admit(delivery, texts.select("digest", "ord", "text", "size", "fps", "places"), store, n_documents, pair_limit, task_rows))
     return reduce(DataFrame.unionByName, out)

@@ -12,7 +12,7 @@ from functools import cache
 import numpy as np
 import xxhash
 
-from shelfmark.llm.boilerplate import plain_line
+from shelfmark.llm.boilerplate import ODD, plain_line
 
 #: Words of a shingle, shingles of a winnowing window: any unchanged run of 9 words leaves a fingerprint.
 SHINGLE, WINNOW = 5, 5
@@ -50,7 +50,9 @@ def _powers(bits: int) -> np.ndarray:
 def plain_text(text: str) -> str:
     """A text in one form: compatibility forms, invisible characters, look-alikes and case don't count."""
     if not text.isascii():
-        text = "\n".join(x if x.isascii() else plain_line(x) for x in text.split("\n"))
+        text = unicodedata.normalize("NFKC", text)
+        if ODD.search(text):
+            text = "\n".join(plain_line(x) if ODD.search(x) else x for x in text.split("\n"))
     return text.lower()
 
 

@@ -122,7 +122,7 @@ def test_filters_lose_nothing(spark):
     text = "digest bigint, ord struct<batch:int,time:bigint,doc:string>, text string, size int, fps array<bigint>, places array<int>"
     for part in (range(700), range(700, 1000)):
         rows = spark.createDataFrame([(k, (1, k, f"d{k}"), "t", 9, [k * 7919 - 10**12, k * 7919 + 5], [0, 1]) for k in part], text)
-        store.extend(store.next(), spark.createDataFrame([(k,) for k in part], "digest bigint"), rows, store.linking(rows))
+        store.extend(store.next(), len(part), spark.createDataFrame([(k,) for k in part], "digest bigint"), rows)
     probe = spark.createDataFrame([(k * 7919 - 10**12,) for k in range(20000)], "fp bigint")
     passed = {r.fp for r in screened(probe, Store(spark, store.path)).collect()}
     assert passed >= {k * 7919 - 10**12 for k in range(1000)} and len(passed) < 1300
@@ -166,7 +166,7 @@ def test_deliveries_like_brute_force(spark):
     found = {(r.document_id_a, r.document_id_b) for r in repeated_deliveries(*frames).collect()}
     assert found == pairs and len(pairs) > 20
     # leaders first, and rounds instead of one task
-    found = {(r.document_id_a, r.document_id_b) for r in repeated_deliveries(*frames, pair_limit=0, task_rows=0).collect()}
+    found = {(r.document_id_a, r.document_id_b) for r in repeated_deliveries(*frames, gather=0, pair_limit=0, task_rows=0).collect()}
     assert found == pairs
 
 
