@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-BLANKS = r"[\s\x{A0}\x{3000}]"
-
-
 def present(col: Column) -> Column:
     """The value, or null where it is empty: missing, null and '' are one."""
     return F.when(col != "", col)
@@ -18,6 +18,20 @@ def strip(col: Column) -> Column:
     return F.regexp_replace(col, r"^\s+|\s+$", "")
 
 
+def nfkc(col: Column) -> Column:
+    """The text in composed compatibility form; Spark has no expression for it. Null stays null."""
+
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: t if t.isascii() else unicodedata.normalize("NFKC", t), na_action="ignore")
+
+    return F.pandas_udf(run, "string")(col)
+
+
+def normalize_document(col: Column) -> Column:
+    """`normalize_text` of the text in compatibility form: what a reader keeps of a file."""
+    return normalize_text(nfkc(col))
+
+
 def normalize_text(col: Column) -> Column:
     """No-break spaces as spaces, no NULs, runs of blanks as one, at most one empty line, stripped."""
     col = F.regexp_replace(F.regexp_replace(col, " ", " "), "\u0000", "")
@@ -69,7 +83,9 @@ def safe_name(col: Column, default: str = "upload") -> Column:
 def natural_key(col: Column) -> Column:
     """A key that sorts runs of digits as numbers and ignores case."""
     parts = F.regexp_extract_all(col, F.lit(r"(\d+|\D+)"), 1)
-    number = lambda p: F.lpad(F.ltrim(p, F.lit("0")), 20, "0")
+    # The number of digits stands before them, so runs of any length sort as numbers.
+    digits = lambda p: F.ltrim(p, F.lit("0"))
+    number = lambda p: F.concat(F.lpad(F.length(digits(p)).cast("string"), 10, "0"), F.lit(":"), digits(p))
     return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d+$"), number(p)).otherwise(F.lower(p))), "")
 
 

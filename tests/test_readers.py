@@ -28,7 +28,19 @@ def test_sections_of_a_folder(spark, tmp_path):
     assert {r.outcome for r in R.files(spark, str(tmp_path), 2).where("extension = 'txt'").collect()} == {"too_large"}
 
 
-def test_csv(spark, tmp_path):
-    (tmp_path / "a.csv").write_text('q,a\n"x, ""y""",1\n,\nz,\n')
-    rows = R.csv_sections(spark, str(tmp_path / "a.csv")).orderBy("section_index").collect()
-    assert [(r.section_index, r.text) for r in rows] == [(0, 'q: x, "y"\na: 1'), (2, "q: z")]
+def test_outcomes_and_routes(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes("\ufeffq,a\n\"x, \"\"y\"\"\",1\n,\nz,\n".encode())
+    (tmp_path / "b.csv").write_text("other\n5\n")
+    (tmp_path / "c.md").write_text("intro\n# One\ntext ＡＢ\n# Two\nmore")
+    (tmp_path / "d.json").write_text("{broken")
+    (tmp_path / "e.xml").write_text("<!DOCTYPE r [<!ENTITY x 'y'>]><r><a>kept</a><b>cut")
+    (tmp_path / "f.xml").write_text("nothing")
+    (tmp_path / "g.txt").write_bytes(b"%PDF-1.7 binary")
+    (tmp_path / "h.html").write_text("<html>only <b>loose</b> text</html>")
+    (tmp_path / "i.txt").write_text(" \n ")
+    found = {(r.path[-5:], r.section_index): r.text for r in R.sections(spark, str(tmp_path)).collect()}
+    assert (found["a.csv", 2], found["a.csv", 4], found["b.csv", 2]) == ('q: x, "y"\na: 1', "q: z", "other: 5") and ("a.csv", 3) not in found
+    assert found["/c.md", 1] == "# One\ntext AB" and found["e.xml", 0] == "kept"
+    assert [v for (p, _), v in found.items() if p == ".html"] == ["only loose text"]
+    told = {r.path[-5:]: r.outcome for r in R.outcomes(spark, str(tmp_path)).collect()}
+    assert (told[".json"], told["f.xml"], told["g.txt"], told["i.txt"], told["a.csv"]) == ("malformed", "malformed", "mismatched", "empty", "ok")
