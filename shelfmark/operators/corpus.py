@@ -41,11 +41,11 @@ def normalised_role(dataset: Column, role: Column) -> tuple[Column, Column]:
     return name, F.when(name.isin(*NOISE_SETS), "distractor").when(present(role).isNotNull(), role).when(name == PRIMARY_SET, "primary").otherwise("distractor")
 
 
-def audit_summary(chunks: DataFrame) -> DataFrame:
-    """Counts of all chunks, distinct documents, and what is missing or too short."""
+def audit_summary(chunks: DataFrame, dims: int) -> DataFrame:
+    """Counts of all chunks, distinct documents, and what is missing, too short or not of `dims` dimensions."""
     return chunks.agg(
         F.count("*").alias("n_chunks"), F.count_distinct("document_id").alias("n_documents"), F.count_if("no_embedding").alias("no_embedding"),
-        F.count_if(~F.col("no_embedding") & (F.col("dims") != 8)).alias("bad_dims"), F.count_if(F.length(F.coalesce("text", F.lit(""))) < 50).alias("too_short"),
+        F.count_if(~F.col("no_embedding") & (F.col("dims") != dims)).alias("bad_dims"), F.count_if(F.length(F.coalesce("text", F.lit(""))) < 50).alias("too_short"),
         F.count_if(present(F.col("dataset")).isNull()).alias("no_dataset"), F.count_if(F.col("chunk_index").isNull()).alias("no_index"),
     )
 
@@ -75,13 +75,14 @@ def duplicate_groups(chunks: DataFrame, top: int = 20) -> DataFrame:
     return grouped.where("copies > 1").orderBy(F.col("copies").desc(), "text_hash").limit(top)
 
 
-def audit_checks(chunks: DataFrame, registry: DataFrame) -> DataFrame:
-    """`check_name, n_found, passed`: each invariant with the number of rows that break it."""
-    counts = audit_summary(chunks)
+def audit_checks(chunks: DataFrame, registry: DataFrame, dims: int) -> DataFrame:
+    """`check_name, n_found, passed`: each invariant with the number of rows that break it, and `overall` with their sum."""
+    counts = audit_summary(chunks, dims)
     names = ("no_embedding", "bad_dims", "too_short", "no_dataset", "no_index")
     rows = counts.select(F.explode(F.array(*[F.struct(F.lit(n).alias("check_name"), F.col(n).alias("n_found")) for n in names])).alias("r")).select("r.*")
     one = lambda df, name: df.agg(F.count("*").alias("n_found")).select(F.lit(name).alias("check_name"), "n_found")
     rows = rows.unionByName(one(registry_mismatches(chunks, registry), "registry_mismatch"))
     rows = rows.unionByName(one(stale_or_orphaned(chunks, registry), "stale_or_orphaned"))
     rows = rows.unionByName(one(chunks.groupBy("node_id").count().where("count > 1"), "doubled_id"))
+    rows = rows.unionByName(rows.agg(F.lit("overall").alias("check_name"), F.sum("n_found").alias("n_found")).select("check_name", "n_found"))
     return rows.withColumn("passed", F.col("n_found") == 0)

@@ -1,4 +1,4 @@
-"""Conversation history: last turns, follow-ups, context packing and citations."""
+"""Conversation history: last turns, context packing, citations and keywords."""
 
 from __future__ import annotations
 
@@ -42,10 +42,14 @@ def citations(rows: DataFrame, keys: list[str], by: str = "query_id", n: int = 3
 def keyword_hits(texts: DataFrame, keywords: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """`id, keyword`: the longest active keyword each text holds, without case; equal lengths go by the keyword.
 
-    `keywords(keyword, is_active)` is a small table kept by hand; its words are compared as one
-    broadcast list.
+    Texts and keywords meet by the first three characters of the keyword (by all of a shorter one),
+    which a text must hold anywhere; so any number of keywords is joined by equality.
     """
-    words = F.broadcast(keywords.where("is_active and trim(keyword) != ''").agg(F.collect_set(F.lower(F.trim("keyword"))).alias("words")))
-    hits = F.filter("words", lambda w: F.contains(F.lower(F.col(text_col)), w))
-    best = F.array_max(F.transform(hits, lambda w: F.struct(F.length(w).alias("n"), w.alias("keyword"))))
-    return texts.join(words).select(id_col, best["keyword"].alias("keyword")).where("keyword is not null")
+    words = keywords.where("is_active and trim(keyword) != ''").select(F.lower(F.trim("keyword")).alias("keyword")).distinct()
+    words = words.withColumn("gram", F.left("keyword", F.lit(3)))
+    low = F.lower(F.col(text_col))
+    starts = F.sequence(F.lit(1), F.length(low))
+    grams = F.flatten(F.transform(F.array(*map(F.lit, (1, 2, 3))), lambda k: F.transform(starts, lambda i: F.substring(low, i, k))))
+    rows = texts.where(F.length(text_col) > 0).select(F.col(id_col), low.alias("low"), F.explode(F.array_distinct(grams)).alias("gram"))
+    hits = rows.join(words, "gram").where(F.contains("low", "keyword"))
+    return hits.groupBy(id_col, "low").agg(F.max_by("keyword", F.struct(F.length("keyword"), "keyword")).alias("keyword")).select(id_col, "keyword")

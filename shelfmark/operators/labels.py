@@ -28,27 +28,31 @@ def label_coverage(labels: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def repaired_labels(labels: DataFrame, chunks: DataFrame, least: int = 40) -> DataFrame:
-    """`id, new_chunk_id, tier` of labels whose chunk is missing, by the first tier that matches.
+    """`id, new_chunk_id, tier, outcome` of labels whose chunk is missing, by the first tier that matches.
 
     Candidates are the chunks of the label's document. 1: the snippet as it is, 2: the snippet but for
     formatting (at least `least` letters), both take the shortest chunk; 3: the answer as it is, 4: but for
-    formatting, both only if one chunk matches, else the label is ambiguous (tier and null).
+    formatting, both only if one chunk matches, else the label is ambiguous. What no tier matches is
+    not_found. Both sides are normalised before they meet, each label and chunk once.
     """
     keys = chunks.select(key_of(F.col("node_id")).alias("chunk_key"))
     stale = labels.select("id", "expected_answer_text", "expected_context_snippet", "source_document_id", "source_chunk_id").distinct()
     stale = stale.withColumn("chunk_key", key_of(F.col("source_chunk_id"))).join(keys, "chunk_key", "left_anti")
+    snippet, answer = F.col("expected_context_snippet"), F.col("expected_answer_text")
+    wanted = stale.select(
+        "id", key_of(F.col("source_document_id")).alias("document_id"), *[F.when(F.length(F.trim(c)) > 0, label_form(c)).alias(f"{n}_form") for n, c in (("s", snippet), ("a", answer))],
+        *[F.when(F.length(compact_form(c)) >= least, compact_form(c)).alias(f"{n}_compact") for n, c in (("s", snippet), ("a", answer))],
+    )
     stored = chunks.where("text is not null").groupBy("node_id").agg(F.min("text").alias("text"))
-    stored = stored.select("node_id", document_of(F.col("node_id")).alias("document_id"), "text")
-    pairs = stale.join(stored, key_of(F.col("source_document_id")) == F.col("document_id"))
-    text, snippet, answer = F.col("text"), F.col("expected_context_snippet"), F.col("expected_answer_text")
-    holds = lambda part: (F.length(F.trim(part)) > 0) & F.contains(label_form(text), label_form(part))
-    loose = lambda part: (F.length(compact_form(part)) >= least) & F.contains(compact_form(text), compact_form(part))
-    tiers = F.array(*[F.when(c, F.lit(k)) for k, c in enumerate((holds(snippet), loose(snippet), holds(answer), loose(answer)), 1)])
-    hits = pairs.select("id", "node_id", F.length("text").alias("n"), F.explode(F.array_compact(tiers)).alias("tier"))
+    stored = stored.select("node_id", document_of(F.col("node_id")).alias("document_id"), F.length("text").alias("n"), label_form(F.col("text")).alias("form"), compact_form(F.col("text")).alias("compact"))
+    holds = (F.contains("form", "s_form"), F.contains("compact", "s_compact"), F.contains("form", "a_form"), F.contains("compact", "a_compact"))
+    tiers = F.array(*[F.when(c, F.lit(k)) for k, c in enumerate(holds, 1)])
+    hits = wanted.join(stored, "document_id").select("id", "node_id", "n", F.explode(F.array_compact(tiers)).alias("tier"))
     best = hits.withColumn("best", F.min("tier").over(W.partitionBy("id"))).where("tier = best")
     chosen = best.groupBy("id", "tier").agg(F.min_by("node_id", F.struct("n", "node_id")).alias("shortest"), F.count_distinct("node_id").alias("matches"))
     new = F.when((F.col("tier") <= 2) | (F.col("matches") == 1), F.col("shortest"))
-    return chosen.select("id", new.alias("new_chunk_id"), "tier")
+    out = stale.select("id").distinct().join(chosen.select("id", new.alias("new_chunk_id"), "tier"), "id", "left")
+    return out.withColumn("outcome", F.when(F.col("tier").isNull(), "not_found").when(F.col("new_chunk_id").isNull(), "ambiguous").otherwise("repaired"))
 
 
 def merged_labels(labels: DataFrame) -> DataFrame:

@@ -11,6 +11,10 @@ from shelfmark.operators import registry as R
 from shelfmark.sources.tables import table
 
 
+#: Dimensions of the vectors in the given chunk table.
+DIMENSIONS = 8
+
+
 def _chunks(spark: SparkSession, folder: str) -> DataFrame:
     return C.chunk_table(table(spark, folder, "data_hkpl_knowledge"))
 
@@ -34,7 +38,7 @@ def corpus_roles(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def audit_summary(spark: SparkSession, folder: str) -> DataFrame:
-    return C.audit_summary(_chunks(spark, folder))
+    return C.audit_summary(_chunks(spark, folder), DIMENSIONS)
 
 
 def chunk_type_distribution(spark: SparkSession, folder: str) -> DataFrame:
@@ -66,7 +70,7 @@ def duplicate_groups(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def audit_checks(spark: SparkSession, folder: str) -> DataFrame:
-    return C.audit_checks(_chunks(spark, folder), _registry(spark, folder))
+    return C.audit_checks(_chunks(spark, folder), _registry(spark, folder), DIMENSIONS)
 
 
 def registry_latest(spark: SparkSession, folder: str) -> DataFrame:
@@ -91,14 +95,14 @@ def registry_delete(spark: SparkSession, folder: str) -> DataFrame:
     """Documents with a failed state are deleted; the states of the registry afterwards."""
     registry = _registry(spark, folder)
     after = R.soft_deleted(registry, registry.where("status = 'failed'"), "2026-01-01 00:00:00")
-    return after.groupBy("status", (F.col("updated_at") == F.lit("2026-01-01 00:00:00").cast("timestamp_ntz")).alias("changed")).agg(F.count("*").alias("n_rows"))
+    return after.select("document_id", "version", "status", F.coalesce(F.col("updated_at") == F.lit("2026-01-01 00:00:00").cast("timestamp_ntz"), F.lit(False)).alias("changed"))
 
 
 def upload_decisions(spark: SparkSession, folder: str) -> DataFrame:
     """Every registered page comes in again with the hash of its first state."""
     registry = _registry(spark, folder)
     incoming = registry.where("source_url is not null").groupBy(F.trim("source_url").alias("url")).agg(F.min("content_hash").alias("content_hash"))
-    return R.upload_decisions(incoming, registry).groupBy("action").agg(F.count("*").alias("n_uploads"))
+    return R.upload_decisions(incoming, registry).select("url", "action")
 
 
 def status_lifecycle(spark: SparkSession, folder: str) -> DataFrame:
@@ -129,7 +133,7 @@ def label_upsert(spark: SparkSession, folder: str) -> DataFrame:
         F.max_by("expected_answer_text", F.struct("created_at", "id")).alias("expected_answer_text"), F.max_by("domain", F.struct("created_at", "id")).alias("domain")
     )
     merged = L.upserted_labels(latest(rows.where("created_at < '2024-01-01'")), latest(rows), ["expected_answer_text", "domain"])
-    return merged.groupBy("change").agg(F.count("*").alias("n_labels"))
+    return merged.select(F.md5("query").alias("query"), F.md5("expected_answer_text").alias("answer"), "domain", "change")
 
 
 def label_sampling(spark: SparkSession, folder: str) -> DataFrame:
@@ -190,7 +194,7 @@ ORACLES = {
         SELECT unnest(['no_embedding', 'bad_dims', 'too_short', 'no_dataset', 'no_index']) AS check_name, unnest([no_embedding, bad_dims, too_short, no_dataset, no_index]) AS n_found FROM a
         UNION ALL SELECT 'registry_mismatch', count(*) FROM ({_MISMATCH}) UNION ALL SELECT 'stale_or_orphaned', count(*) FROM ({_STALE})
         UNION ALL SELECT 'doubled_id', count(*) FROM (SELECT node_id FROM data_hkpl_knowledge GROUP BY 1 HAVING count(*) > 1))
-        SELECT check_name, n_found, n_found = 0 AS passed FROM c""",
+        SELECT check_name, n_found, n_found = 0 AS passed FROM c UNION ALL SELECT 'overall', CAST(sum(n_found) AS BIGINT), sum(n_found) = 0 FROM c""",
     "registry_latest": f"SELECT document_id, status, version, updated_at, first_uploaded_at FROM {_CURRENT}",
     "registry_counts": f"SELECT coalesce(nullif(source_kind, ''), nullif(source_type, ''), 'unknown') AS source_kind, status, count(*) AS n_documents FROM {_CURRENT} WHERE status <> 'deleted' GROUP BY 1, 2",
     "completed_duplicates": f"""WITH k AS (SELECT document_id, {_HASH('content_hash')} AS h, first_uploaded_at AS up FROM {_CURRENT} WHERE status = 'completed'),
@@ -198,13 +202,13 @@ ORACLES = {
         SELECT document_id, original FROM k JOIN f USING (h) WHERE document_id <> original""",
     "active_web_documents": _WEB,
     "registry_delete": f"""WITH g AS (SELECT DISTINCT {_KEY('document_id')} AS k FROM knowledge_documents WHERE status = 'failed'),
-        r AS (SELECT status, g.k IS NOT NULL AND status IS DISTINCT FROM 'deleted' AS hit FROM knowledge_documents d LEFT JOIN g ON g.k = {_KEY('d.document_id')})
-        SELECT CASE WHEN hit THEN 'deleted' ELSE status END AS status, hit AS changed, count(*) AS n_rows FROM r GROUP BY 1, 2""",
+        r AS (SELECT document_id, version, status, g.k IS NOT NULL AND status IS DISTINCT FROM 'deleted' AS hit FROM knowledge_documents d LEFT JOIN g ON g.k = {_KEY('d.document_id')})
+        SELECT document_id, version, CASE WHEN hit THEN 'deleted' ELSE status END AS status, hit AS changed FROM r""",
     "upload_decisions": f"""WITH i AS (SELECT trim(source_url) AS url, {_HASH('min(content_hash)')} AS h FROM knowledge_documents WHERE source_url IS NOT NULL GROUP BY 1),
         w AS ({_WEB}), c AS (SELECT document_id, status, {_HASH('content_hash')} AS h FROM {_CURRENT}), d AS (SELECT DISTINCT h FROM c WHERE status = 'completed' AND h IS NOT NULL)
-        SELECT CASE WHEN w.document_id IS NOT NULL AND c.h IS NOT DISTINCT FROM i.h THEN 'unchanged' WHEN w.document_id IS NOT NULL THEN 'replace'
-                    WHEN d.h IS NOT NULL THEN 'duplicate' ELSE 'create' END AS action, count(*) AS n_uploads
-        FROM i LEFT JOIN w USING (url) LEFT JOIN c ON c.document_id = w.document_id LEFT JOIN d ON d.h = i.h GROUP BY 1""",
+        SELECT i.url, CASE WHEN w.document_id IS NOT NULL AND c.h IS NOT DISTINCT FROM i.h THEN 'unchanged' WHEN w.document_id IS NOT NULL THEN 'replace'
+                    WHEN d.h IS NOT NULL THEN 'duplicate' ELSE 'create' END AS action
+        FROM i LEFT JOIN w USING (url) LEFT JOIN c ON c.document_id = w.document_id LEFT JOIN d ON d.h = i.h""",
     "status_lifecycle": f"""WITH r AS (SELECT DISTINCT * FROM knowledge_documents)
         SELECT {_KEY('document_id')} AS document_id, arg_max_null(status, (updated_at, version, status)) AS status, arg_max_null(error_message, (updated_at, version, status)) AS error_message,
                arg_max(chunk_count, (updated_at, version, status)) FILTER (chunk_count IS NOT NULL) AS chunk_count, count(*) AS n_states FROM r GROUP BY 1""",
@@ -220,15 +224,17 @@ ORACLES = {
                 CASE WHEN length({_COMPACT('e')}) >= 40 AND contains({_COMPACT('text')}, {_COMPACT('e')}) THEN 2 END,
                 CASE WHEN length(trim(a)) > 0 AND contains({_FORM('text')}, {_FORM('a')}) THEN 3 END,
                 CASE WHEN length({_COMPACT('a')}) >= 40 AND contains({_COMPACT('text')}, {_COMPACT('a')}) THEN 4 END]) AS tier FROM s JOIN {_STORED} USING (doc)),
-        b AS (SELECT * FROM (SELECT *, min(tier) OVER (PARTITION BY id) AS best FROM h WHERE tier IS NOT NULL) WHERE tier = best)
-        SELECT id, CASE WHEN tier <= 2 OR count(DISTINCT node_id) = 1 THEN arg_min(node_id, (n, node_id)) END AS new_chunk_id, CAST(tier AS INTEGER) AS tier FROM b GROUP BY id, tier""",
+        b AS (SELECT * FROM (SELECT *, min(tier) OVER (PARTITION BY id) AS best FROM h WHERE tier IS NOT NULL) WHERE tier = best),
+        c AS (SELECT id, CASE WHEN tier <= 2 OR count(DISTINCT node_id) = 1 THEN arg_min(node_id, (n, node_id)) END AS new_chunk_id, CAST(tier AS INTEGER) AS tier FROM b GROUP BY id, tier)
+        SELECT i.id, new_chunk_id, tier, CASE WHEN tier IS NULL THEN 'not_found' WHEN new_chunk_id IS NULL THEN 'ambiguous' ELSE 'repaired' END AS outcome FROM (SELECT DISTINCT id FROM s) i LEFT JOIN c ON c.id = i.id""",
     "label_merge": f"""WITH l AS (SELECT DISTINCT *, {_FORM('query')} AS form FROM evaluation_dataset)
         SELECT arg_max(id, (created_at, id)) AS id, count(DISTINCT id) AS n_labels, count(DISTINCT coalesce({_FORM('expected_answer_text')}, '')) > 1 AS conflicting
         FROM l WHERE form <> '' GROUP BY form""",
     "label_upsert": """WITH o AS (SELECT query, arg_max_null(expected_answer_text, (created_at, id)) AS a, arg_max_null(domain, (created_at, id)) AS d FROM evaluation_dataset WHERE query IS NOT NULL AND created_at < '2024-01-01' GROUP BY 1),
         n AS (SELECT query, arg_max_null(expected_answer_text, (created_at, id)) AS a, arg_max_null(domain, (created_at, id)) AS d FROM evaluation_dataset WHERE query IS NOT NULL GROUP BY 1)
-        SELECT CASE WHEN o.query IS NULL THEN 'inserted' WHEN n.query IS NOT NULL AND (n.a, n.d) IS DISTINCT FROM (o.a, o.d) THEN 'updated' ELSE 'kept' END AS change, count(*) AS n_labels
-        FROM o FULL JOIN n ON n.query = o.query GROUP BY 1""",
+        SELECT md5(coalesce(n.query, o.query)) AS query, md5(CASE WHEN n.query IS NOT NULL THEN n.a ELSE o.a END) AS answer, CASE WHEN n.query IS NOT NULL THEN n.d ELSE o.d END AS domain,
+               CASE WHEN o.query IS NULL THEN 'inserted' WHEN n.query IS NOT NULL AND (n.a, n.d) IS DISTINCT FROM (o.a, o.d) THEN 'updated' ELSE 'kept' END AS change
+        FROM o FULL JOIN n ON n.query = o.query""",
     "label_sampling": f"""SELECT node_id, document_id, CAST(n AS INTEGER) AS n FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY node_id) AS n
         FROM (SELECT DISTINCT node_id, document_id FROM {_CHUNKS} WHERE length(trim(text)) >= 120)) WHERE n <= 8""",
     "evidence_hits": f"""WITH l AS (SELECT DISTINCT id, {_KEY('source_document_id')} AS doc, {_KEY('source_chunk_id')} AS k, {_FORM('expected_context_snippet')} AS f FROM evaluation_dataset),

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shelfmark.functions.urls import normalize_url, site_of
 from shelfmark.operators import crawl, history
 from shelfmark.operators.registry import content_key, current_documents, document_of, key_of
+from shelfmark.session import written
 from shelfmark.sources.tables import table
 from shelfmark.streaming import lifecycle
 
@@ -52,12 +54,29 @@ def url_allowed(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def crawl_bfs(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents are pages, and each leads to those delivered in the batch after its own at the same site."""
-    sites = current_documents(table(spark, folder, "knowledge_documents"), "source_url").select("document_id", site_of(F.col("source_url")).alias("site"))
-    first = table(spark, folder, "ingest_batches").groupBy(key_of(F.col("document_id")).alias("document_id")).agg(F.min("batch_no").alias("batch_no"))
-    pages = first.join(sites, "document_id").where("site is not null").select(F.concat_ws("/", "site", "batch_no").alias("url"), "site", "batch_no").distinct()
-    links = pages.join(pages.select("site", F.col("batch_no").alias("next"), F.col("url").alias("link")), "site").where("next > batch_no and next <= batch_no + 3")
-    return crawl.crawl_levels(pages.where("batch_no = 1"), links.select("url", "link"), 8)
+    """Every document of a site leads to the next one and to the tenth after it in order of id; the search starts at
+    the site's first document and goes eight links far."""
+    sites = current_documents(table(spark, folder, "knowledge_documents"), "source_url").select("document_id", site_of(F.col("source_url")).alias("site")).where("site is not null")
+    # The place within a site, from counts of ranges: a hot site is numbered in as many tasks as it has ranges.
+    parts = sites.withColumn("part", F.left("document_id", F.lit(2)))
+    before = parts.groupBy("site", "part").count().select("site", "part", (F.sum("count").over(W.partitionBy("site").orderBy("part")) - F.col("count")).alias("before"))
+    pages = parts.join(before, ["site", "part"]).withColumn("no", F.col("before") + F.row_number().over(W.partitionBy("site", "part").orderBy("document_id")))
+    pages = pages.select("site", "no", F.col("document_id").alias("url"))
+    steps = pages.select("site", "url", F.explode(F.array(F.col("no") + 1, F.col("no") + 10)).alias("no"))
+    links = steps.join(pages.withColumnRenamed("url", "link"), ["site", "no"]).select("url", "link")
+    return crawl.crawl_levels(pages.where("no = 1"), written(links, "links"), 8)
+
+
+def discovered_links(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages made of the registry: each links to its own address, a rooted one and a mailbox."""
+    rows = table(spark, folder, "knowledge_documents").where("trim(source_url) != ''").select("document_id", normalize_url(F.col("source_url")).alias("url")).distinct()
+    html = F.concat(F.lit('<a class="x" href="'), "url", F.lit('">a</a><a href="/about">b</a><A HREF="mailto:x@y.example">c</A><p href="/no">'))
+    return crawl.discovered_links(rows.where("url is not null").select("url", html.alias("html")))
+
+
+def ingestion_once(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents of the deliveries, each once however often it comes, as a stream."""
+    return lifecycle.run_to_table(lifecycle.ingested_once(lifecycle.stream_of(spark, folder, "ingest_batches")), "once")
 
 
 def change_detection(spark: SparkSession, folder: str) -> DataFrame:
@@ -67,7 +86,7 @@ def change_detection(spark: SparkSession, folder: str) -> DataFrame:
     order = F.struct("updated_at", "version", "document_id")
     old = rows.where("version = 1").groupBy("url").agg(F.min_by(key, order).alias("content_hash"))
     new = rows.groupBy("url").agg(F.max_by(key, order).alias("content_hash"))
-    return crawl.changed_pages(new, old).groupBy("change").agg(F.count("*").alias("n_pages"))
+    return crawl.changed_pages(new, old)
 
 
 def event_windows(spark: SparkSession, folder: str) -> DataFrame:
@@ -78,7 +97,7 @@ def event_windows(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (history_last_turns, context_packing, citations, keyword_policy, url_normal_forms, url_allowed, crawl_bfs, change_detection, event_windows)
+    for f in (history_last_turns, context_packing, citations, keyword_policy, url_normal_forms, url_allowed, crawl_bfs, change_detection, event_windows, discovered_links, ingestion_once)
 }
 _SITE = r"nullif(regexp_replace(regexp_replace(regexp_extract(lower(trim(source_url)), '^[a-z][a-z0-9+.-]*://([^/?#\s]*)', 1), ':\d*$', ''), '^www\.', ''), '')"
 _URL = r"""lower(regexp_extract(trim(source_url), '^([A-Za-z][A-Za-z0-9+.-]*):', 1)) || '://' || lower(regexp_extract(trim(source_url), '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1))
@@ -108,15 +127,18 @@ ORACLES = {
         AND NOT regexp_matches(trim(source_url), '(?i)\.(jpe?g|png|gif|svg|css|js|zip|mp[34]|ico)$'), false) AS allowed, count(*) AS n_urls
         FROM (SELECT DISTINCT source_url FROM knowledge_documents WHERE source_url IS NOT NULL) GROUP BY 1, 2""",
     "crawl_bfs": f"""
-        WITH RECURSIVE cur AS (SELECT lower(trim(document_id)) AS document_id, arg_max_null({_SITE}, (updated_at, version, status)) AS site FROM knowledge_documents GROUP BY 1),
-        f AS (SELECT lower(trim(document_id)) AS document_id, min(batch_no) AS b FROM ingest_batches GROUP BY 1),
-        p AS (SELECT DISTINCT site, b FROM f JOIN cur USING (document_id) WHERE site IS NOT NULL),
-        w AS (SELECT site, b, 0 AS depth FROM p WHERE b = 1 UNION SELECT p.site, p.b, w.depth + 1 FROM w JOIN p ON p.site = w.site AND p.b > w.b AND p.b <= w.b + 3 WHERE w.depth < 8)
-        SELECT site || '/' || b AS url, CAST(min(depth) AS INTEGER) AS depth FROM w GROUP BY 1""",
+        WITH RECURSIVE cur AS (SELECT lower(trim(document_id)) AS url, arg_max_null({_SITE}, (updated_at, version, status, source_url)) AS site FROM knowledge_documents GROUP BY 1),
+        p AS (SELECT url, site, row_number() OVER (PARTITION BY site ORDER BY url) AS no FROM cur WHERE site IS NOT NULL AND url <> ''),
+        w AS (SELECT site, no, 0 AS depth FROM p WHERE no = 1 UNION SELECT p.site, p.no, w.depth + 1 FROM w JOIN p ON p.site = w.site AND p.no - w.no IN (1, 10) WHERE w.depth < 8)
+        SELECT url, CAST(min(depth) AS INTEGER) AS depth FROM w JOIN p USING (site, no) GROUP BY 1""",
+    "discovered_links": f"""
+        WITH u AS (SELECT DISTINCT {_URL} AS url FROM knowledge_documents WHERE trim(source_url) <> '')
+        SELECT url, regexp_replace(url, '["''#].*$', '') AS link FROM u UNION SELECT url, regexp_extract(url, '^([a-z][a-z0-9+.-]*://[^/?#]+)', 1) || '/about' FROM u""",
+    "ingestion_once": "SELECT DISTINCT lower(trim(document_id)) AS document_id FROM ingest_batches WHERE trim(document_id) <> '' AND received_at IS NOT NULL",
     "change_detection": rf"""
         WITH r AS (SELECT {_URL} AS url, nullif(regexp_replace(lower(content_hash), '\s+|^\s*[a-z0-9-]+:', '', 'g'), '') AS h, version, (updated_at, version, document_id) AS o
                    FROM knowledge_documents WHERE trim(source_url) <> ''),
         o AS (SELECT url, arg_min_null(h, o) AS h FROM r WHERE version = 1 GROUP BY url), n AS (SELECT url, arg_max_null(h, o) AS h FROM r GROUP BY url)
-        SELECT CASE WHEN o.h IS NULL THEN 'new' WHEN n.h IS DISTINCT FROM o.h THEN 'changed' ELSE 'unchanged' END AS change, count(*) AS n_pages FROM n LEFT JOIN o USING (url) GROUP BY 1""",
+        SELECT n.url, CASE WHEN o.h IS NULL THEN 'new' WHEN n.h IS DISTINCT FROM o.h THEN 'changed' ELSE 'unchanged' END AS change FROM n LEFT JOIN o USING (url)""",
     "event_windows": """SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n_events, round(sum(value), 4) AS total FROM events GROUP BY 1, 2""",
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfmark.operators.registry import key_of
 from shelfmark.session import is_file, new_path
 
 
@@ -15,6 +16,15 @@ def event_windows(events: DataFrame, size: str = "1 hour", lateness: str = "1 da
     return grouped.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "event_type", "n_events", "total")
 
 
+def ingested_once(deliveries: DataFrame, key: str = "document_id", time: str = "received_at", lateness: str = "30 days") -> DataFrame:
+    """The keys of a stream of deliveries, each once within `lateness` of its first one, without case and outer spaces.
+
+    State is one key until the watermark has passed it; rows without key or time are not ingested.
+    """
+    rows = deliveries.select(key_of(F.col(key)).alias(key), F.col(time).cast("timestamp").alias("at")).where(F.col(key).isNotNull() & F.col("at").isNotNull())
+    return rows.withWatermark("at", lateness).dropDuplicatesWithinWatermark([key]).select(key)
+
+
 def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """A finite stream run to its end into a table of the shared folder."""
     spark = stream.sparkSession
