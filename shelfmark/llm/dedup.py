@@ -17,28 +17,20 @@ from functools import reduce
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shelfmark.llm.boilerplate import frame_lines
-from shelfmark.llm.fingerprints import ONE_IN, fingerprinted, within_distance, word_hashes
+from shelfmark.llm.fingerprints import ONE_IN, WINNOW, fingerprinted, within_distance, word_hashes
 from shelfmark.operators.registry import content_key, current_documents, key_of
 from shelfmark.session import BROADCAST_ROWS, exists, let_go, measured, new_path, save, small_or_not, written
 
-#: Width of a band of sizes, as a logarithm: texts near each other are in the same band or in two next to each other.
-BAND = 1.05 * math.log(1 / (1 - 1 / ONE_IN))
 #: Bloom filters: bits a fingerprint, words of 64 bits in a block; a fingerprint sets one bit in each word of its block.
 BLOOM_BITS, BLOOM_WORDS = 12, 8
-#: Pairs that the fingerprints of one delivery may give among themselves before leaders are settled first.
-PAIR_LIMIT = 50_000_000
-#: Near texts share a quarter of the fingerprints of the one that has fewer at least: at a distance of
-#: exactly one word in ten they share 55 % in the mean, and never under 30 % in the test's trials.
-COVERAGE = 0.25
-#: A fingerprint in so many texts of the first delivery is common. Of each text the most common ones, up to
-#: this share of all it has, link nothing; what coverage asks for beyond them has to be shared by the others.
-COMMON, UNLINKED = 16, 0.15
-#: A text leads its delivery if fewer of its fingerprints than this share stand in a text before it.
-LEADING = 0.04
+#: Near texts share a tenth of the fingerprints of the one that has fewer at least: at a distance of
+#: exactly one word in ten they share 39 % in the mean, and no less than this in the trials of the tests.
+COVERAGE = 0.10
+#: Pairs for each of its fingerprints that a delivery may give among its own texts before leaders are settled first.
+PAIRS_A_ROW = 100
 #: Documents and links that are settled in one task; beyond that they are settled in rounds.
 TASK_ROWS = 200_000
 #: Batches that come at once are admitted together until they have this share of what the store holds: an
@@ -91,13 +83,18 @@ def first_deliveries(batches: DataFrame) -> DataFrame:
     return first.select("doc", F.col("at.batch_no").alias("batch_no"), ord_.alias("ord"))
 
 
+def sketch(texts: DataFrame) -> DataFrame:
+    """`fp, digest, place, n, size` of every fingerprint of `texts`."""
+    rows = texts.select(F.explode(F.arrays_zip("fps", "places")).alias("f"), "digest", F.size("fps").alias("n"), "size")
+    return rows.select(F.col("f.fps").alias("fp"), "digest", F.col("f.places").alias("place"), "n", "size")
+
+
 class Store:
     """What has been accepted, as tables below one path that only grow; opening the path again continues it.
 
     documents: doc, hash_key, digest of all delivered documents, whether accepted, and the accepted ones of
-    the same delivery it repeats. sketch: fp, digest, place, n, size (n fingerprints
-    in all, those that link). common: fp, holders, as the first delivery had them; this order of
-    the fingerprints holds for all later ones. texts: digest, text. blooms: bits, block, w0 ... w7, a filter of 2 ** bits blocks for each delivery. Each delivery
+    the same delivery it repeats. sketch: fp, digest, place, n, size (n
+    fingerprints in all). texts: digest, text. blooms: bits, block, w0 ... w7, a filter of 2 ** bits blocks for each delivery. Each delivery
     adds a folder to every table and, when all are there, its row to `deliveries`; what a lost driver
     left half written has no row, isn't read, and is written anew.
     """
@@ -105,20 +102,17 @@ class Store:
     SCHEMAS = {
         "documents": DOCUMENT_SCHEMA,
         "sketch": "fp bigint, digest bigint, place int, n int, size int",
-        "common": "fp bigint, holders bigint",
         "texts": "digest bigint, text string",
         "blooms": "block bigint, " + ", ".join(f"w{i} bigint" for i in range(BLOOM_WORDS)),
-        "deliveries": "delivery int, bits int, n_fps bigint, n_documents bigint, n_common bigint",
+        "deliveries": "delivery int, bits int, n_fps bigint, n_documents bigint",
     }
 
     def __init__(self, spark: SparkSession, path: str | None = None):
         self.spark, self.path = spark, path or new_path(spark, "store")
-        self.deliveries: list[tuple[int, int, int, int, int]] = []
-        self.n_common = 0
+        self.deliveries: list[tuple[int, int, int, int]] = []
         if exists(spark, f"{self.path}/deliveries"):  # one row a delivery
             rows = spark.read.schema(self.SCHEMAS["deliveries"]).parquet(f"{self.path}/deliveries").collect()
             self.deliveries = sorted(map(tuple, rows))
-            self.n_common = self.deliveries[0][-1]
 
     def table(self, name: str, deliveries: list[int] | None = None) -> DataFrame:
         """The rows of a table, of all deliveries or of those given."""
@@ -141,23 +135,6 @@ class Store:
     def n_documents(self) -> int:
         return sum(d[3] for d in self.deliveries)
 
-    def linking(self, texts: DataFrame) -> DataFrame:
-        """`fp, digest, place, n, size, ord` of the fingerprints of `texts` that link: all but the most common, as far
-        as these are at most UNLINKED of the text's. By what the first delivery held, so the order is the same for ever."""
-        every = texts.select(F.explode(F.arrays_zip("fps", "places")).alias("f"), "digest", F.size("fps").alias("n"), "size", "ord")
-        every = every.select(F.col("f.fps").alias("fp"), "digest", F.col("f.places").alias("place"), "n", "size", "ord")
-        if not self.deliveries and not exists(self.spark, f"{self.path}/common"):
-            seen = Observation()
-            counted = every.groupBy("fp").agg(F.count("*").alias("holders")).where(F.col("holders") >= COMMON)
-            self.add("common", 1, counted.observe(seen, F.count(F.lit(1)).alias("n")))
-            self.n_common = seen.get["n"]
-        common = self.table("common", [1])
-        common = F.broadcast(common) if self.n_common <= BROADCAST_ROWS else common
-        every = every.join(common, "fp", "left")
-        order = W.partitionBy("digest").orderBy(F.col("holders").desc(), "fp")
-        often = every.where("holders is not null").withColumn("rank", F.row_number().over(order)).where(F.col("rank") > F.floor(F.col("n") * UNLINKED))
-        return every.where("holders is null").unionByName(often.drop("rank")).drop("holders")
-
     def extend(self, number: int, n_documents: int, taken: DataFrame, texts: DataFrame) -> None:
         """Close a delivery whose documents are added already: its accepted texts, `taken(digest)` of `texts`."""
         # Of each text one document at most is accepted.
@@ -165,12 +142,11 @@ class Store:
         texts = texts.join(F.broadcast(taken) if n_documents <= BROADCAST_ROWS else taken, "digest", "left_semi")
         self.add("texts", number, texts.select("digest", "text"))
         seen = Observation()
-        rows = self.linking(texts).select("fp", "digest", "place", "n", "size")
-        self.add("sketch", number, rows.observe(seen, F.count(F.lit(1)).alias("n_rows")))
+        self.add("sketch", number, sketch(texts).observe(seen, F.count(F.lit(1)).alias("n_rows")))
         n_fps = seen.get["n_rows"]
         bits = max(0, math.ceil(math.log2(max(1, n_fps * BLOOM_BITS / (64 * BLOOM_WORDS)))))
         self.add("blooms", number, bloom_filter(self.table("sketch", [number]), bits))
-        row = (number, bits, n_fps, n_documents, self.n_common)
+        row = (number, bits, n_fps, n_documents)
         told = self.spark.range(1).select(*[F.lit(v).cast(t.split()[1]).alias(t.split()[0]) for v, t in zip(row, self.SCHEMAS["deliveries"].split(", "))])
         save(told.coalesce(1).write.mode("append"), self.spark, f"{self.path}/deliveries")
         self.deliveries.append(row)
@@ -215,20 +191,16 @@ def screened(fps: DataFrame, store: Store) -> DataFrame:
 def sharing_pairs(x: DataFrame, y: DataFrame, once: bool = False) -> DataFrame:
     """`x, y`: texts of `x` and other texts of `y` (fp, digest, place, n, size) that share COVERAGE of their fingerprints.
 
-    Near texts differ in size by one word in ONE_IN at most and no place they share moves further,
-    so the join is by fingerprint and band of sizes. Only linking fingerprints are compared: of what
-    two texts share, those left out come last in one common order, so they are at most UNLINKED of
-    the text with more. With `once`, pairs of two texts that `x` holds both (`old` is false) come in one order only.
+    Near texts differ in size by one word in ONE_IN at most, and no place they share moves further.
+    With `once`, pairs of two texts that `x` holds both (`old` is false) come in one order only.
     """
-    band = F.floor(F.log("size") / BAND)
-    side = lambda rows, k, band, *more: rows.select("fp", band.alias("band"), *more, *[F.col(c).alias(f"{c}_{k}") for c in ("digest", "place", "n", "size")])
-    a = side(x, "x", band)
-    b = side(y, "y", F.explode(F.array(*[band + i for i in (-1, 0, 1)])), *["old"] * once)
+    side = lambda rows, k, *more: rows.select("fp", *more, *[F.col(c).alias(f"{c}_{k}") for c in ("digest", "place", "n", "size")])
     most = F.floor(F.greatest("size_x", "size_y") / ONE_IN)
-    close = (F.abs(F.col("size_x") - F.col("size_y")) <= most) & ((F.abs(F.col("place_x") - F.col("place_y")) <= most) | (F.least("place_x", "place_y") < 0))
+    near = F.abs(F.col("place_x") - F.col("place_y")) <= most + WINNOW
+    close = (F.abs(F.col("size_x") - F.col("size_y")) <= most) & (near | (F.least("place_x", "place_y") < 0))
     other = F.expr("digest_x > digest_y or (old and digest_x != digest_y)") if once else F.col("digest_x") != F.col("digest_y")
-    hits = a.join(b, ["fp", "band"]).where(close & other)
-    need = COVERAGE * F.least("n_x", "n_y") - UNLINKED * F.greatest("n_x", "n_y")
+    hits = side(x, "x").join(side(y, "y", *["old"] * once), "fp").where(close & other)
+    need = COVERAGE * F.least("n_x", "n_y")
     hits = hits.groupBy(F.col("digest_x").alias("x"), F.col("digest_y").alias("y")).agg(F.count("*").alias("n"), F.max(need).alias("need"))
     return hits.where("n >= need").select("x", "y")
 
@@ -254,9 +226,9 @@ def both_ways(pairs: DataFrame) -> DataFrame:
     return pairs.unionByName(pairs.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct()
 
 
-def near_in_delivery(live: DataFrame, texts: DataFrame, pair_limit: int) -> list[DataFrame]:
+def near_in_delivery(live: DataFrame, order: DataFrame, texts: DataFrame, pair_limit: float) -> list[DataFrame]:
     """Near pairs among the texts of one delivery, given its fingerprints that several of them hold
-    (`fp, digest, place, n, size, ord`), where these would give more pairs than `pair_limit`.
+    (`fp, digest, place, n, size`) and the `order(digest, ord)`, where these would give more pairs than `pair_limit`.
 
     A text none of whose predecessors can be near it leads; texts near a leader drop out, since
     they cannot be accepted, and are compared with the others' leaders only. Families of
@@ -269,21 +241,20 @@ def near_in_delivery(live: DataFrame, texts: DataFrame, pair_limit: int) -> list
         counts = open_.groupBy("fp").count()
         if (counts.agg(F.sum(F.expr("count * (count - 1) / 2"))).first()[0] or 0) <= pair_limit:
             break
-        heads = open_.groupBy("fp").agg(F.min(F.struct("ord", "digest")).alias("head")).select("fp", F.col("head.digest").alias("head"))
+        heads = open_.join(order, "digest").groupBy("fp").agg(F.min(F.struct("ord", "digest")).alias("head")).select("fp", F.col("head.digest").alias("head"))
         later = F.count_if(F.col("head") != F.col("digest"))
         lead = open_.join(heads, "fp").groupBy("digest").agg(later.alias("later"), F.max("n").alias("n"))
-        lead = lead.where(F.col("later") < F.greatest(F.lit(1), F.col("n") * LEADING))
+        lead = lead.where(F.col("later") < F.greatest(F.lit(1), F.col("n") * COVERAGE / 2))
         lead = written(lead.select("digest"), "leaders")
         leaders = open_.join(lead, "digest", "left_semi")
         found = written(near_texts(sharing_pairs(open_.join(lead, "digest", "left_anti"), leaders), texts), "near")
-        order = open_.groupBy("digest").agg(F.min("ord").alias("ord"))
         found_late = found.join(order.withColumnsRenamed({"digest": "x", "ord": "ox"}), "x").join(order.withColumnsRenamed({"digest": "y", "ord": "oy"}), "y")
         out = written(found_late.where("ox > oy").select(F.col("x").alias("digest")).distinct(), "dropped")
         n_out = out.count()
         near.append(found)
         dropped = out if dropped is None else dropped.unionByName(out)
         kept = leaders if kept is None else kept.unionByName(leaders)
-        before = order.count()
+        before = open_.select("digest").distinct().count()
         open_ = written(open_.join(out, "digest", "left_anti").join(lead, "digest", "left_anti"), "open")
         if (n_out + lead.count()) * 10 < before:
             break
@@ -385,7 +356,7 @@ def settled_in_rounds(delivery: DataFrame, near: DataFrame) -> DataFrame:
     return out.select("doc", "hash_key", "digest", F.col("accepted").isNotNull().alias("accepted"), F.coalesce("repeats", none).alias("repeats"))
 
 
-def admit(delivery: DataFrame, texts: DataFrame, store: Store, n_documents: int, pair_limit: int = PAIR_LIMIT, task_rows: int = TASK_ROWS) -> DataFrame:
+def admit(delivery: DataFrame, texts: DataFrame, store: Store, n_documents: int, pairs_a_row: float = PAIRS_A_ROW, task_rows: int = TASK_ROWS) -> DataFrame:
     """Pairs of a delivery of `n_documents` new documents; the store is extended by those that are accepted.
 
     `delivery(doc, ord, hash_key, digest)` are the new documents and `texts` (TEXT_SCHEMA and `ord`)
@@ -395,7 +366,7 @@ def admit(delivery: DataFrame, texts: DataFrame, store: Store, n_documents: int,
     empty, number = not store.deliveries, store.next()
     old = store.accepted()
     new = texts if empty else texts.join(old.select("digest"), "digest", "left_anti")
-    rows = store.linking(new)
+    rows = sketch(new)
     counted = rows.groupBy("fp").count()
     if empty:
         live = counted.where("count > 1").withColumn("known", F.lit(False))
@@ -404,6 +375,7 @@ def admit(delivery: DataFrame, texts: DataFrame, store: Store, n_documents: int,
         live = counted.join(known, "fp", "left").where("count > 1 or held").withColumn("known", F.col("held").isNotNull()).drop("held")
     # Fingerprints that something else may hold; each adds its share of the pairs that it gives in the delivery.
     live, seen = measured(rows.join(live, "fp"), "live", pairs=F.sum(F.col("count") - 1))
+    pair_limit = pairs_a_row * seen["n"]
     every = new.select("digest", "text").unionByName(store.table("texts"))
     looked_up = store.table("sketch").join(live.where("known").select("fp"), "fp", "left_semi").withColumn("old", F.lit(True))
     if (seen["pairs"] or 0) <= 2 * pair_limit:
@@ -411,7 +383,7 @@ def admit(delivery: DataFrame, texts: DataFrame, store: Store, n_documents: int,
         other = other if empty else other.unionByName(looked_up)
         near = near_texts(sharing_pairs(live, other, once=True), every)
     else:
-        parts = near_in_delivery(live.where("count > 1").drop("known", "count"), every, pair_limit)
+        parts = near_in_delivery(live.where("count > 1").drop("known", "count"), texts.select("digest", "ord"), every, pair_limit)
         if not empty:
             parts.append(near_texts(sharing_pairs(live.where("known"), looked_up), every))
         near = reduce(DataFrame.unionByName, parts)
@@ -452,7 +424,7 @@ def gathered(counts: list[tuple[int, int]], known: int, gather: float) -> dict[i
 
 
 def repeated_deliveries(
-    batches: DataFrame, registry: DataFrame, pages: DataFrame, store: Store | None = None, gather: float = GATHER, pair_limit: int = PAIR_LIMIT, task_rows: int = TASK_ROWS
+    batches: DataFrame, registry: DataFrame, pages: DataFrame, store: Store | None = None, gather: float = GATHER, pairs_a_row: float = PAIRS_A_ROW, task_rows: int = TASK_ROWS
 ) -> DataFrame:
     """`document_id_a, document_id_b` over all deliveries, admitted in order; the result is the same for any `gather`.
 
@@ -485,5 +457,5 @@ def repeated_deliveries(
         firsts = mine.where("digest is not null").groupBy("digest").agg(F.min("ord").alias("ord")).select(F.col("ord.doc").alias("doc"))
         texts = mine.join(F.broadcast(firsts) if n_documents <= BROADCAST_ROWS else firsts, "doc", "left_semi")
         delivery = mine.select("doc", "ord", "hash_key", "digest").unionByName(plain.where(F.col("admission") == number).drop("admission"))
-        out.append(admit(delivery, texts.select("digest", "ord", "text", "size", "fps", "places"), store, n_documents, pair_limit, task_rows))
+        out.append(admit(delivery, texts.select("digest", "ord", "text", "size", "fps", "places"), store, n_documents, pairs_a_row, task_rows))
     return reduce(DataFrame.unionByName, out)

@@ -14,12 +14,13 @@ import xxhash
 
 from shelfmark.llm.boilerplate import ODD, plain_line
 
-#: Words of a shingle, shingles of a winnowing window: any unchanged run of 9 words leaves a fingerprint.
+#: Words of a shingle, shingles of a winnowing window.
 SHINGLE, WINNOW = 5, 5
 #: Texts differ in at most one word in so many.
 ONE_IN = 10
-#: Texts of fewer words keep every shingle.
-SHORT = 81
+#: Texts of fewer words keep every shingle as a fingerprint. In longer ones a fingerprint is two winnowed
+#: shingles that follow each other, which single phrases of a template seldom share.
+SHORT = 101
 #: Characters hashed at once.
 GROUP = 400_000
 
@@ -115,11 +116,15 @@ def _fingerprinted(texts: list[str]) -> list[Fingerprinted]:
             continue
         digest = xxhash.xxh64_intdigest(words[a:b].tobytes()) - (1 << 63)
         every = shingles[a : b - SHINGLE + 1] if n >= SHINGLE else _rolled(words[a:b])
-        own, first, times = np.unique(every, return_index=True, return_counts=True)
-        places = np.where(times > 1, -1, first).astype(np.int32)
+        at = np.arange(len(every))
         if n >= SHORT:
-            kept = np.searchsorted(own, np.unique(least[a : b - SHINGLE - WINNOW + 2]))
-            own, places = own[kept], places[kept]
+            window = least[a : b - SHINGLE - WINNOW + 2]
+            at = np.flatnonzero(np.concatenate(([True], window[1:] != window[:-1])))
+            chosen = window[at].view(np.uint64)
+            with np.errstate(over="ignore"):
+                every = ((chosen[:-1] * np.uint64(0x9E3779B97F4A7C15) ^ chosen[1:]) * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64)
+        own, first, times = np.unique(every, return_index=True, return_counts=True)
+        places = np.where(times > 1, -1, at[first]).astype(np.int32)
         out.append((digest, n, own, places))
     return out
 
