@@ -28,6 +28,8 @@ from shelfmark.session import small_or_not, written
 MIN_PAGES = 4
 #: A path is frame from this ratio on; lines of corpus-wide prior in the smoothing.
 THRESHOLD, PRIOR = 0.25, 4.0
+#: Pages after the first at which the repetition of one line counts half.
+HALF_PAGES = 12.0
 #: Share of its occurrences after which two links must follow for a frame line to head a side block.
 HEAD_SHARE = 0.3
 
@@ -92,8 +94,8 @@ LINE_SCHEMA = (
 )
 LINE_TYPES = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
 LINE_TYPES += [pa.bool_(), pa.bool_(), pa.int32(), pa.int32(), pa.string(), pa.int64()]
-#: Beyond so many characters a line is a paragraph: its path is its opening and the whole of it.
-PARAGRAPH = 200
+#: A link is shorter than this.
+LINK_LENGTH = 140
 _INDEX = re.compile(r":s(\d+):c(\d+):")
 _BLANK = (True, "", 0, 0, 0, False, False, 0, 0)
 
@@ -107,14 +109,13 @@ def _told(raw: str) -> tuple:
     line = plain_line(raw)
     if not line:
         return _BLANK
-    if len(line) > PARAGRAPH:
-        mark, _, _, lead = line_paths(line[:80])
-        form = _hash(line.lower())
-        return (False, mark, form, form, _hash(lead), False, False, len(line), len(PUNCTUATION.findall(line)))
     mark, exact, whole, lead = line_paths(line)
     row = lead.startswith("rows/")
-    sure = row and lead[5:].strip() in HOME_LEADS or exact.startswith(LINK_LEADS) or line.startswith(LINK_LEADS)
-    linkish = not row and len(line) < 140 and not exact.startswith("#") and not SENTENCE_END.search(line)
+    # A row of links whose words differ on every page has its opening as its path.
+    opening = next((x for x in LINK_LEADS if line.startswith(x) or exact.startswith(x)), None)
+    lead = f"rows/{opening}" if opening else lead
+    sure = opening is not None or row and lead[5:].strip() in HOME_LEADS
+    linkish = not row and len(line) < LINK_LENGTH and not exact.startswith("#") and not SENTENCE_END.search(line)
     return (False, mark, _hash(exact), _hash(whole), _hash(lead), linkish, sure, len(line), len(PUNCTUATION.findall(line)))
 
 
@@ -155,6 +156,11 @@ def page_lines(pages: DataFrame, with_text: bool = False) -> DataFrame:
     return picked.mapInArrow(run, LINE_SCHEMA)
 
 
+def _ratio(share: F.Column, content: F.Column) -> F.Column:
+    """How much a path is frame: long, well-punctuated paths must repeat more before they count as such."""
+    return share / (share + 0.3 * (1 - share) * (1 + F.least(content, F.lit(3.0))))
+
+
 def frame_lines(pages: DataFrame, registry: DataFrame, with_text: bool = False) -> DataFrame:
     """`doc, node_id, chunk_index, line_no, frame` of every line that isn't blank, doubled rows once;
     on request with the `line` itself.
@@ -172,14 +178,22 @@ def frame_lines(pages: DataFrame, registry: DataFrame, with_text: bool = False)
     lines = written(lines.withColumn("key", F.xxhash64("site", "form")), "frame")
     told = lines.where("not blank")
 
-    forms = written(told.select("key", "form", "context").distinct().groupBy("key", "form").count(), "forms")
-    own = small_or_not(forms.where(F.col("count") >= MIN_PAGES).select(F.col("key").alias("own_key")), "own")
+    # The most specific path is a line's form within its site. Its pages are told apart by context; they
+    # and what is written in it give its ratio.
+    forms = told.groupBy("key", "form", "context").agg(F.max("length").alias("length"), F.max("punctuation").alias("punctuation"))
+    forms = written(forms.groupBy("key", "form").agg(F.count("*").alias("count"), F.avg("length").alias("length"), F.avg("punctuation").alias("punctuation")), "forms")
+    corpus = told.agg(F.avg("length").alias("c_length"), F.avg("punctuation").alias("c_punctuation"))
+    content = F.sqrt(F.col("length") / F.col("c_length") * F.col("punctuation") / (F.col("c_punctuation") + F.lit(1e-9)))
+    pages = F.col("count") - 1
+    sited = forms.where(F.col("count") >= MIN_PAGES).join(F.broadcast(corpus))  # one row
+    own = small_or_not(sited.where(_ratio(pages / (pages + HALF_PAGES), content) >= THRESHOLD).select(F.col("key").alias("own_key")), "own")
     # Phrases that several sites share, each too seldom to tell by itself.
     shared = forms.groupBy("form").agg(F.sum("count").alias("pages"), F.count("*").alias("sites"))
     shared = shared.where((F.col("pages") >= 2 * MIN_PAGES) & (F.col("sites") >= 2)).select(F.col("form").alias("shared_form"))
     shared = small_or_not(shared, "shared")
     lines = lines.join(own, lines.key == own.own_key, "left").join(shared, lines.form == shared.shared_form, "left")
-    lines = lines.withColumn("own", F.col("own_key").isNotNull() | F.col("shared_form").isNotNull())
+    # What speaks for the frame: the line is repeated, or opens like a row of links.
+    lines = lines.withColumn("own", F.col("own_key").isNotNull() | F.col("shared_form").isNotNull() | F.col("sure"))
     marked = lines.where("not blank")
     measures = [
         F.count("*").alias("n"), F.sum(F.col("own").cast("int")).alias("repeated"),
@@ -198,17 +212,13 @@ def frame_lines(pages: DataFrame, registry: DataFrame, with_text: bool = False)
         F.sqrt(smooth("length", "c_length") / F.col("c_length") * smooth("punctuation", "c_punctuation")
                / (F.col("c_punctuation") + F.lit(1e-9))).alias("content"),
     )
-    # Long, well-punctuated paths must repeat more before they count as frame.
-    ratio = F.col("share") / (F.col("share") + 0.3 * (1 - F.col("share")) * (1 + F.least("content", F.lit(3.0))))
-    frame_paths = scored.where((F.col("n") >= 4) & (ratio >= THRESHOLD)).select("path")
+    frame_paths = scored.where((F.col("n") >= 4) & (_ratio(F.col("share"), F.col("content")) >= THRESHOLD)).select("path")
     frame_paths = small_or_not(frame_paths, "paths")
 
     judged = lines
     for column, found in (("whole", "w_path"), ("lead", "l_path")):
         judged = judged.join(frame_paths.withColumnRenamed("path", found), F.col(column) == F.col(found), "left")
-    base = ~F.col("blank") & (
-        F.col("own") | F.col("w_path").isNotNull() | F.col("l_path").isNotNull() | F.col("sure")
-    )
+    base = ~F.col("blank") & (F.col("own_key").isNotNull() | F.col("w_path").isNotNull() | F.col("l_path").isNotNull())
     judged = judged.select("doc", "node_id", "chunk_index", "line_no", "blank", "mark", "whole", "linkish", base.alias("base"), *["line"] * with_text)
     judged = judged.repartition("doc").dropDuplicates(["doc", "node_id", "line_no"])
 

@@ -2,8 +2,8 @@
 
 Text is cut by content: a rolling hash over the characters sets landmarks, so that the same
 words give the same chunks wherever they stand; the end of a line closes a chunk too, since
-lines are what is counted and removed. Chunks that stand in many documents of a site point to
-the lines; an exact count of the documents of each such line decides.
+lines are what is removed. Chunks are counted by site and document; a line goes if repeated
+chunks cover it, and, where it has several, if an exact count of that line agrees.
 """
 
 from __future__ import annotations
@@ -70,6 +70,9 @@ def content_chunks(forms: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray
         chunk_starts = np.concatenate(([0], chunk_ends[:-1]))
         hashes = (prefix[chunk_ends] - prefix[chunk_starts]) * inverse[chunk_starts]
         hashes ^= hashes >> np.uint64(31)
+        # A chunk that is a whole line differs from the same words within one.
+        alone = np.bincount(line_at[chunk_starts], minlength=len(forms))[line_at[chunk_starts]] == 1
+        hashes[alone] ^= np.uint64(0x94D049BB133111EB)
         whole = (prefix[ends] - prefix[starts]) * inverse[starts]
         whole ^= lengths.astype(np.uint64) << np.uint64(48)
     return line_at[chunk_starts], hashes.view(np.int64), whole.view(np.int64)
@@ -134,20 +137,23 @@ def repeated_lines(pages: DataFrame, registry: DataFrame, min_documents: int = M
         .where(F.col("count") >= min_documents)
         .select("chunk_key")
     )
-    # Every chunk of a line that is repeated is repeated; the first one finds all such lines.
-    candidates = placed.select(
-        "node_id", "line_no", "doc", "line", F.xxhash64("site", F.col("chunks")[0]).alias("chunk_key"),
-    ).join(often, "chunk_key", "left_semi")
-    counted = (
-        candidates.select("line", "doc").distinct().groupBy("line").count().where(F.col("count") >= min_documents)
-    )
-    return candidates.join(counted.select("line"), "line", "left_semi").select("node_id", "line_no").distinct()
+    # A line of one chunk is repeated if its chunk is. Of longer ones all chunks must be, which leaves
+    # lines put together of repeated parts; an exact count of those lines decides.
+    n = F.size("chunks")
+    one = placed.where(n == 1).select("node_id", "line_no", F.xxhash64("site", F.col("chunks")[0]).alias("chunk_key"))
+    one = one.join(often, "chunk_key", "left_semi").select("node_id", "line_no")
+    parts = placed.where(n > 1).select("node_id", "line_no", "doc", "line", n.alias("n"), F.posexplode("chunks").alias("at", "chunk"), "site")
+    parts = parts.select("node_id", "line_no", "doc", "line", "n", "at", F.xxhash64("site", "chunk").alias("chunk_key")).join(often, "chunk_key", "left_semi")
+    covered = parts.groupBy("node_id", "line_no", "doc", "line").agg(F.count_distinct("at").alias("covered"), F.max("n").alias("n")).where("covered = n")
+    counted = covered.select("line", "doc").distinct().groupBy("line").count().where(F.col("count") >= min_documents)
+    long = covered.join(counted.select("line"), "line", "left_semi").select("node_id", "line_no")
+    return one.unionByName(long).distinct()
 
 
 def without_repeated_lines(pages: DataFrame, repeated: DataFrame) -> DataFrame:
     """`node_id, text` of every page text with its repeated lines removed; a text may become empty."""
     cut = repeated.groupBy("node_id").agg(F.collect_set("line_no").alias("cut"))
-    texts = pages.select("node_id", "text").dropDuplicates(["node_id"])
+    texts = pages.groupBy("node_id").agg(F.min("text").alias("text"))
     kept = F.expr(
         "array_join(filter(transform(split(text, '\\n'), (l, i) -> struct(l, i + 1 as n)), "
         "x -> not array_contains(coalesce(cut, array()), x.n)).l, '\\n')"

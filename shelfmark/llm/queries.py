@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from shelfmark.llm.boilerplate import frame_found
+from shelfmark.llm.boilerplate import frame_found, frame_lines
 from shelfmark.llm.bpe import encode_corpus
 from shelfmark.llm.canonical import canonical_text, odd_characters
 from shelfmark.llm.conversations import closed_segments, conversations, session_defects
 from shelfmark.llm.dedup import repeated_deliveries
-from shelfmark.llm.lines import repeated_lines
+from shelfmark.llm.lines import repeated_lines, without_repeated_lines
 from shelfmark.llm.packing import packed_texts
 from shelfmark.llm.pairs import defective_pairs
 from shelfmark.llm.pieces import split_texts
@@ -47,6 +48,20 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return repeated_lines(table(spark, folder, "data_hkpl_knowledge"), table(spark, folder, "knowledge_documents"))
 
 
+def p6_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Each chunk's text without the lines repeated on its site, as its hash."""
+    pages = table(spark, folder, "data_hkpl_knowledge")
+    cut = without_repeated_lines(pages, repeated_lines(pages, table(spark, folder, "knowledge_documents")))
+    return cut.select("node_id", F.md5("text").alias("text"))
+
+
+def p5_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """The main body of each document as its hash: its article lines in order."""
+    lines = frame_lines(table(spark, folder, "data_hkpl_knowledge"), table(spark, folder, "knowledge_documents"), with_text=True)
+    kept = F.array_sort(F.collect_list(F.when(~F.col("frame"), F.struct("chunk_index", "node_id", "line_no", "line"))))
+    return lines.groupBy("doc").agg(kept.alias("lines")).select("doc", F.md5(F.array_join("lines.line", "\n")).alias("body"), F.size("lines").alias("n_lines"))
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     chunks = canonical_text(table(spark, folder, "data_hkpl_knowledge"), "node_id", "text", "data_hkpl_knowledge")
     labels = canonical_text(
@@ -73,7 +88,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_found": p3_found,
     "p3_conversations": p3_conversations,
     "p5_found": p5_found,
+    "p5_texts": p5_texts,
     "p6_found": p6_found,
+    "p6_texts": p6_texts,
     "p7_found": p7_found,
     "p8_ids": p8_ids,
     "p9_groups": p9_groups,
@@ -101,13 +118,7 @@ _SESSIONS_SQL = r"""
         judged AS (SELECT a.session_id, CASE WHEN NOT visible THEN 'empty' WHEN bad OR broken THEN 'broken'
                               WHEN lacks THEN 'missing_reply' END AS defect FROM a LEFT JOIN b USING (session_id))"""
 
-#: The same in SQL, where SQL can say it.
-ORACLES: dict[str, str] = {
-    "p3_found": _SESSIONS_SQL + " SELECT session_id, defect FROM judged WHERE defect IS NOT NULL",
-    "p3_conversations": _SESSIONS_SQL + """
-        SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY created_at, id, who, say) AS turn_no, who AS role, say AS content, id
-        FROM turns JOIN judged USING (session_id) WHERE defect IS NULL""",
-    "p6_found": r"""
+_REPEATED_SQL = r"""
         WITH cur AS (
             SELECT document_id, regexp_replace(regexp_replace(regexp_extract(lower(trim(source_url)),
                        '^[a-z][a-z0-9+.-]*://([^/?#]*)', 1), ':[0-9]*$', ''), '^www\.', '') AS site
@@ -122,5 +133,18 @@ ORACLES: dict[str, str] = {
                        '[\s\x0B\p{Z}\x{1C}-\x{1F}\x{85}\p{Nd}]+', '', 'g'), '[.!?:;,。…]+$', '') AS form FROM lines),
         placed AS (SELECT f.*, site FROM forms f JOIN cur ON doc = document_id WHERE site <> '' AND form <> ''),
         often AS (SELECT site, form FROM placed GROUP BY site, form HAVING count(DISTINCT doc) >= 8)
-        SELECT DISTINCT node_id, CAST(line_no AS INTEGER) AS line_no FROM placed JOIN often USING (site, form)""",
+        SELECT DISTINCT node_id, CAST(line_no AS INTEGER) AS line_no FROM placed JOIN often USING (site, form)"""
+
+#: The same in SQL, where SQL can say it.
+ORACLES: dict[str, str] = {
+    "p3_found": _SESSIONS_SQL + " SELECT session_id, defect FROM judged WHERE defect IS NOT NULL",
+    "p3_conversations": _SESSIONS_SQL + """
+        SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY created_at, id, who, say) AS turn_no, who AS role, say AS content, id
+        FROM turns JOIN judged USING (session_id) WHERE defect IS NULL""",
+    "p6_found": _REPEATED_SQL,
+    "p6_texts": rf"""
+        WITH gone AS ({_REPEATED_SQL}), t AS (SELECT node_id, min(text) AS text FROM data_hkpl_knowledge GROUP BY 1),
+        l AS (SELECT node_id, generate_subscripts(ls, 1) AS line_no, unnest(ls) AS line FROM (SELECT node_id, string_split(text, chr(10)) AS ls FROM t)),
+        k AS (SELECT node_id, string_agg(line, chr(10) ORDER BY line_no) AS text FROM l ANTI JOIN gone USING (node_id, line_no) GROUP BY 1)
+        SELECT t.node_id, CASE WHEN t.text IS NOT NULL THEN md5(coalesce(k.text, '')) END AS text FROM t LEFT JOIN k USING (node_id)""",
 }
