@@ -58,8 +58,9 @@ def vector_topk(
                 if alike:
                     scores[groups[:, None] != of[None, :]] = -np.inf
                 least = np.partition(scores, len(items) - k, axis=1)[:, len(items) - k] if len(items) > k else np.full(len(ids), -2.0)
-                at, which = np.nonzero(scores >= np.maximum(least, -2.0)[:, None])
-                best = _best(*(np.concatenate(x) for x in zip(best, (at, scores[at, which], items[which]))), k)
+                # Equal vectors must tie whatever batch they are multiplied in.
+                at, which = np.nonzero(scores >= np.maximum(least, -2.0)[:, None] - 1e-12)
+                best = _best(*(np.concatenate(x) for x in zip(best, (at, scores[at, which].round(12), items[which]))), k)
             yield pa.RecordBatch.from_arrays([pa.array(ids[best[0]]), pa.array(best[2]), pa.array(best[1])], names=["query_id", "vec_id", "score"])
 
         return run

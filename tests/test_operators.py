@@ -42,10 +42,12 @@ def test_sections_and_chunks(spark):
     assert [r.section_index for r in C.marked_sections(docs).collect()] == [2]
     faq = spark.createDataFrame([(1, "Head\nQ1: a?\nA1: b.\nQ2: c?\nA2: d."), (2, "plain")], "doc_id int, text string")
     assert [(r.doc_id, r.text) for r in C.faq_entries(faq).orderBy("doc_id", "entry_index").collect()] == [
-        (1, "Head\nQ1: a?\nA1: b."), (1, "Head\nQ2: c?\nA2: d."), (2, "plain")
+        (1, "Head\n\nQ1: a?\nA1: b."), (1, "Head\n\nQ2: c?\nA2: d."), (2, "plain")
     ]
     dated = spark.createDataFrame([(1, "News\n1.2.2024 one\nmore\n3.2.2024 two"), (2, "1.2.2024 alone")], "doc_id int, text string")
-    assert [r.text for r in C.announcement_entries(dated).orderBy("section_index").collect()] == ["News\n1.2.2024 one\nmore", "News\n3.2.2024 two"]
+    assert [r.text for r in C.announcement_entries(dated).orderBy("doc_id", "entry_index").collect()] == [
+        "News\n\n1.2.2024 one\nmore", "News\n\n3.2.2024 two", "1.2.2024 alone"
+    ]
     long = "word " * 20
     chunks = C.content_chunks(C.paragraphs(spark.createDataFrame([(1, f"{long}\n\nshort\n\n{long}\n\nother {long}")], "doc_id int, text string")))
     assert sorted(r.chunk_index for r in chunks.collect()) == [0, 3]
@@ -62,6 +64,8 @@ def test_vector_search_like_brute_force(spark):
     vectors[7] = vectors[3]
     rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)] + [(999, None)], "vec_id bigint, embedding array<double>")
     found = vector_topk(rows.where("vec_id % 20 = 0"), rows, 5).orderBy("query_id", "rank").collect()
+    rounds = vector_topk(rows.where("vec_id % 20 = 0"), rows, 5, query_round=4).orderBy("query_id", "rank").collect()
+    assert rounds == found and vector_topk(rows.where("false"), rows, 5).count() == 0
     unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
     for q in range(0, 300, 20):
         best = np.lexsort((np.arange(300), -(unit @ unit[q]).round(12)))[:5]
