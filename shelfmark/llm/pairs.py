@@ -105,15 +105,17 @@ ITEM = re.compile(r"^\s*(?:[-•*]\s+|[AQ]\d*\s*[:.)]\s*)")
 
 def language(text: str) -> str:
     """zh, a language of FUNCTION_WORDS, another script, or '' if there is too little to tell."""
-    letters = [c for c in text if c.isalpha()]
-    if not letters:
-        return ""
-    if len(HAN.findall(text)) * 3 > len(letters):
-        return "zh"
-    if sum(not c.isascii() and ord(c) > 0x24F for c in letters) * 2 > len(letters):
-        return "other"
+    if not text.isascii():
+        letters = sum(c.isalpha() for c in text)
+        if len(HAN.findall(text)) * 3 > letters:
+            return "zh" if letters else ""
+        if sum(not c.isascii() and ord(c) > 0x24F for c in text if c.isalpha()) * 2 > letters:
+            return "other"
     words = re.findall(r"[^\W\d_]+", text.lower())
-    hits = {k: sum(w in v for w in words) for k, v in _WORDS.items()}
+    hits = dict.fromkeys(_WORDS, 0)
+    for w in words:
+        for k in _LANGUAGES_OF.get(w, ()):
+            hits[k] += 1
     best = max(hits, key=lambda k: (hits[k], k == "en"))
     if hits[best] < 2:
         return "en" if hits["en"] and len(words) > 3 else ""
@@ -121,6 +123,7 @@ def language(text: str) -> str:
 
 
 _WORDS = {k: frozenset(v.split()) for k, v in FUNCTION_WORDS.items()}
+_LANGUAGES_OF = {w: tuple(k for k, v in _WORDS.items() if w in v) for v in _WORDS.values() for w in v}
 
 
 def _masked(word: str, first: bool) -> str:
@@ -137,9 +140,10 @@ def pair_features(query: str | None, answer: str | None, snippet: str | None) ->
     bare = re.sub(r"[\W_]+", "", raw.lower())
     ta, tq, ts = TOKEN.findall(a), set(TOKEN.findall(q.lower())), set(TOKEN.findall(s.lower()))
     n = len(ta)
-    new = sum(t.lower() not in tq for t in ta) / n if n else 1.0
-    back = sum(t in {x.lower() for x in ta} for t in tq) / len(tq) if tq else 0.0
-    held = sum(t.lower() in ts for t in ta) / n if n else 0.0
+    low = [t.lower() for t in ta]
+    new = sum(t not in tq for t in low) / n if n else 1.0
+    back = len(tq.intersection(low)) / len(tq) if tq else 0.0
+    held = sum(t in ts for t in low) / n if n else 0.0
     lq, la = language(q), language(a)
     # Where the answer's last sentence stands in the evidence.
     closed = a[-1:] in tuple(CLOSE)
@@ -310,11 +314,11 @@ class DefectModel:
 
     def scored(self, labels: DataFrame) -> DataFrame:
         """`id, scores` of every label: the probability of each defect, in the order of DEFECTS."""
-        weights = self.weights
+        weights = np.ascontiguousarray(self.weights.T)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                scores = [_sigmoid(weights[:, hashed_features(*row)].sum(axis=1)) for row in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)))]
+                scores = [_sigmoid(weights[hashed_features(*row)].sum(axis=0)) for row in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)))]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.list_(pa.float64()))], names=["id", "scores"])
 
         return labels.select("id", "query", "expected_answer_text", "expected_context_snippet").mapInArrow(run, "id bigint, scores array<double>")
