@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 import weakref
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, DataFrameWriter, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -43,9 +45,32 @@ def shared_folder(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no earlier run has used."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if _scratch:
+        _scratch[-1].append(path)
+    return path
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """What is written within is deleted at the end, but for the tables that are handed to what this yields."""
+    paths: list[str] = []
+    _scratch.append(paths)
+
+    def keep(table: DataFrame) -> DataFrame:
+        paths.remove(_written[table])
+        return table
+
+    try:
+        yield keep
+    finally:
+        _scratch.pop()
+        for path in paths:
+            p, fs = _file_system(spark, path)
+            fs.delete(p, True)
+
+
+_scratch: list[list[str]] = []
 _written: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
