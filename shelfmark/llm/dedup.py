@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from shelfmark.llm.boilerplate import frame_lines
 from shelfmark.llm.fingerprints import ONE_IN, WINNOW, fingerprinted, within_distance, word_hashes
 from shelfmark.operators.registry import content_key, current_documents, key_of
-from shelfmark.session import BROADCAST_ROWS, exists, let_go, measured, new_path, save, small_or_not, written
+from shelfmark.session import BROADCAST_ROWS, exists, let_go, measured, new_path, save, scratch, small_or_not, written
 
 #: Bloom filters: bits a fingerprint, words of 64 bits in a block; a fingerprint sets one bit in each word of its block.
 BLOOM_BITS, BLOOM_WORDS = 12, 8
@@ -445,8 +445,9 @@ def repeated_deliveries(
     if not admissions:
         return spark.createDataFrame([], "document_id_a string, document_id_b string")
     places = F.create_map(*[F.lit(x) for pair in admissions.items() for x in pair])
-    told = articles(pages, registry).join(documents, "doc").withColumn("admission", places[F.col("ord.batch")])
-    told = written(told.select("doc", "ord", "hash_key", "digest", "text", "size", "fps", "places", "admission"), "articles", ["admission"])
+    with scratch(spark) as keep:  # the lines and their statistics go once the articles are written
+        told = articles(pages, registry).join(documents, "doc").withColumn("admission", places[F.col("ord.batch")])
+        told = keep(written(told.select("doc", "ord", "hash_key", "digest", "text", "size", "fps", "places", "admission"), "articles", ["admission"]))
     plain = documents.join(told.select("doc"), "doc", "left_anti").withColumn("admission", places[F.col("ord.batch")]).withColumn("digest", F.lit(None).cast("bigint"))
     plain = written(plain.select("doc", "ord", "hash_key", "digest", "admission"), "plain", ["admission"])
     out = []
