@@ -111,7 +111,7 @@ def measured(df: DataFrame, name: str, **measures: Column) -> tuple[DataFrame, d
     save(df.observe(seen, F.count(F.lit(1)).alias("n"), *[m.alias(k) for k, m in measures.items()]).write, df.sparkSession, path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     _written[out] = path
-    return out, seen.get
+    return out, {"n": 0, **(seen.get or {})}  # nothing is observed where the plan turned out empty
 
 
 def let_go(*tables: DataFrame) -> None:
