@@ -143,7 +143,7 @@ class Store:
         self.add("texts", number, texts.select("digest", "text"))
         seen = Observation()
         self.add("sketch", number, sketch(texts).observe(seen, F.count(F.lit(1)).alias("n_rows")))
-        n_fps = seen.get["n_rows"]
+        n_fps = (seen.get or {}).get("n_rows", 0)
         bits = max(0, math.ceil(math.log2(max(1, n_fps * BLOOM_BITS / (64 * BLOOM_WORDS)))))
         self.add("blooms", number, bloom_filter(self.table("sketch", [number]), bits))
         row = (number, bits, n_fps, n_documents)
@@ -378,7 +378,7 @@ def admit(delivery: DataFrame, texts: DataFrame, store: Store, n_documents: int,
     pair_limit = pairs_a_row * seen["n"]
     every = new.select("digest", "text").unionByName(store.table("texts"))
     looked_up = store.table("sketch").join(live.where("known").select("fp"), "fp", "left_semi").withColumn("old", F.lit(True))
-    if (seen["pairs"] or 0) <= 2 * pair_limit:
+    if (seen.get("pairs") or 0) <= 2 * pair_limit:
         other = live.select("fp", "digest", "place", "n", "size", F.lit(False).alias("old"))
         other = other if empty else other.unionByName(looked_up)
         near = near_texts(sharing_pairs(live, other, once=True), every)

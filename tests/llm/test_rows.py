@@ -204,6 +204,20 @@ def test_common_fingerprints_lose_no_repeat(spark):
     assert {(r.document_id_a, r.document_id_b) for r in found.collect()} == pairs and accepted == [0, 1]
 
 
+def test_a_batch_of_repeats_only(spark):
+    text = " ".join(f"word{k}" for k in range(30))
+    rows = [(1, "a", T0), (2, "b", T0), (2, "c", T0), (2, "c", T0), (3, "d", None), (None, "e", None), (3, None, T0)]
+    registry = [(d, h, "http://s.example/", "completed", 1, T0, T0) for d, h in (("a", "h1"), ("b", None), ("c", "H1"), ("d", " "), ("e", None))]
+    pages = [("a:v1:s0:c0:h", text), ("b:v1:s0:c0:h", text.upper()), ("c:v1:s0:c0:h", None), ("d:v1:s0:c0:h", "")]
+    found = repeated_deliveries(
+        spark.createDataFrame(rows, "batch_no int, document_id string, received_at timestamp_ntz"),
+        spark.createDataFrame(registry, "document_id string, content_hash string, source_url string, status string, version int, uploaded_at timestamp_ntz, updated_at timestamp_ntz"),
+        spark.createDataFrame(pages, "node_id string, text string"),
+        gather=0,
+    )
+    assert sorted(map(tuple, found.collect())) == [("a", "b"), ("a", "c")]
+
+
 def test_no_deliveries(spark):
     frames, _ = deliveries(spark, 9)
     assert repeated_deliveries(frames[0].where("false"), frames[1].where("false"), frames[2].where("false")).count() == 0
