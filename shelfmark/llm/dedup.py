@@ -2,25 +2,25 @@
 
 What is accepted lives in a store at a path: winnowed content fingerprints, the texts behind
 them, and partitioned Bloom filters. Each delivery is one admission: its fingerprints are screened
-against the filters, only what passes is looked up in the store, pairs that share enough are
-verified word by word, the order of delivery decides what is accepted, and store and filters are
-extended by that. An admission reads the texts of its own delivery and of its candidates; history
-is never framed, fingerprinted or compared again.
+against the filters, texts that pass are compared with the store's texts of about their size, pairs
+that share enough are verified word by word, the order of delivery decides what is accepted, and
+store and filters are extended by that. History is never framed or fingerprinted again.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import reduce
+from functools import cache, reduce
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.llm.boilerplate import frame_lines
-from shelfmark.llm.fingerprints import ONE_IN, WINNOW, fingerprinted, within_distance, word_hashes
+from shelfmark.llm.fingerprints import BAG, ONE_IN, WINNOW, described, within_distance, word_hashes
 from shelfmark.operators.registry import content_key, current_documents, key_of
 from shelfmark.session import BROADCAST_ROWS, exists, let_go, measured, new_path, save, scratch, small_or_not, written
 
@@ -29,15 +29,17 @@ BLOOM_BITS, BLOOM_WORDS = 12, 8
 #: Near texts share a tenth of the fingerprints of the one that has fewer at least: at a distance of
 #: exactly one word in ten they share 39 % in the mean, and no less than this in the trials of the tests.
 COVERAGE = 0.10
-#: Pairs for each of its fingerprints that a delivery may give among its own texts before leaders are settled first.
+#: Pairs for each of its fingerprints (in a cell: of its texts) that a delivery may give before leaders are settled first.
 PAIRS_A_ROW = 100
+#: Words in the texts of one block of a size class, and postings that are looked at together.
+CELL_WORDS, POSTINGS = 6_000_000, 1_000_000
 #: Documents and links that are settled in one task; beyond that they are settled in rounds.
 TASK_ROWS = 200_000
 #: Batches that come at once are admitted together until they have this share of what the store holds: an
 #: admission has a cost of its own, so a hundred small ones in a row would cost more than their rows.
 GATHER = 0.25
 
-TEXT_SCHEMA = "doc string, text string, digest bigint, size int, fps array<bigint>, places array<int>"
+TEXT_SCHEMA = "doc string, text string, digest bigint, size int, fps array<bigint>, places array<int>, bag binary"
 ORD = "struct<batch:int,time:bigint,doc:string>"
 DOCUMENT_SCHEMA = "doc string, hash_key string, digest bigint, accepted boolean, repeats array<string>"
 
@@ -60,11 +62,11 @@ def with_fingerprints(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = fingerprinted([t or "" for t in batch.column(1).to_pylist()])
-            digests, sizes, fps, places = zip(*found) if found else ((), (), (), ())
+            found = described([t or "" for t in batch.column(1).to_pylist()])
+            digests, sizes, fps, places, bags = zip(*found) if found else ((), (), (), (), ())
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:2], pa.array(digests, pa.int64()), pa.array(sizes, pa.int32()), pa.array(fps, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32()))],
-                names=["doc", "text", "digest", "size", "fps", "places"],
+                [*batch.columns[:2], pa.array(digests, pa.int64()), pa.array(sizes, pa.int32()), pa.array(fps, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32())), pa.array(bags, pa.binary())],
+                names=["doc", "text", "digest", "size", "fps", "places", "bag"],
             )
 
     return texts.select("doc", "text").mapInArrow(run, TEXT_SCHEMA)
@@ -93,15 +95,14 @@ class Store:
     """What has been accepted, as tables below one path that only grow; opening the path again continues it.
 
     documents: doc, hash_key, digest of all delivered documents, whether accepted, and the accepted ones of
-    the same delivery it repeats. sketch: fp, digest, place, n, size (n
-    fingerprints in all). texts: digest, text. blooms: bits, block, w0 ... w7, a filter of 2 ** bits blocks for each delivery. Each delivery
+    the same delivery it repeats. sketch: digest, size, fps, places, bag of each accepted text. texts: digest, text. blooms: bits, block, w0 ... w7, a filter of 2 ** bits blocks for each delivery. Each delivery
     adds a folder to every table and, when all are there, its row to `deliveries`; what a lost driver
     left half written has no row, isn't read, and is written anew.
     """
 
     SCHEMAS = {
         "documents": DOCUMENT_SCHEMA,
-        "sketch": "fp bigint, digest bigint, place int, n int, size int",
+        "sketch": "digest bigint, size int, fps array<bigint>, places array<int>, bag binary",
         "texts": "digest bigint, text string",
         "blooms": "block bigint, " + ", ".join(f"w{i} bigint" for i in range(BLOOM_WORDS)),
         "deliveries": "delivery int, bits int, n_fps bigint, n_documents bigint",
@@ -142,10 +143,11 @@ class Store:
         texts = texts.join(F.broadcast(taken) if n_documents <= BROADCAST_ROWS else taken, "digest", "left_semi")
         self.add("texts", number, texts.select("digest", "text"))
         seen = Observation()
-        self.add("sketch", number, sketch(texts).observe(seen, F.count(F.lit(1)).alias("n_rows")))
-        n_fps = (seen.get or {}).get("n_rows", 0)
+        kept = [c.split()[0] for c in self.SCHEMAS["sketch"].split(", ") if c.split()[0] in texts.columns]
+        self.add("sketch", number, texts.select(*kept).observe(seen, F.sum(F.size("fps")).alias("n_fps")))
+        n_fps = (seen.get or {}).get("n_fps") or 0
         bits = max(0, math.ceil(math.log2(max(1, n_fps * BLOOM_BITS / (64 * BLOOM_WORDS)))))
-        self.add("blooms", number, bloom_filter(self.table("sketch", [number]), bits))
+        self.add("blooms", number, bloom_filter(self.table("sketch", [number]).select(F.explode("fps").alias("fp")), bits))
         row = (number, bits, n_fps, n_documents)
         told = self.spark.range(1).select(*[F.lit(v).cast(t.split()[1]).alias(t.split()[0]) for v, t in zip(row, self.SCHEMAS["deliveries"].split(", "))])
         save(told.coalesce(1).write.mode("append"), self.spark, f"{self.path}/deliveries")
@@ -168,8 +170,8 @@ def bloom_filter(sketch: DataFrame, bits: int) -> DataFrame:
     return rows.groupBy("block").agg(*[F.bit_or(f"w{i}").alias(f"w{i}") for i in range(BLOOM_WORDS)])
 
 
-def screened(fps: DataFrame, store: Store) -> DataFrame:
-    """`fp` of `fps(fp)` that some filter of the store may hold (no false negatives).
+def screened(fps: DataFrame, store: Store, key: str = "fp") -> DataFrame:
+    """`fp` of `fps(fp)` that some filter of the store may hold (no false negatives), or another `key` of such rows.
 
     Filters of one size are read together, so the fingerprints are tried once for each size, of which
     there are as many as the deliveries differ in powers of two.
@@ -180,14 +182,134 @@ def screened(fps: DataFrame, store: Store) -> DataFrame:
         blooms = store.table("blooms", [d for d, _ in of_size])
         # At most 2 ** bits blocks a delivery, known from the store's own count.
         blooms = F.broadcast(blooms) if len(of_size) << bits <= TASK_ROWS else blooms
-        probe = fps.select("fp", _block(bits).alias("block"), *[m.alias(f"m{i}") for i, m in enumerate(_masks())])
+        probe = fps.select(key, _block(bits).alias("block"), *[m.alias(f"m{i}") for i, m in enumerate(_masks())])
         held = reduce(lambda a, b: a & b, [F.col(f"w{i}").bitwiseAND(F.col(f"m{i}")) == F.col(f"m{i}") for i in range(BLOOM_WORDS)])
-        parts.append(probe.join(blooms, "block").where(held).select("fp"))
+        parts.append(probe.join(blooms, "block").where(held).select(key))
     if not parts:
-        return fps.where("false").select("fp")
+        return fps.where("false").select(key)
     return reduce(DataFrame.unionByName, parts).distinct()
 
 
+@cache
+def size_classes(most: int) -> np.ndarray:
+    """Where classes of sizes begin, up to `most`: near texts stand in one class or in two that follow each other."""
+    bounds = [1]
+    while bounds[-1] <= most:
+        n = bounds[-1]
+        n += (n - 1) // (ONE_IN - 1)  # the first whose nearest shorter texts all reach the last bound
+        while n - n // ONE_IN < bounds[-1]:
+            n += 1
+        bounds.append(max(n, bounds[-1] + 1))
+    return np.array(bounds)
+
+
+def class_of(sizes: np.ndarray | list[int]) -> np.ndarray:
+    most = int(max(sizes, default=1))
+    return np.searchsorted(size_classes(1 << most.bit_length()), sizes, "right")
+
+
+CELL_SCHEMA = "cell bigint, side int, home boolean, old boolean, digest bigint, size int, fps binary, places binary, bag binary"
+CELL_TYPES = [pa.int64(), pa.int32(), pa.bool_(), pa.bool_(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+
+
+def in_cells(texts: DataFrame, blocks: dict[int, int]) -> DataFrame:
+    """CELL_SCHEMA of `texts(digest, size, fps, places, bag, old)`: each text in the cells of its size class and of the next.
+
+    A cell is a class, or two of its `blocks` where it is too large for a task; classes without blocks are left out.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            digests, sizes, old = (batch.column(i).to_pylist() for i in (0, 1, 5))
+            fps, places, bags = batch.column(2), batch.column(3), batch.column(4).to_pylist()
+            at, keys = fps.offsets.to_numpy(), fps.values.to_numpy().view(np.uint64)
+            fps = (keys >> np.uint64(32)).astype(np.uint32)
+            places = places.values.to_numpy()
+            # Places beyond the range are like those of fingerprints that stand in a text twice: anywhere.
+            places = np.where((places < 0) | (places > 65534), 65535, places).astype(np.uint16)
+            rows = []
+            for k, c in enumerate(class_of(sizes).tolist()):
+                a, b = at[k], at[k + 1]
+                told = (old[k], digests[k], sizes[k], fps[a:b].tobytes(), places[a:b].tobytes(), bags[k])
+                for home, where in ((True, c), (False, c + 1)):
+                    n = blocks.get(where, 0)
+                    own = digests[k] % max(n, 1)
+                    rows += [((where << 40) + (min(own, j) << 20) + max(own, j), int(own > j), home, *told) for j in range(n)]
+            columns = zip(*rows) if rows else [()] * len(CELL_TYPES)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, CELL_TYPES)], names=[c.split()[0] for c in CELL_SCHEMA.split(", ")])
+
+    return texts.select("digest", "size", "fps", "places", "bag", "old").mapInArrow(run, CELL_SCHEMA)
+
+
+def sharing_in_cell(cell: pa.Table, pairs_a_text: float) -> pa.Table:
+    """`x, y`: the pairs of one cell that share COVERAGE of their fingerprints at nearly the same place and whose bags
+    differ by no more words than near texts do; one pair of nulls if there are more than `pairs_a_text` for each new text.
+
+    Of each text a few of the commonest fingerprints, half of the least share, are not looked up, and pairs need
+    so many less. Only pairs with a new text, and of two blocks in a cell only those across them, are told.
+    """
+    key, side, home, old, digest, size = (cell.column(i).to_numpy() for i in range(6))
+    fps, places, bags = (cell.column(i).to_pylist() for i in (6, 7, 8))
+    n = np.array([len(f) // 4 for f in fps], dtype=np.int64)
+    rank = np.lexsort((digest, n))
+    side, home, old, digest, size, n = (v[rank] for v in (side, home, old, digest, size, n))
+    fp = np.frombuffer(b"".join([fps[k] for k in rank]), dtype=np.uint32).astype(np.uint64)
+    place = np.frombuffer(b"".join([places[k] for k in rank]), dtype=np.uint16).astype(np.int32)
+    bag = np.frombuffer(b"".join([bags[k] or b"" for k in rank]), dtype=np.uint8)
+    bag = bag.reshape(-1, BAG) if len(bag) == BAG * len(n) else None
+    across = ((int(key[0]) >> 20) ^ int(key[0])) & 0xFFFFF
+    owner = np.repeat(np.arange(len(n)), n)
+    # A pair is looked for from the text with fewer fingerprints; ones of the store look for new ones only.
+    keys = (fp << np.uint64(32)) | owner.astype(np.uint64)
+    order = np.argsort(keys)
+    keys, owner, place = keys[order], owner[order], place[order]
+    ends = keys | np.uint64(0xFFFFFFFF)
+    fresh = np.flatnonzero(~old[owner])
+    new_keys, is_old = keys[fresh], old[owner]
+    begin = np.where(is_old, np.searchsorted(new_keys, keys, "right"), np.arange(1, len(keys) + 1))
+    end = np.where(is_old, np.searchsorted(new_keys, ends, "right"), np.searchsorted(keys, ends, "right"))
+    hits = end - begin
+    skipped = (n * (COVERAGE / 2)).astype(np.int64)
+    by_text = np.lexsort((-hits, owner))  # the entries of each text, commonest first
+    starts = np.concatenate(([0], np.cumsum(n)))
+    use = by_text[np.arange(len(keys)) - starts[owner[by_text]] >= skipped[owner[by_text]]]
+    use = use[hits[use] > 0]
+    found, total = [], 0
+    limit = pairs_a_text * int((~old).sum())
+    texts = owner[use]
+    looked = np.cumsum(np.bincount(texts, hits[use], len(n)))
+    last = 0
+    while last < len(n):  # whole texts at a time, so that counts are whole
+        first, last = last, max(last + 1, int(np.searchsorted(looked, (looked[last - 1] if last else 0) + POSTINGS, "right")))
+        e = use[slice(*np.searchsorted(texts, [first, last]))]
+        times = hits[e]
+        to = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times - begin[e], times)
+        e = np.repeat(e, times)
+        if len(fresh):
+            to = np.where(is_old[e], fresh[np.minimum(to, len(fresh) - 1)], to)
+        x, y = owner[e], owner[to]
+        most = np.maximum(size[x], size[y]) // ONE_IN
+        px, py = place[e], place[to]
+        ok = (np.abs(size[x] - size[y]) <= most) & ((np.abs(px - py) <= most + WINNOW) | (np.maximum(px, py) == 65535))
+        pair, shared = np.unique(x[ok] * len(n) + y[ok], return_counts=True)
+        x, y = pair // len(n), pair % len(n)
+        ok = (shared >= COVERAGE * n[x] - skipped[x]) & (home[x] | home[y]) & ~(old[x] & old[y]) & (digest[x] != digest[y])
+        if across:
+            ok &= side[x] != side[y]
+        x, y = x[ok], y[ok]
+        if bag is not None:
+            # A word that is replaced leaves one count and enters another.
+            gap = bag[x].astype(np.int16) - bag[y]
+            ok = np.maximum(np.maximum(gap, 0).sum(1), np.maximum(-gap, 0).sum(1)) <= np.maximum(size[x], size[y]) // ONE_IN
+            x, y = x[ok], y[ok]
+        total += len(x)
+        if total > limit:
+            return pa.table({"x": pa.array([None], pa.int64()), "y": pa.array([None], pa.int64())})
+        found.append((digest[x], digest[y]))
+    x, y = (np.concatenate(v) if found else np.zeros(0, dtype=np.int64) for v in (zip(*found) if found else ((), ())))
+    return pa.table({"x": pa.array(x, pa.int64()), "y": pa.array(y, pa.int64())})
+
+
 def sharing_pairs(x: DataFrame, y: DataFrame, once: bool = False) -> DataFrame:
     """`x, y`: texts of `x` and other texts of `y` (fp, digest, place, n, size) that share COVERAGE of their fingerprints.
 
@@ -356,6 +478,46 @@ def settled_in_rounds(delivery: DataFrame, near: DataFrame) -> DataFrame:
     return out.select("doc", "hash_key", "digest", F.col("accepted").isNotNull().alias("accepted"), F.coalesce("repeats", none).alias("repeats"))
 
 
+def candidates(new: DataFrame, known: DataFrame | None, store: Store, pairs_a_text: float) -> DataFrame:
+    """`x, y`: what `sharing_in_cell` tells of new texts with each other and with the store's texts of the sizes
+    that texts of `known(digest)` can be near to; other sizes of the store are not read."""
+    loads = lambda rows: {int(r[0]): r[1] for r in rows.where("size > 0").groupBy("size").count().collect()}  # noqa: E731 - one row a size
+    mine = loads(new)
+    held = {} if known is None else loads(new.join(known, "digest", "left_semi"))
+    reached = {int(c) + k for c in class_of(list(held)) for k in (-1, 0, 1)} if held else set()
+    kept = ["digest", "size", "fps", "places", "bag"]
+    rows, words = new.where("size > 0").select(*kept, F.lit(False).alias("old")), dict(mine)
+    if reached:
+        bounds = size_classes(2 << max(held).bit_length()).tolist()
+        low, high = bounds[max(0, min(reached) - 1)], bounds[min(max(reached), len(bounds) - 1)]
+        theirs = store.table("sketch").where(F.col("size").between(low, high))
+        for size, n in loads(theirs).items():
+            words[size] = words.get(size, 0) + n
+        rows = rows.unionByName(theirs.select(*kept, F.lit(True).alias("old")))
+    load: dict[int, int] = {}
+    for size, c in zip(words, class_of(list(words)).tolist()):
+        for where in (c, c + 1):
+            load[where] = load.get(where, 0) + size * words[size]
+    asked = {c + k for c in class_of(list(mine)).tolist() for k in (0, 1)}
+    blocks = {c: -(-n // CELL_WORDS) for c, n in load.items() if c in asked}
+    return in_cells(rows, blocks).groupBy("cell").applyInArrow(lambda cell: sharing_in_cell(cell, pairs_a_text), "x bigint, y bigint")
+
+
+def near_by_leaders(new: DataFrame, texts: DataFrame, every: DataFrame, store: Store, pairs_a_row: float) -> tuple[DataFrame, DataFrame]:
+    """The near pairs of an admission by joins of single fingerprints, for families of near-copies; and the table they are read from."""
+    rows = sketch(new)
+    counted = rows.groupBy("fp").count()
+    known = screened(counted.select("fp"), store).withColumn("held", F.lit(True))
+    live = counted.join(known, "fp", "left").where("count > 1 or held").withColumn("known", F.col("held").isNotNull()).drop("held")
+    # Fingerprints that something else may hold.
+    live, seen = measured(rows.join(live, "fp"), "live")
+    parts = near_in_delivery(live.where("count > 1").drop("known", "count"), texts.select("digest", "ord"), every, pairs_a_row * seen["n"])
+    if store.deliveries:
+        looked_up = sketch(store.table("sketch")).join(live.where("known").select("fp").distinct(), "fp", "left_semi").withColumn("old", F.lit(True))
+        parts.append(near_texts(sharing_pairs(live.where("known"), looked_up), every))
+    return reduce(DataFrame.unionByName, parts), live
+
+
 def admit(delivery: DataFrame, texts: DataFrame, store: Store, n_documents: int, pairs_a_row: float = PAIRS_A_ROW, task_rows: int = TASK_ROWS) -> DataFrame:
     """Pairs of a delivery of `n_documents` new documents; the store is extended by those that are accepted.
 
@@ -366,27 +528,17 @@ def admit(delivery: DataFrame, texts: DataFrame, store: Store, n_documents: int,
     empty, number = not store.deliveries, store.next()
     old = store.accepted()
     new = texts if empty else texts.join(old.select("digest"), "digest", "left_anti")
-    rows = sketch(new)
-    counted = rows.groupBy("fp").count()
-    if empty:
-        live = counted.where("count > 1").withColumn("known", F.lit(False))
-    else:
-        known = screened(counted.select("fp"), store).withColumn("held", F.lit(True))
-        live = counted.join(known, "fp", "left").where("count > 1 or held").withColumn("known", F.col("held").isNotNull()).drop("held")
-    # Fingerprints that something else may hold; each adds its share of the pairs that it gives in the delivery.
-    live, seen = measured(rows.join(live, "fp"), "live", pairs=F.sum(F.col("count") - 1))
-    pair_limit = pairs_a_row * seen["n"]
     every = new.select("digest", "text").unionByName(store.table("texts"))
-    looked_up = store.table("sketch").join(live.where("known").select("fp"), "fp", "left_semi").withColumn("old", F.lit(True))
-    if (seen.get("pairs") or 0) <= 2 * pair_limit:
-        other = live.select("fp", "digest", "place", "n", "size", F.lit(False).alias("old"))
-        other = other if empty else other.unionByName(looked_up)
-        near = near_texts(sharing_pairs(live, other, once=True), every)
+    # Texts without a fingerprint that the store may hold are not compared with it.
+    known = None if empty else small_or_not(screened(new.select("digest", F.explode("fps").alias("fp")), store, "digest"), "known")
+    pairs, seen = measured(candidates(new, known, store, pairs_a_row), "pairs", over=F.count_if(F.col("x").isNull()))
+    if not seen.get("over"):
+        if seen["n"] <= BROADCAST_ROWS:
+            wanted = pairs.select(F.explode(F.array("x", "y")).alias("digest")).distinct()
+            every = every.join(F.broadcast(wanted), "digest", "left_semi")
+        near, live = near_texts(pairs, every), None
     else:
-        parts = near_in_delivery(live.where("count > 1").drop("known", "count"), texts.select("digest", "ord"), every, pair_limit)
-        if not empty:
-            parts.append(near_texts(sharing_pairs(live.where("known"), looked_up), every))
-        near = reduce(DataFrame.unionByName, parts)
+        near, live = near_by_leaders(new, texts, every, store, pairs_a_row)
     near, seen = measured(both_ways(near), "near")
 
     if empty:
@@ -405,7 +557,7 @@ def admit(delivery: DataFrame, texts: DataFrame, store: Store, n_documents: int,
     store.extend(number, n_documents, told.where("accepted"), texts)
     found = told.select("doc", F.explode("repeats").alias("a"))
     found = found if held is None else found.unionByName(held)
-    let_go(live, near)
+    let_go(pairs, near, *[t for t in (known, live) if t is not None])
     # The cleaner frees what this delivery broadcast once the driver's references are collected.
     store.spark._jvm.System.gc()
     return found.select(F.least("doc", "a").alias("document_id_a"), F.greatest("doc", "a").alias("document_id_b"))
@@ -447,7 +599,7 @@ def repeated_deliveries(
     places = F.create_map(*[F.lit(x) for pair in admissions.items() for x in pair])
     with scratch(spark) as keep:  # the lines and their statistics go once the articles are written
         told = articles(pages, registry).join(documents, "doc").withColumn("admission", places[F.col("ord.batch")])
-        told = keep(written(told.select("doc", "ord", "hash_key", "digest", "text", "size", "fps", "places", "admission"), "articles", ["admission"]))
+        told = keep(written(told.select("doc", "ord", "hash_key", "digest", "text", "size", "fps", "places", "bag", "admission"), "articles", ["admission"]))
     plain = documents.join(told.select("doc"), "doc", "left_anti").withColumn("admission", places[F.col("ord.batch")]).withColumn("digest", F.lit(None).cast("bigint"))
     plain = written(plain.select("doc", "ord", "hash_key", "digest", "admission"), "plain", ["admission"])
     out = []
@@ -458,5 +610,5 @@ def repeated_deliveries(
         firsts = mine.where("digest is not null").groupBy("digest").agg(F.min("ord").alias("ord")).select(F.col("ord.doc").alias("doc"))
         texts = mine.join(F.broadcast(firsts) if n_documents <= BROADCAST_ROWS else firsts, "doc", "left_semi")
         delivery = mine.select("doc", "ord", "hash_key", "digest").unionByName(plain.where(F.col("admission") == number).drop("admission"))
-        out.append(admit(delivery, texts.select("digest", "ord", "text", "size", "fps", "places"), store, n_documents, pairs_a_row, task_rows))
+        out.append(admit(delivery, texts.select("digest", "ord", "text", "size", "fps", "places", "bag"), store, n_documents, pairs_a_row, task_rows))
     return reduce(DataFrame.unionByName, out)

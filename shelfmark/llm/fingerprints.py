@@ -21,8 +21,12 @@ ONE_IN = 10
 #: Texts of fewer words keep every shingle as a fingerprint. In longer ones a fingerprint is two winnowed
 #: shingles that follow each other, which single phrases of a template seldom share.
 SHORT = 101
+#: Texts of so many words keep single shingles beside the pairs: they may be near texts below SHORT.
+MIXED = SHORT + SHORT // (ONE_IN - 1)
 #: Characters hashed at once.
 GROUP = 400_000
+#: Counts of words by hash in the bag of a text.
+BAG = 128
 
 # Blocks of Chinese characters, each of which is a word.
 HAN = ((0x3400, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x2FFFF))
@@ -90,7 +94,12 @@ def fingerprinted(texts: list[str]) -> list[Fingerprinted]:
 
     The digest of no words is null; the place of a shingle that stands in a text twice is -1.
     """
-    out: list[Fingerprinted] = []
+    return [told[:4] for told in described(texts)]
+
+
+def described(texts: list[str]) -> list[tuple[int | None, int, np.ndarray, np.ndarray, bytes]]:
+    """What `fingerprinted` gives and the bag of each text: BAG counts of its words by hash, up to 255."""
+    out: list[tuple] = []
     group: list[str] = []
     held = 0
     for k, text in enumerate(texts):
@@ -102,7 +111,7 @@ def fingerprinted(texts: list[str]) -> list[Fingerprinted]:
     return out
 
 
-def _fingerprinted(texts: list[str]) -> list[Fingerprinted]:
+def _fingerprinted(texts: list[str]) -> list[tuple]:
     words, offsets = word_hashes(texts)
     shingles = _rolled(words)
     least = shingles
@@ -112,20 +121,23 @@ def _fingerprinted(texts: list[str]) -> list[Fingerprinted]:
     for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
         n = b - a
         if not n:
-            out.append((None, 0, shingles[:0], np.zeros(0, dtype=np.int32)))
+            out.append((None, 0, shingles[:0], np.zeros(0, dtype=np.int32), bytes(BAG)))
             continue
         digest = xxhash.xxh64_intdigest(words[a:b].tobytes()) - (1 << 63)
         every = shingles[a : b - SHINGLE + 1] if n >= SHINGLE else _rolled(words[a:b])
         at = np.arange(len(every))
         if n >= SHORT:
             window = least[a : b - SHINGLE - WINNOW + 2]
+            single = every if n < MIXED else every[:0]
             at = np.flatnonzero(np.concatenate(([True], window[1:] != window[:-1])))
             chosen = window[at].view(np.uint64)
             with np.errstate(over="ignore"):
                 every = ((chosen[:-1] * np.uint64(0x9E3779B97F4A7C15) ^ chosen[1:]) * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64)
+            every, at = np.concatenate((every, single)), np.concatenate((at[:-1], np.arange(len(single))))
         own, first, times = np.unique(every, return_index=True, return_counts=True)
         places = np.where(times > 1, -1, at[first]).astype(np.int32)
-        out.append((digest, n, own, places))
+        bag = np.minimum(np.bincount((words[a:b] >> np.uint64(40)).astype(np.int64) % BAG, minlength=BAG), 255).astype(np.uint8)
+        out.append((digest, n, own, places, bag.tobytes()))
     return out
 
 
