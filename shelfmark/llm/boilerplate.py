@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.llm.canonical import LOOK_ALIKES
 from shelfmark.operators.registry import document_of, document_sites
-from shelfmark.session import small_or_not, written
+from shelfmark.session import let_go, small_or_not, written
 
 #: A line form is the site's own from so many different pages on.
 MIN_PAGES = 4
@@ -90,10 +90,10 @@ def line_paths(line: str) -> tuple[str, str, str, str]:
 
 LINE_SCHEMA = (
     "node_id string, doc string, chunk_index int, line_no int, blank boolean, mark string, form bigint, whole bigint, "
-    "lead bigint, linkish boolean, sure boolean, length int, punctuation int, line string, context bigint"
+    "lead bigint, linkish boolean, sure boolean, length int, punctuation int, line string, context bigint, site bigint"
 )
 LINE_TYPES = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
-LINE_TYPES += [pa.bool_(), pa.bool_(), pa.int32(), pa.int32(), pa.string(), pa.int64()]
+LINE_TYPES += [pa.bool_(), pa.bool_(), pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()]
 #: A link is shorter than this.
 LINK_LENGTH = 140
 _INDEX = re.compile(r":s(\d+):c(\d+):")
@@ -112,15 +112,18 @@ def _told(raw: str) -> tuple:
     mark, exact, whole, lead = line_paths(line)
     row = lead.startswith("rows/")
     # A row of links whose words differ on every page has its opening as its path.
-    opening = next((x for x in LINK_LEADS if line.startswith(x) or exact.startswith(x)), None)
+    opening = None
+    if line.startswith(LINK_LEADS) or exact.startswith(LINK_LEADS):
+        opening = next(x for x in LINK_LEADS if line.startswith(x) or exact.startswith(x))
     lead = f"rows/{opening}" if opening else lead
     sure = opening is not None or row and lead[5:].strip() in HOME_LEADS
     linkish = not row and len(line) < LINK_LENGTH and not exact.startswith("#") and not SENTENCE_END.search(line)
     return (False, mark, _hash(exact), _hash(whole), _hash(lead), linkish, sure, len(line), len(PUNCTUATION.findall(line)))
 
 
-def page_lines(pages: DataFrame, with_text: bool = False) -> DataFrame:
-    """Every line of `pages(node_id, text)` with its paths as hashes; null texts have none.
+def page_lines(pages: DataFrame, sites: DataFrame, with_text: bool = False) -> DataFrame:
+    """Every line of `pages(node_id, text)` with its paths as hashes and the site of its document in
+    `sites(document_id, site)`, 0 for none; null texts have no lines.
 
     The context is the chunk's longest line: copies of a page share it and count once. The line
     itself is null unless asked for.
@@ -131,7 +134,7 @@ def page_lines(pages: DataFrame, with_text: bool = False) -> DataFrame:
         seen: dict[str, tuple] = {}
         for batch in batches:
             rows: list[tuple] = []
-            for node, doc, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for node, doc, text, site in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 if text is None:
                     continue
                 m = _INDEX.search(node or "")
@@ -146,14 +149,15 @@ def page_lines(pages: DataFrame, with_text: bool = False) -> DataFrame:
                             if len(seen) > 50_000:
                                 seen.clear()
                             seen[raw] = known
-                    rows.append((node, doc, index, k, *known, raw if with_text else None, context))
+                    rows.append((node, doc, index, k, *known, raw if with_text else None, context, site))
             columns = zip(*rows) if rows else [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, LINE_TYPES)], names=names)
 
     picked = pages.select(
         "node_id", document_of(F.col("node_id")).alias("doc"), F.col("text").cast("string").alias("text")
     )
-    return picked.mapInArrow(run, LINE_SCHEMA)
+    picked = picked.join(sites, picked.doc == sites.document_id, "left")
+    return picked.select("node_id", "doc", "text", F.coalesce("site", F.lit(0).cast("bigint")).alias("site")).mapInArrow(run, LINE_SCHEMA)
 
 
 def _ratio(share: F.Column, content: F.Column) -> F.Column:
@@ -170,12 +174,10 @@ def frame_lines(pages: DataFrame, registry: DataFrame, with_text: bool = False)
     before they are shuffled; a hot site or line is only ever counted. The window orders the
     lines of one document, never those of a site.
     """
-    sites = document_sites(registry).select("document_id", F.xxhash64("site").alias("site"))
-    lines = page_lines(pages, with_text)
+    sites = small_or_not(document_sites(registry).select("document_id", F.xxhash64("site").alias("site")), "sites")
+    lines = page_lines(pages, sites, with_text)
     lines = lines if with_text else lines.drop("line")
-    lines = lines.join(sites, lines.doc == sites.document_id, "left").drop("document_id")
-    lines = lines.withColumn("site", F.coalesce("site", F.lit(0).cast("bigint")))
-    lines = written(lines.withColumn("key", F.xxhash64("site", "form")), "frame")
+    lines = written(lines.withColumn("key", F.xxhash64("site", "form")), "frame", codec="zstd")
     told = lines.where("not blank")
 
     # The most specific path is a line's form within its site. Its pages are told apart by context; they
@@ -191,6 +193,7 @@ def frame_lines(pages: DataFrame, registry: DataFrame, with_text: bool = False)
     shared = forms.groupBy("form").agg(F.sum("count").alias("pages"), F.count("*").alias("sites"))
     shared = shared.where((F.col("pages") >= 2 * MIN_PAGES) & (F.col("sites") >= 2)).select(F.col("form").alias("shared_form"))
     shared = small_or_not(shared, "shared")
+    let_go(forms, sites)
     lines = lines.join(own, lines.key == own.own_key, "left").join(shared, lines.form == shared.shared_form, "left")
     # What speaks for the frame: the line is repeated, or opens like a row of links.
     lines = lines.withColumn("own", F.col("own_key").isNotNull() | F.col("shared_form").isNotNull() | F.col("sure"))
@@ -220,9 +223,10 @@ def frame_lines(pages: DataFrame, registry: DataFrame, with_text: bool = False)
         judged = judged.join(frame_paths.withColumnRenamed("path", found), F.col(column) == F.col(found), "left")
     base = ~F.col("blank") & (F.col("own_key").isNotNull() | F.col("w_path").isNotNull() | F.col("l_path").isNotNull())
     judged = judged.select("doc", "node_id", "chunk_index", "line_no", "blank", "mark", "whole", "linkish", base.alias("base"), *["line"] * with_text)
-    judged = judged.repartition("doc").dropDuplicates(["doc", "node_id", "line_no"])
-
     order = W.partitionBy("doc").orderBy("chunk_index", "node_id", "line_no")
+    # Doubled rows stand beside each other in this order.
+    place = F.struct("node_id", "line_no")
+    judged = judged.withColumn("last", F.lag(place).over(order)).where(~place.eqNullSafe(F.col("last"))).drop("last")
     link = F.col("linkish") & ~F.col("base")
     judged = judged.withColumns(
         {"link": link, "next": F.lead(link, 1, False).over(order), "next2": F.lead(link, 2, False).over(order)}

@@ -599,7 +599,7 @@ def repeated_deliveries(
     places = F.create_map(*[F.lit(x) for pair in admissions.items() for x in pair])
     with scratch(spark) as keep:  # the lines and their statistics go once the articles are written
         told = articles(pages, registry).join(documents, "doc").withColumn("admission", places[F.col("ord.batch")])
-        told = keep(written(told.select("doc", "ord", "hash_key", "digest", "text", "size", "fps", "places", "bag", "admission"), "articles", ["admission"]))
+        told = keep(written(told.select("doc", "ord", "hash_key", "digest", "text", "size", "fps", "places", "bag", "admission"), "articles", ["admission"], "zstd"))
     plain = documents.join(told.select("doc"), "doc", "left_anti").withColumn("admission", places[F.col("ord.batch")]).withColumn("digest", F.lit(None).cast("bigint"))
     plain = written(plain.select("doc", "ord", "hash_key", "digest", "admission"), "plain", ["admission"])
     out = []

@@ -87,7 +87,7 @@ def save(writer: DataFrameWriter, spark: SparkSession, path: str) -> None:
             spark.conf.set(CLEANUP, before)
 
 
-def written(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+def written(df: DataFrame, name: str, partition_by: list[str] | None = None, codec: str | None = None) -> DataFrame:
     """The same rows, from a table written in the shared folder.
 
     Cuts the lineage and survives lost executors. The schema is given to the reader,
@@ -98,6 +98,8 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     writer = df.write.mode("errorifexists")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
+    if codec:
+        writer = writer.option("compression", codec)
     save(writer, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     _written[out] = path
