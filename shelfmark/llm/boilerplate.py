@@ -54,7 +54,7 @@ _LATIN = re.compile(r"[a-zA-Z]")
 def plain_line(line: str) -> str:
     """A line in compatibility form, without invisible characters and look-alikes in Latin words."""
     if line.isascii():
-        return _SPACE.sub(" ", line).strip()
+        return " ".join(line.split())
     line = unicodedata.normalize("NFKC", line)
     if ODD.search(line):
         line = " ".join([w.translate(_PLAIN) if _LATIN.search(w) else w for w in line.split(" ")])
@@ -77,7 +77,7 @@ def line_paths(line: str) -> tuple[str, str, str, str]:
     words = exact.split()
     if not line.isupper():
         originals = line.split()
-        words = ["#" if k and o[:1].isupper() else w for k, (o, w) in enumerate(zip(originals, words))]
+        words = words[:1] + ["#" if o[0].isupper() else w for o, w in zip(originals[1:], words[1:])]
         if words[1:2] == ["#"] and originals[0][:1].isupper():  # a name that opens the line
             words[0] = "#"
         words = [w for k, w in enumerate(words) if w != "#" or not k or words[k - 1] != "#"]

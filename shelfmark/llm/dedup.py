@@ -39,7 +39,10 @@ TASK_ROWS = 200_000
 #: admission has a cost of its own, so a hundred small ones in a row would cost more than their rows.
 GATHER = 0.25
 
-TEXT_SCHEMA = "doc string, text string, digest bigint, size int, fps array<bigint>, places array<int>, bag binary"
+#: Fingerprints of a text that are tried before all others.
+FIRST = 8
+
+TEXT_SCHEMA = "doc string, text string, digest bigint, size int, fps array<bigint>, places array<int>, packed binary"
 ORD = "struct<batch:int,time:bigint,doc:string>"
 DOCUMENT_SCHEMA = "doc string, hash_key string, digest bigint, accepted boolean, repeats array<string>"
 
@@ -63,10 +66,10 @@ def with_fingerprints(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = described([t or "" for t in batch.column(1).to_pylist()])
-            digests, sizes, fps, places, bags = zip(*found) if found else ((), (), (), (), ())
+            digests, sizes, fps, places, packed = zip(*found) if found else ((), (), (), (), ())
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:2], pa.array(digests, pa.int64()), pa.array(sizes, pa.int32()), pa.array(fps, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32())), pa.array(bags, pa.binary())],
-                names=["doc", "text", "digest", "size", "fps", "places", "bag"],
+                [*batch.columns[:2], pa.array(digests, pa.int64()), pa.array(sizes, pa.int32()), pa.array(fps, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32())), pa.array(packed, pa.binary())],
+                names=["doc", "text", "digest", "size", "fps", "places", "packed"],
             )
 
     return texts.select("doc", "text").mapInArrow(run, TEXT_SCHEMA)
@@ -95,14 +98,14 @@ class Store:
     """What has been accepted, as tables below one path that only grow; opening the path again continues it.
 
     documents: doc, hash_key, digest of all delivered documents, whether accepted, and the accepted ones of
-    the same delivery it repeats. sketch: digest, size, fps, places, bag of each accepted text. texts: digest, text. blooms: bits, block, w0 ... w7, a filter of 2 ** bits blocks for each delivery. Each delivery
+    the same delivery it repeats. sketch: digest, size, fps, places, packed of each accepted text. texts: digest, text. blooms: bits, block, w0 ... w7, a filter of 2 ** bits blocks for each delivery. Each delivery
     adds a folder to every table and, when all are there, its row to `deliveries`; what a lost driver
     left half written has no row, isn't read, and is written anew.
     """
 
     SCHEMAS = {
         "documents": DOCUMENT_SCHEMA,
-        "sketch": "digest bigint, size int, fps array<bigint>, places array<int>, bag binary",
+        "sketch": "digest bigint, size int, fps array<bigint>, places array<int>, packed binary",
         "texts": "digest bigint, text string",
         "blooms": "block bigint, " + ", ".join(f"w{i} bigint" for i in range(BLOOM_WORDS)),
         "deliveries": "delivery int, bits int, n_fps bigint, n_documents bigint",
@@ -208,29 +211,22 @@ def class_of(sizes: np.ndarray | list[int]) -> np.ndarray:
     return np.searchsorted(size_classes(1 << most.bit_length()), sizes, "right")
 
 
-CELL_SCHEMA = "cell bigint, side int, home boolean, old boolean, digest bigint, size int, fps binary, places binary, bag binary"
-CELL_TYPES = [pa.int64(), pa.int32(), pa.bool_(), pa.bool_(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+CELL_SCHEMA = "cell bigint, side int, home boolean, old boolean, digest bigint, size int, packed binary"
+CELL_TYPES = [pa.int64(), pa.int32(), pa.bool_(), pa.bool_(), pa.int64(), pa.int32(), pa.binary()]
 
 
 def in_cells(texts: DataFrame, blocks: dict[int, int]) -> DataFrame:
-    """CELL_SCHEMA of `texts(digest, size, fps, places, bag, old)`: each text in the cells of its size class and of the next.
+    """CELL_SCHEMA of `texts(digest, size, packed, old)`: each text in the cells of its size class and of the next.
 
     A cell is a class, or two of its `blocks` where it is too large for a task; classes without blocks are left out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            digests, sizes, old = (batch.column(i).to_pylist() for i in (0, 1, 5))
-            fps, places, bags = batch.column(2), batch.column(3), batch.column(4).to_pylist()
-            at, keys = fps.offsets.to_numpy(), fps.values.to_numpy().view(np.uint64)
-            fps = (keys >> np.uint64(32)).astype(np.uint32)
-            places = places.values.to_numpy()
-            # Places beyond the range are like those of fingerprints that stand in a text twice: anywhere.
-            places = np.where((places < 0) | (places > 65534), 65535, places).astype(np.uint16)
+            digests, sizes, packed, old = (batch.column(i).to_pylist() for i in range(4))
             rows = []
             for k, c in enumerate(class_of(sizes).tolist()):
-                a, b = at[k], at[k + 1]
-                told = (old[k], digests[k], sizes[k], fps[a:b].tobytes(), places[a:b].tobytes(), bags[k])
+                told = (old[k], digests[k], sizes[k], packed[k])
                 for home, where in ((True, c), (False, c + 1)):
                     n = blocks.get(where, 0)
                     own = digests[k] % max(n, 1)
@@ -238,7 +234,7 @@ def in_cells(texts: DataFrame, blocks: dict[int, int]) -> DataFrame:
             columns = zip(*rows) if rows else [()] * len(CELL_TYPES)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, CELL_TYPES)], names=[c.split()[0] for c in CELL_SCHEMA.split(", ")])
 
-    return texts.select("digest", "size", "fps", "places", "bag", "old").mapInArrow(run, CELL_SCHEMA)
+    return texts.select("digest", "size", "packed", "old").mapInArrow(run, CELL_SCHEMA)
 
 
 def sharing_in_cell(cell: pa.Table, pairs_a_text: float) -> pa.Table:
@@ -249,14 +245,14 @@ def sharing_in_cell(cell: pa.Table, pairs_a_text: float) -> pa.Table:
     so many less. Only pairs with a new text, and of two blocks in a cell only those across them, are told.
     """
     key, side, home, old, digest, size = (cell.column(i).to_numpy() for i in range(6))
-    fps, places, bags = (cell.column(i).to_pylist() for i in (6, 7, 8))
-    n = np.array([len(f) // 4 for f in fps], dtype=np.int64)
+    packed = cell.column(6).to_pylist()
+    n = np.array([(len(p) - BAG) // 6 for p in packed], dtype=np.int64)
     rank = np.lexsort((digest, n))
     side, home, old, digest, size, n = (v[rank] for v in (side, home, old, digest, size, n))
-    fp = np.frombuffer(b"".join([fps[k] for k in rank]), dtype=np.uint32).astype(np.uint64)
-    place = np.frombuffer(b"".join([places[k] for k in rank]), dtype=np.uint16).astype(np.int32)
-    bag = np.frombuffer(b"".join([bags[k] or b"" for k in rank]), dtype=np.uint8)
-    bag = bag.reshape(-1, BAG) if len(bag) == BAG * len(n) else None
+    packed = [packed[k] for k in rank]
+    bag = np.frombuffer(b"".join([p[:BAG] for p in packed]), dtype=np.uint8).reshape(-1, BAG)
+    fp = np.frombuffer(b"".join([p[BAG : BAG + 4 * m] for p, m in zip(packed, n.tolist())]), dtype=np.uint32).astype(np.uint64)
+    place = np.frombuffer(b"".join([p[BAG + 4 * m :] for p, m in zip(packed, n.tolist())]), dtype=np.uint16).astype(np.int32)
     across = ((int(key[0]) >> 20) ^ int(key[0])) & 0xFFFFF
     owner = np.repeat(np.arange(len(n)), n)
     # A pair is looked for from the text with fewer fingerprints; ones of the store look for new ones only.
@@ -297,11 +293,10 @@ def sharing_in_cell(cell: pa.Table, pairs_a_text: float) -> pa.Table:
         if across:
             ok &= side[x] != side[y]
         x, y = x[ok], y[ok]
-        if bag is not None:
-            # A word that is replaced leaves one count and enters another.
-            gap = bag[x].astype(np.int16) - bag[y]
-            ok = np.maximum(np.maximum(gap, 0).sum(1), np.maximum(-gap, 0).sum(1)) <= np.maximum(size[x], size[y]) // ONE_IN
-            x, y = x[ok], y[ok]
+        # A word that is replaced leaves one count and enters another.
+        gap = bag[x].astype(np.int16) - bag[y]
+        ok = np.maximum(np.maximum(gap, 0).sum(1), np.maximum(-gap, 0).sum(1)) <= np.maximum(size[x], size[y]) // ONE_IN
+        x, y = x[ok], y[ok]
         total += len(x)
         if total > limit:
             return pa.table({"x": pa.array([None], pa.int64()), "y": pa.array([None], pa.int64())})
@@ -310,6 +305,15 @@ def sharing_in_cell(cell: pa.Table, pairs_a_text: float) -> pa.Table:
     return pa.table({"x": pa.array(x, pa.int64()), "y": pa.array(y, pa.int64())})
 
 
+def held_texts(texts: DataFrame, store: Store) -> DataFrame:
+    """`digest` of the texts with a fingerprint that some filter of the store may hold; all fingerprints are
+    tried only where none of the first FIRST is held."""
+    tried = lambda rows, fps: screened(rows.select("digest", F.explode(fps).alias("fp")), store, "digest")
+    first = small_or_not(tried(texts, F.slice("fps", 1, FIRST)), "first")
+    rest = tried(texts.join(first, "digest", "left_anti"), F.col("fps"))
+    return small_or_not(first.unionByName(rest), "known")
+
+
 def sharing_pairs(x: DataFrame, y: DataFrame, once: bool = False) -> DataFrame:
     """`x, y`: texts of `x` and other texts of `y` (fp, digest, place, n, size) that share COVERAGE of their fingerprints.
 
@@ -485,7 +489,7 @@ def candidates(new: DataFrame, known: DataFrame | None, store: Store, pairs_a_te
     mine = loads(new)
     held = {} if known is None else loads(new.join(known, "digest", "left_semi"))
     reached = {int(c) + k for c in class_of(list(held)) for k in (-1, 0, 1)} if held else set()
-    kept = ["digest", "size", "fps", "places", "bag"]
+    kept = ["digest", "size", "packed"]
     rows, words = new.where("size > 0").select(*kept, F.lit(False).alias("old")), dict(mine)
     if reached:
         bounds = size_classes(2 << max(held).bit_length()).tolist()
@@ -530,7 +534,7 @@ def admit(delivery: DataFrame, texts: DataFrame, store: Store, n_documents: int,
     new = texts if empty else texts.join(old.select("digest"), "digest", "left_anti")
     every = new.select("digest", "text").unionByName(store.table("texts"))
     # Texts without a fingerprint that the store may hold are not compared with it.
-    known = None if empty else small_or_not(screened(new.select("digest", F.explode("fps").alias("fp")), store, "digest"), "known")
+    known = None if empty else held_texts(new, store)
     pairs, seen = measured(candidates(new, known, store, pairs_a_row), "pairs", over=F.count_if(F.col("x").isNull()))
     if not seen.get("over"):
         if seen["n"] <= BROADCAST_ROWS:
@@ -599,7 +603,7 @@ def repeated_deliveries(
     places = F.create_map(*[F.lit(x) for pair in admissions.items() for x in pair])
     with scratch(spark) as keep:  # the lines and their statistics go once the articles are written
         told = articles(pages, registry).join(documents, "doc").withColumn("admission", places[F.col("ord.batch")])
-        told = keep(written(told.select("doc", "ord", "hash_key", "digest", "text", "size", "fps", "places", "bag", "admission"), "articles", ["admission"], "zstd"))
+        told = keep(written(told.select("doc", "ord", "hash_key", "digest", "text", "size", "fps", "places", "packed", "admission"), "articles", ["admission"], "zstd"))
     plain = documents.join(told.select("doc"), "doc", "left_anti").withColumn("admission", places[F.col("ord.batch")]).withColumn("digest", F.lit(None).cast("bigint"))
     plain = written(plain.select("doc", "ord", "hash_key", "digest", "admission"), "plain", ["admission"])
     out = []
@@ -610,5 +614,5 @@ def repeated_deliveries(
         firsts = mine.where("digest is not null").groupBy("digest").agg(F.min("ord").alias("ord")).select(F.col("ord.doc").alias("doc"))
         texts = mine.join(F.broadcast(firsts) if n_documents <= BROADCAST_ROWS else firsts, "doc", "left_semi")
         delivery = mine.select("doc", "ord", "hash_key", "digest").unionByName(plain.where(F.col("admission") == number).drop("admission"))
-        out.append(admit(delivery, texts.select("digest", "ord", "text", "size", "fps", "places", "bag"), store, n_documents, pairs_a_row, task_rows))
+        out.append(admit(delivery, texts.select("digest", "ord", "text", "size", "fps", "places", "packed"), store, n_documents, pairs_a_row, task_rows))
     return reduce(DataFrame.unionByName, out)

@@ -98,7 +98,8 @@ def fingerprinted(texts: list[str]) -> list[Fingerprinted]:
 
 
 def described(texts: list[str]) -> list[tuple[int | None, int, np.ndarray, np.ndarray, bytes]]:
-    """What `fingerprinted` gives and the bag of each text: BAG counts of its words by hash, up to 255."""
+    """What `fingerprinted` gives and it packed: the bag of each text, BAG counts of its words by hash up to 255,
+    then the upper 32 bits of each fingerprint, then 16 bits of each place; 65535 is anywhere, and beyond."""
     out: list[tuple] = []
     group: list[str] = []
     held = 0
@@ -137,7 +138,9 @@ def _fingerprinted(texts: list[str]) -> list[tuple]:
         own, first, times = np.unique(every, return_index=True, return_counts=True)
         places = np.where(times > 1, -1, at[first]).astype(np.int32)
         bag = np.minimum(np.bincount((words[a:b] >> np.uint64(40)).astype(np.int64) % BAG, minlength=BAG), 255).astype(np.uint8)
-        out.append((digest, n, own, places, bag.tobytes()))
+        upper = (own.view(np.uint64) >> np.uint64(32)).astype(np.uint32)
+        near = np.where((places < 0) | (places > 65534), 65535, places).astype(np.uint16)
+        out.append((digest, n, own, places, bag.tobytes() + upper.tobytes() + near.tobytes()))
     return out
 
 

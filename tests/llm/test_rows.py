@@ -6,10 +6,11 @@ import random
 from datetime import datetime, timedelta
 
 import numpy as np
+import pyarrow as pa
 
 from shelfmark.llm.conversations import MESSAGE_SCHEMA, closed_segments, conversations, late_messages, session_defects
-from shelfmark.llm.dedup import Store, repeated_deliveries, screened
-from shelfmark.llm.fingerprints import fingerprinted, within_distance
+from shelfmark.llm.dedup import Store, class_of, repeated_deliveries, screened, sharing_in_cell
+from shelfmark.llm.fingerprints import described, fingerprinted, within_distance
 from shelfmark.llm.pairs import defective_pairs, fit_defects, language, made_pairs, pair_features
 
 T0 = datetime(2024, 1, 1, 23, 0)
@@ -116,6 +117,50 @@ def test_near_texts_share_enough():
             assert len(np.intersect1d(a, b)) >= 0.1 * min(len(a), len(b))
 
 
+def test_near_texts_share_enough_at_the_limit_of_short_texts():
+    rnd = np.random.default_rng(4)
+    for n in range(101, 112):
+        for _ in range(50):
+            words = rnd.integers(0, 10**9, n)
+            (_, _, a, _), (_, _, b, _) = fingerprinted([" ".join(map(str, t)) for t in (words, np.delete(words, rnd.choice(n, n - 100, replace=False)))])
+            assert len(np.intersect1d(a, b)) >= 0.1 * min(len(a), len(b))
+
+
+def test_near_texts_stand_in_neighbouring_classes():
+    sizes = np.arange(1, 20000)
+    classes = class_of(sizes)
+    assert (classes - classes[sizes - sizes // 10 - 1] <= 1).all() and classes[0] == 1 and (np.diff(classes) >= 0).all()
+
+
+def test_a_cell_like_brute_force():
+    rnd = np.random.default_rng(1)
+    texts = []
+    for _ in range(20):
+        base = rnd.integers(0, 5000, 106)
+        for _ in range(5):
+            texts.append(base[: rnd.integers(97, 107)].copy())
+            texts[-1][rnd.integers(0, 97, 4)] = rnd.integers(0, 5000, 4)
+    told = described([" ".join(f"w{x}" for x in t) for t in texts])
+    old = [k % 3 == 0 for k in range(len(texts))]
+
+    def cell(sides, key):
+        columns = [[key] * len(told), pa.array(sides, pa.int32()), [True] * len(told), old, [t[0] for t in told], pa.array([t[1] for t in told], pa.int32()), [t[4] for t in told]]
+        return pa.table(dict(zip(("cell", "side", "home", "old", "digest", "size", "packed"), columns)))
+
+    def found(sides, key):
+        out = sharing_in_cell(cell(sides, key), 100)
+        return {tuple(sorted(p)) for p in zip(out["x"].to_pylist(), out["y"].to_pylist())}
+
+    sides = [k % 2 for k in range(len(texts))]
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if not (old[i] and old[j]) and told[i][0] != told[j][0]]
+    near = [(i, j) for i, j in near if within_distance(texts[i], texts[j], max(len(texts[i]), len(texts[j])) // 10)]
+    name = lambda pairs: {tuple(sorted((told[i][0], told[j][0]))) for i, j in pairs}
+    whole, across = found([0] * len(texts), 5 << 40), found(sides, (5 << 40) + 1)
+    assert whole >= name(near) and len(near) > 50 and len(whole) < 2 * len(near)
+    assert across >= name((i, j) for i, j in near if sides[i] != sides[j]) and across < whole
+    assert sharing_in_cell(cell([0] * len(texts), 5 << 40), 0)["x"].to_pylist() == [None]
+
+
 def test_filters_lose_nothing(spark):
     store = Store(spark)
     assert screened(spark.range(5).withColumnRenamed("id", "fp"), store).count() == 0
