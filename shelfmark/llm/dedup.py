@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm.boilerplate import frame_lines
+from shelfmark.llm.boilerplate import article_texts
 from shelfmark.llm.fingerprints import BAG, ONE_IN, WINNOW, described, within_distance, word_hashes
 from shelfmark.operators.registry import content_key, current_documents, key_of
 from shelfmark.session import BROADCAST_ROWS, exists, let_go, measured, new_path, save, scratch, small_or_not, written
@@ -54,25 +54,23 @@ def articles(pages: DataFrame, registry: DataFrame) -> DataFrame:
     is a word. The digest is null for an article without words. Only the lines of one document
     are ever in one row; they stay where their order was told.
     """
-    lines = frame_lines(pages, registry, with_text=True)
-    kept = F.when(~F.col("frame"), F.struct("chunk_index", "node_id", "line_no", "line"))
-    whole = lines.groupBy("doc").agg(F.array_sort(F.collect_list(kept)).alias("lines"))
-    return with_fingerprints(whole.select("doc", F.array_join("lines.line", "\n").alias("text")))
+    return article_texts(pages, registry, with_fingerprints, TEXT_SCHEMA)
 
 
-def with_fingerprints(texts: DataFrame) -> DataFrame:
-    """TEXT_SCHEMA of `texts(doc, text)`; null texts are empty."""
+def with_fingerprints(docs: list[str], texts: list[str]) -> pa.RecordBatch:
+    """TEXT_SCHEMA of some texts."""
+    found = described(texts)
+    digests, sizes, fps, places, packed = zip(*found) if found else ((), (), (), (), ())
+    return pa.RecordBatch.from_arrays(
+        [pa.array(docs, pa.string()), pa.array(texts, pa.string()), pa.array(digests, pa.int64()), pa.array(sizes, pa.int32()),
+         _lists(fps, np.int64), _lists(places, np.int32), pa.array(packed, pa.binary())],
+        names=["doc", "text", "digest", "size", "fps", "places", "packed"],
+    )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = described([t or "" for t in batch.column(1).to_pylist()])
-            digests, sizes, fps, places, packed = zip(*found) if found else ((), (), (), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:2], pa.array(digests, pa.int64()), pa.array(sizes, pa.int32()), pa.array(fps, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32())), pa.array(packed, pa.binary())],
-                names=["doc", "text", "digest", "size", "fps", "places", "packed"],
-            )
 
-    return texts.select("doc", "text").mapInArrow(run, TEXT_SCHEMA)
+def _lists(values: tuple[np.ndarray, ...], kind: type) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, values)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*values, np.zeros(0, dtype=kind)]).astype(kind)))
 
 
 def first_deliveries(batches: DataFrame) -> DataFrame:
@@ -485,9 +483,10 @@ def settled_in_rounds(delivery: DataFrame, near: DataFrame) -> DataFrame:
 def candidates(new: DataFrame, known: DataFrame | None, store: Store, pairs_a_text: float) -> DataFrame:
     """`x, y`: what `sharing_in_cell` tells of new texts with each other and with the store's texts of the sizes
     that texts of `known(digest)` can be near to; other sizes of the store are not read."""
-    loads = lambda rows: {int(r[0]): r[1] for r in rows.where("size > 0").groupBy("size").count().collect()}  # noqa: E731 - one row a size
-    mine = loads(new)
-    held = {} if known is None else loads(new.join(known, "digest", "left_semi"))
+    told = new.select("digest", "size").where("size > 0")
+    told = told.withColumn("held", F.lit(False)) if known is None else told.join(known.withColumn("held", F.lit(True)), "digest", "left")
+    loads = told.groupBy("size").agg(F.count("*"), F.count_if("held")).collect()  # one row a size
+    mine, held = {int(r[0]): r[1] for r in loads}, {int(r[0]): r[2] for r in loads if r[2]}
     reached = {int(c) + k for c in class_of(list(held)) for k in (-1, 0, 1)} if held else set()
     kept = ["digest", "size", "packed"]
     rows, words = new.where("size > 0").select(*kept, F.lit(False).alias("old")), dict(mine)
@@ -495,7 +494,7 @@ def candidates(new: DataFrame, known: DataFrame | None, store: Store, pairs_a_te
         bounds = size_classes(2 << max(held).bit_length()).tolist()
         low, high = bounds[max(0, min(reached) - 1)], bounds[min(max(reached), len(bounds) - 1)]
         theirs = store.table("sketch").where(F.col("size").between(low, high))
-        for size, n in loads(theirs).items():
+        for size, n in theirs.groupBy("size").count().collect():
             words[size] = words.get(size, 0) + n
         rows = rows.unionByName(theirs.select(*kept, F.lit(True).alias("old")))
     load: dict[int, int] = {}
@@ -604,15 +603,17 @@ def repeated_deliveries(
     with scratch(spark) as keep:  # the lines and their statistics go once the articles are written
         told = articles(pages, registry).join(documents, "doc").withColumn("admission", places[F.col("ord.batch")])
         told = keep(written(told.select("doc", "ord", "hash_key", "digest", "text", "size", "fps", "places", "packed", "admission"), "articles", ["admission"], "zstd"))
+    # One row a distinct text of an admission, with its first delivery.
+    firsts = told.where("digest is not null").groupBy("admission", "digest").agg(F.min("ord").alias("ord"))
+    firsts = written(firsts.select(F.col("ord.doc").alias("doc"), "admission"), "firsts", ["admission"])
     plain = documents.join(told.select("doc"), "doc", "left_anti").withColumn("admission", places[F.col("ord.batch")]).withColumn("digest", F.lit(None).cast("bigint"))
     plain = written(plain.select("doc", "ord", "hash_key", "digest", "admission"), "plain", ["admission"])
     out = []
     for number in sorted(set(admissions.values())):
         n_documents = sum(n for batch, n in counts if admissions[batch] == number)
         mine = told.where(F.col("admission") == number).drop("admission")
-        # One row a distinct text, with its first delivery.
-        firsts = mine.where("digest is not null").groupBy("digest").agg(F.min("ord").alias("ord")).select(F.col("ord.doc").alias("doc"))
-        texts = mine.join(F.broadcast(firsts) if n_documents <= BROADCAST_ROWS else firsts, "doc", "left_semi")
+        picked = firsts.where(F.col("admission") == number).select("doc")
+        texts = mine.join(F.broadcast(picked) if n_documents <= BROADCAST_ROWS else picked, "doc", "left_semi")
         delivery = mine.select("doc", "ord", "hash_key", "digest").unionByName(plain.where(F.col("admission") == number).drop("admission"))
         out.append(admit(delivery, texts.select("digest", "ord", "text", "size", "fps", "places", "packed"), store, n_documents, pairs_a_row, task_rows))
     return reduce(DataFrame.unionByName, out)

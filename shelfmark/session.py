@@ -106,11 +106,12 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None, cod
     return out
 
 
-def measured(df: DataFrame, name: str, **measures: Column) -> tuple[DataFrame, dict[str, int]]:
+def measured(df: DataFrame, name: str, codec: str | None = None, **measures: Column) -> tuple[DataFrame, dict[str, int]]:
     """What `written` gives, with the number of rows `n` and further aggregates, taken while it is written."""
     seen = Observation()
     path = new_path(df.sparkSession, name)
-    save(df.observe(seen, F.count(F.lit(1)).alias("n"), *[m.alias(k) for k, m in measures.items()]).write, df.sparkSession, path)
+    writer = df.observe(seen, F.count(F.lit(1)).alias("n"), *[m.alias(k) for k, m in measures.items()]).write
+    save(writer.option("compression", codec) if codec else writer, df.sparkSession, path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     _written[out] = path
     return out, {"n": 0, **(seen.get or {})}  # nothing is observed where the plan turned out empty

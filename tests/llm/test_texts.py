@@ -5,7 +5,9 @@ from __future__ import annotations
 import random
 from collections import defaultdict
 
-from shelfmark.llm.boilerplate import frame_found, frame_lines, line_paths, plain_line
+import pyarrow as pa
+
+from shelfmark.llm.boilerplate import article_texts, frame_found, frame_lines, line_paths, plain_line
 from shelfmark.llm.canonical import canonical_text, odd_characters
 from shelfmark.llm.lines import content_chunks, line_form, repeated_lines, without_repeated_lines
 
@@ -97,3 +99,24 @@ def test_frame_of_small_sites(spark):
     assert {k for n, k in found if n.startswith("s1d3:")} == {1, 2, 5, 6, 7, 9, 10, 12}
     assert len(found) == 8 * 36
     assert frame_lines(frame.where("false"), registry(spark, [])).count() == 0
+
+
+def test_articles_need_no_shuffle_of_lines(spark):
+    # Links of doubled and of split chunks; forms, paths and headings at hand or joined.
+    docs = [(f"s{site}d{d}", f"https://www.site{site}.example/{d}") for site in range(2) for d in range(9)]
+    pages = []
+    for k, (doc, _) in enumerate(docs):
+        name = "abcdefghi"[k % 9] * 3 + "xy"[k // 9]
+        first = ["Skip to main content", f"Readers of P{name} may borrow {k} books, at the desk of H{name}.", "See also", f"› New books at T{name} and H{name}"]
+        second = [f"› Guide to maps in V{name}", f"The desk of H{name} opens at {k}:15, but closes on Monday in week {k}.", "", "Back to top"]
+        pages += [(f"{doc}:v1:s0:c10:h", "\n".join(second)), (f"{doc}:v1:s0:c9:h", "\n".join(first))]
+    pages += [pages[0], (pages[1][0], "Skip to main content\nRead on"), (":s0:c0:", "Back to top\nNowhere"), (None, "Back to top"), ("s0d1:v1:s0:c11:h", "")]
+    frame, known = spark.createDataFrame(pages, "node_id string, text string"), registry(spark, docs)
+    tell = lambda docs, texts: pa.RecordBatch.from_arrays([pa.array(docs, pa.string()), pa.array(texts, pa.string())], names=["doc", "text"])
+    at_hand, joined = (article_texts(frame, known, tell, "doc string, text string", n) for n in (1000, 0))
+    assert "Exchange" not in at_hand._jdf.queryExecution().executedPlan().toString()
+    found = dict(map(tuple, at_hand.collect()))
+    assert found == dict(map(tuple, joined.collect())) and len(found) == len(docs)
+    assert found["s1d2"].split("\n") == ["Readers of Pcccy may borrow 11 books, at the desk of Hcccy.", "The desk of Hcccy opens at 11:15, but closes on Monday in week 11."]
+    lines = [(r.doc, r.node_id, r.line_no) for r in frame_lines(frame, known).collect()]
+    assert len(lines) == len(set(lines)) == 18 * 7 + 3
