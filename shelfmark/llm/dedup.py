@@ -254,20 +254,20 @@ def sharing_in_cell(cell: pa.Table, pairs_a_text: float) -> pa.Table:
     across = ((int(key[0]) >> 20) ^ int(key[0])) & 0xFFFFF
     owner = np.repeat(np.arange(len(n)), n)
     # A pair is looked for from the text with fewer fingerprints; ones of the store look for new ones only.
-    keys = (fp << np.uint64(32)) | owner.astype(np.uint64)
-    order = np.argsort(keys)
-    keys, owner, place = keys[order], owner[order], place[order]
-    ends = keys | np.uint64(0xFFFFFFFF)
-    fresh = np.flatnonzero(~old[owner])
-    new_keys, is_old = keys[fresh], old[owner]
-    begin = np.where(is_old, np.searchsorted(new_keys, keys, "right"), np.arange(1, len(keys) + 1))
-    end = np.where(is_old, np.searchsorted(new_keys, ends, "right"), np.searchsorted(keys, ends, "right"))
-    hits = end - begin
+    order = np.argsort((fp << np.uint64(32)) | owner.astype(np.uint64))
+    fp, owner, place = fp[order], owner[order], place[order]
+    is_old = old[owner]
+    fresh, n_new = np.flatnonzero(~is_old), np.cumsum(~is_old)
+    # Where the entries of a fingerprint end, told for each of them.
+    runs = np.flatnonzero(np.append(fp[1:] != fp[:-1], True)[: len(fp)]) + 1
+    ends = np.repeat(runs, np.diff(runs, prepend=0))
+    begin = np.where(is_old, n_new, np.arange(1, len(fp) + 1))
+    hits = np.where(is_old, n_new[ends - 1], ends) - begin
     skipped = (n * (COVERAGE / 2)).astype(np.int64)
-    by_text = np.lexsort((-hits, owner))  # the entries of each text, commonest first
-    starts = np.concatenate(([0], np.cumsum(n)))
-    use = by_text[np.arange(len(keys)) - starts[owner[by_text]] >= skipped[owner[by_text]]]
-    use = use[hits[use] > 0]
+    met = np.flatnonzero(hits > 0)
+    met = met[np.lexsort((-hits[met], owner[met]))]  # the entries of each text that meet others, commonest first
+    starts = np.searchsorted(owner[met], np.arange(len(n)))
+    use = met[np.arange(len(met)) - starts[owner[met]] >= skipped[owner[met]]]
     found, total = [], 0
     limit = pairs_a_text * int((~old).sum())
     texts = owner[use]

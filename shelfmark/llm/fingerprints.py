@@ -37,13 +37,24 @@ _MIX = np.uint64(0xD6E8FEB86659FD93)
 @cache
 def _classes() -> np.ndarray:
     """0 for what separates words, 1 for what makes them, 2 for characters that are words."""
-    table = np.frombuffer(bytes(chr(c).isalnum() for c in range(0x110000)), dtype=np.uint8).copy()
+    table = np.frombuffer(bytes(map(str.isalnum, map(chr, range(0x110000)))), dtype=np.uint8).copy()
     for low, high in HAN:
         table[low : high + 1] = np.where(table[low : high + 1] > 0, 2, 0)
-    table[[c for c in range(0x110000) if unicodedata.category(chr(c)) == "Cs"]] = 0
+    table[0xD800:0xE000] = 0  # surrogates
     return table
 
 
+@cache
+def _mixed() -> np.ndarray:
+    """What each character adds to the hash of its word; 0 for what separates words."""
+    with np.errstate(over="ignore"):
+        mixed = np.arange(1, 0x110001, dtype=np.uint64) * _MIX
+        mixed ^= mixed >> np.uint64(32)
+        mixed *= _MIX
+    mixed[_classes() == 0] = 0
+    return mixed
+
+
 @cache
 def _powers(bits: int) -> np.ndarray:
     with np.errstate(over="ignore"):
@@ -73,10 +84,7 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     if not len(starts):
         return np.zeros(0, dtype=np.uint64), offsets
     with np.errstate(over="ignore"):
-        mixed = (codes[starts[0] :].astype(np.uint64) + np.uint64(1)) * _MIX
-        mixed ^= mixed >> np.uint64(32)
-        mixed *= _MIX
-        mixed[kind[starts[0] :] == 0] = 0
+        mixed = _mixed()[codes[starts[0] :]]
         at = starts - starts[0]
         place = np.arange(len(mixed)) - np.repeat(at, np.diff(np.append(at, len(mixed))))
         h = np.add.reduceat(mixed * _powers(int(place.max()).bit_length() + 1)[place], at)
@@ -118,6 +126,7 @@ def _fingerprinted(texts: list[str]) -> list[tuple]:
     least = shingles
     for k in range(1, WINNOW):
         least = np.minimum(least[: len(least) - 1] if len(least) else least, shingles[k:])
+    buckets = (words >> np.uint64(40)).astype(np.int64) % BAG
     out = []
     for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
         n = b - a
@@ -135,10 +144,13 @@ def _fingerprinted(texts: list[str]) -> list[tuple]:
             with np.errstate(over="ignore"):
                 every = ((chosen[:-1] * np.uint64(0x9E3779B97F4A7C15) ^ chosen[1:]) * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64)
             every, at = np.concatenate((every, single)), np.concatenate((at[:-1], np.arange(len(single))))
-        own, first, times = np.unique(every, return_index=True, return_counts=True)
-        places = np.where(times > 1, -1, at[first]).astype(np.int32)
-        bag = np.minimum(np.bincount((words[a:b] >> np.uint64(40)).astype(np.int64) % BAG, minlength=BAG), 255).astype(np.uint8)
-        upper = (own.view(np.uint64) >> np.uint64(32)).astype(np.uint32)
+        order = every.argsort()
+        every = every[order]
+        first = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1])))
+        own, places = every[first], at[order[first]].astype(np.int32)
+        places[np.append(first[1:], len(every)) - first > 1] = -1
+        bag = np.minimum(np.bincount(buckets[a:b], minlength=BAG), 255).astype(np.uint8)
+        upper = (own >> 32).astype(np.uint32)
         near = np.where((places < 0) | (places > 65534), 65535, places).astype(np.uint16)
         out.append((digest, n, own, places, bag.tobytes() + upper.tobytes() + near.tobytes()))
     return out

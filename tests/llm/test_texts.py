@@ -5,9 +5,10 @@ from __future__ import annotations
 import random
 from collections import defaultdict
 
+import numpy as np
 import pyarrow as pa
 
-from shelfmark.llm.boilerplate import article_texts, frame_found, frame_lines, line_paths, plain_line
+from shelfmark.llm.boilerplate import BLANK, LINE, SURE, _nameless, _path_sums, _without_numbers, article_texts, frame_found, frame_lines, line_paths, plain_line
 from shelfmark.llm.canonical import canonical_text, odd_characters
 from shelfmark.llm.lines import content_chunks, line_form, repeated_lines, without_repeated_lines
 
@@ -81,6 +82,38 @@ def test_line_paths():
     assert plain_line("Skір​ tо  main") == "Skip to main"
 
 
+def test_names_like_word_by_word():
+    rnd = random.Random(2)
+    words = ["The", "desk", "Ash", "ÉCU", "#", "##", "#b", "12", "Á9", "a.", ".", "?!", "U2", "/", "x/#", "…", "opens", "٣", "H8:15", "ǅ"]
+    for _ in range(20_000):
+        line = " ".join(rnd.choice(words) for _ in range(rnd.randint(1, 9)))
+        if exact := _without_numbers(line.lower()).rstrip(".!?:;,。… "):
+            told = exact.split()
+            if not line.isupper():
+                told[1:] = ["#" if o[0].isupper() else w for o, w in zip(line.split()[1:], told[1:])]
+                if told[1:2] == ["#"] and line[0].isupper():
+                    told[0] = "#"
+                told = [w for k, w in enumerate(told) if w != "#" or not k or told[k - 1] != "#"]
+            assert _nameless(line, exact) == " ".join(told), line
+
+
+def test_path_sums_like_brute_force():
+    rnd = np.random.default_rng(3)
+    told = np.zeros(400, LINE)
+    for c, most in (("form", 30), ("whole", 9), ("lead", 5), ("length", 90), ("punctuation", 7)):
+        told[c] = rnd.integers(0, most, len(told))
+    told["flags"] = rnd.choice([0, BLANK, SURE], len(told))
+    batch = pa.RecordBatch.from_arrays([pa.array([4, 7], pa.int64()), pa.array([told[:150].tobytes(), told[150:].tobytes()], pa.binary())], names=["site", "lines"])
+    shared, none = np.array([3, 8, 21]), np.zeros(0, np.int64)
+    expected: dict[int, list[int]] = defaultdict(lambda: [0, 0, 0, 0])
+    for x in told[told["flags"] != BLANK]:
+        for path in (x["whole"], x["lead"]):
+            for k, v in enumerate((1, x["form"] in shared or x["flags"] == SURE, x["length"], x["punctuation"])):
+                expected[int(path)][k] += int(v)
+    (found,) = _path_sums(iter([batch]), none, shared)
+    assert {r["path"]: [r[c] for c in ("n", "repeated", "length", "punctuation")] for r in found.to_pylist()} == expected
+
+
 def test_frame_of_small_sites(spark):
     pages, docs = [], []
     for site in range(3):
